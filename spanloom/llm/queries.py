@@ -5,18 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import tokens
+from spanloom.llm import chunking, mixing, overlap, tokens, visual
 from spanloom.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = chunking.split_oversized(table(spark, sf_dir, "scan_requests"), table(spark, sf_dir, "bert_models"), with_text=False)
+    return cut.where("piece_no = 1").select("scan_id").distinct()
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_oversized(table(spark, sf_dir, "scan_requests"), table(spark, sf_dir, "bert_models"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = table(spark, sf_dir, "watch_terms")
+    scans = visual.find_terms(table(spark, sf_dir, "scan_requests"), terms, "scan_id", "text").select(F.lit("scan").alias("field"), F.col("scan_id").alias("row_id"), "term_id", "term", "value")
+    told = visual.find_terms(table(spark, sf_dir, "detections"), terms, "detection_id", "text", whole=True).select(F.lit("detection").alias("field"), F.col("detection_id").alias("row_id"), "term_id", "term", "value")
+    return scans.unionByName(told).where("value <> term").select("field", "row_id", "term_id").distinct()
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual.canonical_texts(table(spark, sf_dir, "scan_requests"), "scan_id", "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = overlap.near_same(table(spark, sf_dir, "ner_examples").select("example_id", "split_name", "tokens"))
+    return overlap.pairs_of(members, links).select(F.least("key_e", "key_t").alias("example_id_1"), F.greatest("key_e", "key_t").alias("example_id_2")).distinct()
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = overlap.near_same(table(spark, sf_dir, "ner_examples").select("example_id", "split_name", "tokens", "source").dropDuplicates(["example_id", "split_name", "tokens", "source"]))
+    return overlap.report(members, links)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p6_ids, p7_mixture, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": """
+            SELECT DISTINCT r.scan_id FROM scan_requests r
+            JOIN bert_models m ON m.model_id = r.model_id OR (r.model_id IS NULL AND m.is_default)
+            WHERE length(r.text) > m.max_chars""",
+    }
