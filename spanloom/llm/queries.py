@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chunking, mixing, overlap, tokens, visual
+from spanloom.llm import chunking, mixing, overlap, quality, tokens, visual
 from spanloom.runtime import table
 
 
@@ -53,8 +53,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), body_only=True)
+    return stats.where("has_text and not is_prose").select("doc_id")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p6_ids, p7_mixture, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
