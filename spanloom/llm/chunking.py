@@ -63,7 +63,7 @@ def split_oversized(df: DataFrame, models: DataFrame, key: str = "scan_id", text
     m = models.select(F.col("model_id").alias("m_id"), F.col("max_chars").cast("bigint").alias("max_chars"), F.coalesce(F.col("overlap_chars").cast("bigint"), F.lit(0)).alias("overlap"), F.coalesce("is_default", F.lit(False)).alias("is_default"))
     m = m.where("m_id is not null and not is_default").drop("is_default").unionByName(m.where("is_default").select(F.explode(F.array("m_id", F.lit(None))).alias("m_id"), "max_chars", "overlap"))
     m = m.groupBy("m_id").agg(F.min("max_chars").alias("max_chars"), F.min("overlap").alias("overlap"))
-    x = df.select(df[key].alias("k"), df[model].alias("model"), df[text].alias("t")).where("t is not null")
+    x = spread(df.select(df[key].alias("k"), df[model].alias("model"), df[text].alias("t")).where("t is not null"))
     x = x.join(small_side(m, MAX_MODELS), F.col("model").eqNullSafe(F.col("m_id")), "left").select("k", F.coalesce("max_chars", F.lit(0)).alias("size"), F.coalesce("overlap", F.lit(0)).alias("overlap"), "t")
     kind = x.schema["k"].dataType.simpleString()
 
@@ -80,5 +80,5 @@ def split_oversized(df: DataFrame, models: DataFrame, key: str = "scan_id", text
             cols = [batch.column(0).take(pa.array(index, pa.int32())), *(pa.array(r, pa.int32()) for r in rows[:4]), pa.array(rows[4], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["k", "piece_no", "n_pieces", "start_pos", "end_pos", "piece"])
 
-    out = spread(x).mapInArrow(cut, f"k {kind}, piece_no int, n_pieces int, start_pos int, end_pos int, piece string").withColumnRenamed("k", key)
+    out = x.mapInArrow(cut, f"k {kind}, piece_no int, n_pieces int, start_pos int, end_pos int, piece string").withColumnRenamed("k", key)
     return out if with_text else out.drop("piece")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import materialize, ship, spread
+from spanloom.runtime import materialize, ship
 
 SIMILARITY, MIN_TOKENS = 0.8, 8
 #: Counters of the sketch that orders tokens by rarity; the sketch's size is fixed, whatever the corpus.
@@ -57,9 +57,9 @@ def _least(n: int, similarity: float) -> int:
 def _sketch(classes: DataFrame) -> np.ndarray:
     """Counts of hashed tokens: at most 2 ** SKETCH_BITS rows come to the driver, pre-aggregated on the executors."""
     slot = F.pmod(F.xxhash64("token"), F.lit(1 << SKETCH_BITS)).cast("int")
-    rows = classes.select(F.explode("words").alias("token")).groupBy(slot.alias("slot")).count().toPandas()
+    rows = classes.select(F.explode("words").alias("token")).groupBy(slot.alias("slot")).count().toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["count"].to_numpy(np.int64)
+    out[rows["slot"].to_numpy()] = rows["count"].to_numpy()
     return out
 
 
@@ -122,7 +122,7 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
     code = F.xxhash64("words"), F.hash("words")
     x = x.withColumn("h1", code[0]).withColumn("h2", code[1])
     seen = x.groupBy("h1", "h2").agg(F.first("words").alias("words"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval"))
-    classes = materialize(spread(seen).select(F.xxhash64("h1", "h2").alias("cls"), "words", F.size("words").alias("n"), "in_train", "in_eval"))
+    classes = materialize(seen.select(F.xxhash64("h1", "h2").alias("cls"), "words", F.size("words").alias("n"), "in_train", "in_eval"))
     members = x.select("key", "split", F.xxhash64("h1", "h2").alias("cls"), F.size("words").alias("n"), *[F.col(f"_{c}").alias(c) for c in rest])
     cut = materialize(_segments(classes, similarity))
     flags = classes.select("cls", "in_train", "in_eval")
