@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chunking, mixing, overlap, quality, tokens, visual
+from spanloom.llm import chunking, credentials, mixing, overlap, quality, tokens, visual
 from spanloom.runtime import table
 
 
@@ -41,6 +41,14 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(members, links)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf_dir, "scan_requests")).select("scan_id", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf_dir, "scan_requests"), redact=True)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p4_found, p4_redacted, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
