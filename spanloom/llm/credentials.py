@@ -105,7 +105,7 @@ _NO_SECRET_WORDS = frozenset(
 )
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, 0x2007, 0x202F, 0x3000], 0x20)
+_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, 0x2007, 0x202F, 0x3000], 0x20) | dict.fromkeys([0x2010, 0x2011], 0x2D)
 _TRIGGER = re.compile(r"pass|pwd|\bpw\b|secret|token|key|auth|cred|webhook|kennwort|contrase|clave|schl|cl[ée]\b|://|sshpass|mysql|login|curl|redis|identified|[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}.*%|\\x|\\u|&#|AKIA|ASIA", re.I)
 
 
@@ -140,7 +140,7 @@ def _kind(name: str) -> str:
     return "GENERIC_SECRET"
 
 
-class _Clean:
+class Clean:
     """A text without invisible characters and with plain forms of wide ones; places map back to the original."""
 
     def __init__(self, text: str) -> None:
@@ -337,7 +337,7 @@ def findings(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) in the original text, ordered and without overlaps; of overlapping ones the earliest, then the longest stays."""
     if not text or not _TRIGGER.search(text):
         return []
-    clean = _Clean(text)
+    clean = Clean(text)
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(set(scan(clean.text)), key=lambda f: (f[0], -f[1], f[2] == "GENERIC_SECRET", f[2])):
         s, e = clean.span(start, end)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chunking, credentials, mixing, overlap, quality, tokens, visual
+from spanloom.llm import chunking, credentials, mixing, overlap, pii, quality, tokens, visual
 from spanloom.runtime import table
 
 
@@ -49,6 +49,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_credentials(table(spark, sf_dir, "scan_requests"), redact=True)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(*(table(spark, sf_dir, t) for t in ("scan_requests", "detections", "given_names"))).select("scan_id", "line_no", "entity_type").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(*(table(spark, sf_dir, t) for t in ("scan_requests", "detections", "given_names")), redact=True)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -71,7 +79,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p4_found, p4_redacted, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p4_found, p4_redacted, p5_found, p5_redacted, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
