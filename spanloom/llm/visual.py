@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import bounded_collect
+from spanloom.runtime import bounded_collect, materialize
 
 #: Letters of other scripts and the Latin letters that they look like.
 CYRILLIC = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХУІЈЅҮԌԚԜӀ"
@@ -73,13 +73,14 @@ def search_pattern(terms: list[str]) -> str:
     """Finds each term in every spelling that may look like it; equality is decided by the classes."""
     table, variants = look_alikes(), _variants()
     marks = rf"[\p{{Mn}}{INVISIBLE}]*"
-    parts = []
+    parts, firsts = [], set()
     for term in sorted(set(terms), key=lambda t: (-len(t), t)):
         letters = [c for c in unicodedata.normalize("NFD", "".join(table.get(c, c) for c in term)) if not unicodedata.combining(c) and not re.match(f"[{INVISIBLE}]", c)]
         cells = ["[" + "".join(f"\\x{{{ord(v):x}}}" for v in variants.get(c, c)) + "]" for c in letters]
         if cells:
             parts.append(marks.join(cells) + r"\p{Mn}*")
-    return r"(?<![\p{L}\p{N}])(?:" + "|".join(parts) + r")(?![\p{L}\p{N}\p{Mn}])"
+            firsts.add(cells[0][1:-1])
+    return r"(?<![\p{L}\p{N}])(?=[" + "".join(sorted(firsts)) + "])(?:" + "|".join(parts) + r")(?![\p{L}\p{N}\p{Mn}])"
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, whole: bool = False) -> DataFrame:
@@ -100,6 +101,7 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, whole: b
         else:
             hits = x.where(F.col("t").isNotNull()).select("k", F.explode(F.regexp_extract_all("t", F.lit(pattern), 0)).alias("value"))
         found = found.unionByName(hits)
+    found = materialize(found)  # few spellings, read several times below; the texts are searched once
     known = terms.select("term_id", "term").where("term is not null and term <> ''")
     classes = equivalence_classes(found.select("value", F.lit(False).alias("preferred")).unionByName(known.select(F.col("term").alias("value"), F.lit(True).alias("preferred"))))
     # Classes of the found spellings that hold a term; terms are few, so are the spellings of each.
