@@ -33,7 +33,7 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Dra|Prof|Sr|Sra|Srta|Herrn?|Frau|Mme|Mlle|Mon
 _PARTICLE = r"(?:van der|van den|van de|von der|vom|van|von|zu|de la|de los|de las|del|de|du|da|dos|di|della|le|la|ter|ten|al|bin|Mc|Mac|Saint|St\.)"
 _WORD = rf"(?:[DdLO]['’])?[{_UP}](?:[{_UP}{_LOW}]|['’](?=[{_UP}{_LOW}]))+(?:-[{_UP}][{_UP}{_LOW}]+)*"
 _RUN = re.compile(rf"(?<![\w@/.'’-])(?:{_TITLE} )?(?:{_WORD}|[{_UP}]\.)(?: (?:[{_UP}]\.|{_PARTICLE}(?= [{_UP}])|{_WORD})){{0,5}}")
-_COMMA = re.compile(rf"(?<![\w@/.'’-])(?:(?:{_PARTICLE}) )?{_WORD}(?: {_WORD})?, (?:{_TITLE} )?{_WORD}(?: [{_UP}]\.)?(?![\w@])")
+_COMMA = re.compile(rf"(?<![\w@/.'’-])(?=((?:(?:{_PARTICLE}) )?{_WORD}(?: {_WORD})?, (?:{_TITLE} )?{_WORD}(?: [{_UP}]\.)?)(?![\w@]))")
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÿ._%+'-]+(?:@|%40|\s?[(\[{]\s?(?:at|AT|arroba)\s?[)\]}]\s?| at )[A-Za-z0-9À-ÿ-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|punto|punkt|point)\s?[)\]}]\s?| dot )[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"(?<![\w/.@-])(?:\+|\(|\b)[\d(][\d ().\-/]{5,22}\d(?!\w)(?: ?(?:ext|x|extn|poste|Durchwahl|DW)\.? ?\d{1,5})?")
 _IDS = tuple(
@@ -117,7 +117,7 @@ def candidates(line: str, names: frozenset[str]) -> list[tuple[int, int, int, in
                 out.append((at, m.end(), 4, 1))
                 break
             at += len(t) + 1
-    out += [(m.start(), m.end(), 4, 2) for m in _COMMA.finditer(line)]
+    out += [(m.start(1), m.end(1), 4, 2) for m in _COMMA.finditer(line)]
     return out
 
 
