@@ -15,11 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import materialize, ship
+from spanloom.runtime import materialize, ship, small_side
 
 SIMILARITY, MIN_TOKENS = 0.8, 8
 #: Counters of the sketch that orders tokens by rarity; the sketch's size is fixed, whatever the corpus.
 SKETCH_BITS = 20
+#: Classes in candidate pairs whose tokens are looked up by a broadcast list of their names; more are joined by shuffle.
+LOOKUP_CLASSES = 1_000_000
+_MASK = (1 << 64) - 1
 
 
 def common_in_order(a: list, b: list, least: int) -> int:
@@ -54,39 +57,41 @@ def _least(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
-def _sketch(classes: DataFrame) -> np.ndarray:
+def _sketch(rows: DataFrame) -> np.ndarray:
     """Counts of hashed tokens: at most 2 ** SKETCH_BITS rows come to the driver, pre-aggregated on the executors."""
     slot = F.pmod(F.xxhash64("token"), F.lit(1 << SKETCH_BITS)).cast("int")
-    rows = classes.select(F.explode("words").alias("token")).groupBy(slot.alias("slot")).count().toArrow()
+    counts = rows.select(F.explode("words").alias("token")).groupBy(slot.alias("slot")).count().toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["slot"].to_numpy()] = rows["count"].to_numpy()
+    out[counts["slot"].to_numpy()] = counts["count"].to_numpy()
     return out
 
 
-def _segments(classes: DataFrame, similarity: float) -> DataFrame:
-    """(cls, n, token, nth, pos) of each class's k+1 rarest tokens; ``nth`` tells equal tokens of a record apart."""
-    counts = classes.sparkSession.sparkContext.broadcast(_sketch(classes))  # 2 ** SKETCH_BITS numbers
-    x = classes.select("cls", F.col("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+def _segments(rows: DataFrame, similarity: float) -> DataFrame:
+    """(cls, n, token, pos, is_train) of each record's k+1 rarest tokens; equal tokens of a record differ by their number."""
+    counts = rows.sparkSession.sparkContext.broadcast(_sketch(rows))  # 2 ** SKETCH_BITS numbers
+    x = rows.select("cls", "is_train", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
     def cut(batches):
         count = counts.value
         mask = len(count) - 1
         for p in batches:
-            cls, n, token, nth, pos = [], [], [], [], []
-            for c, hs in zip(p["cls"], p["hashes"]):
-                hs = np.asarray(hs, np.int64)
+            out: list[list] = [[] for _ in range(5)]
+            for c, t, hs in zip(p["cls"], p["is_train"], p["hashes"]):
                 seen: dict[int, int] = {}
                 order = []
-                for i, h in enumerate(hs.tolist()):
+                for i, h in enumerate(np.asarray(hs, np.int64).tolist()):
                     seen[h] = seen.get(h, 0) + 1
                     order.append((int(count[h & mask]), h, seen[h], i))
                 order.sort()
-                k = len(hs) - _least(len(hs), similarity)
+                k = len(order) - _least(len(order), similarity)
                 for _, h, m, i in order[: k + 1]:
-                    cls.append(c), n.append(len(hs)), token.append(h), nth.append(m), pos.append(i)
-            yield pd.DataFrame({"cls": cls, "n": n, "token": token, "nth": nth, "pos": pos})
+                    # An odd factor keeps the first, the second ... of equal tokens apart without another column.
+                    for column, v in zip(out, (c, len(order), (h * (2 * m - 1)) & _MASK, i, t)):
+                        column.append(v)
+            token = np.array(out[2], np.uint64).astype(np.int64)
+            yield pd.DataFrame({"cls": out[0], "n": out[1], "token": token, "pos": out[3], "is_train": out[4]})
 
-    return x.mapInPandas(cut, "cls bigint, n int, token bigint, nth int, pos int")
+    return x.mapInPandas(cut, "cls bigint, n int, token bigint, pos int, is_train boolean")
 
 
 def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -118,24 +123,24 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
     rest = [c for c in df.columns if c not in (key, split, tokens)]
     x = df.select(df[key].alias("key"), df[split].alias("split"), normal_tokens(df[tokens]).alias("words"), *[df[c].alias(f"_{c}") for c in rest])
     x = x.where(f"words is not null and split is not null and size(words) >= {int(min_tokens)}")
-    # A class is named by its smallest key within each hash of the whole list, so one pass of partial aggregation suffices.
-    code = F.xxhash64("words"), F.hash("words")
-    x = x.withColumn("h1", code[0]).withColumn("h2", code[1])
-    seen = x.groupBy("h1", "h2").agg(F.first("words").alias("words"), F.max(F.col("split") == train).alias("in_train"), F.max(F.col("split") != train).alias("in_eval"))
-    classes = materialize(seen.select(F.xxhash64("h1", "h2").alias("cls"), "words", F.size("words").alias("n"), "in_train", "in_eval"))
-    members = x.select("key", "split", F.xxhash64("h1", "h2").alias("cls"), F.size("words").alias("n"), *[F.col(f"_{c}").alias(c) for c in rest])
-    cut = materialize(_segments(classes, similarity))
-    flags = classes.select("cls", "in_train", "in_eval")
-    cut = cut.join(flags, "cls")
-    e, t = (cut.where(w).select(F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), "token", "nth", F.col("pos").alias(f"pos_{s}")) for w, s in (("in_eval", "e"), ("in_train", "t")))
+    # A class is named by two hashes of the whole list; tokens themselves are not shuffled until pairs are known.
+    x = x.withColumn("cls", F.xxhash64(F.xxhash64("words"), F.hash("words"))).withColumn("n", F.size("words"))
+    members = x.select("key", "split", "cls", "n", *[F.col(f"_{c}").alias(c) for c in rest])
+    rows = x.select("cls", "words", (F.col("split") == train).alias("is_train"))
+    # Copies give the same segments, which the partial aggregation joins before they are shuffled.
+    cut = _segments(rows, similarity).groupBy("token", "cls", "is_train").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    cut = materialize(cut)
+    e, t = (cut.where(w).select(F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), "token", F.col("pos").alias(f"pos_{s}")) for w, s in (("not is_train", "e"), ("is_train", "t")))
     need = F.ceil(F.lit(similarity) * F.greatest("n_e", "n_t") - F.lit(1e-9))
     shift = F.col("pos_e") - F.col("pos_t")
     pairs = (
-        e.join(t, ["token", "nth"])
+        e.join(t, "token")
         .where((F.col("cls_e") != F.col("cls_t")) & (F.least("n_e", "n_t") >= need) & (shift <= F.col("n_e") - need) & (shift >= need - F.col("n_t")))
         .select("cls_e", "cls_t").distinct()
     )
-    words = classes.select("cls", "words")
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.col("cls_e").alias("cls")).unionByName(pairs.select(F.col("cls_t").alias("cls"))).distinct()
+    words = rows.select("cls", "words").join(small_side(wanted, LOOKUP_CLASSES), "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
     full = pairs.join(words.select(F.col("cls").alias("cls_e"), F.col("words").alias("words_e")), "cls_e").join(words.select(F.col("cls").alias("cls_t"), F.col("words").alias("words_t")), "cls_t")
     return members, materialize(_verify(full, similarity))
 
