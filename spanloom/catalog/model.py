@@ -108,7 +108,7 @@ def required_literal(pattern: str) -> str | None:
     """A substring that every match holds, where the expression shows one at its top level; used as a cheap gate."""
     if "|" in pattern:
         return None
-    flat = re.sub(r"\\[bdswDSWB]", " ", pattern)
+    flat = re.sub(r"\\[bdswDSWB](?:\{[^}]*\}|[*+?])*", " ", pattern)
     flat = re.sub(r"\[(?:\\.|[^\]])*\](?:\{[^}]*\}|[*+?])?", " ", flat)
     while re.search(r"\([^()]*\)", flat):
         flat = re.sub(r"\([^()]*\)(?:\{[^}]*\}|[*+?])?", " ", flat)
