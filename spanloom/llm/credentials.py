@@ -51,10 +51,9 @@ TOKENS = {
     "PREFIXED_TOKEN": r"[a-z]{2,5}_(?:live|prod)_[A-Za-z0-9]{20,250}",
 }
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_+/.-])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in TOKENS.items()) + r")(?![A-Za-z0-9_])")
-_TOKEN_HINT = re.compile(r"AKIA|ASIA|ABIA|ACCA|gh[pousr]_|github_pat|gl(?:pat|dt|ptt|rt|soat|cbt)-|xox|xapp|_live_|_test_|_prod_|whsec|SG\.|SK[0-9a-f]{8}|AIza|GOCSPX|ya29|npm_|pypi-|hf_|_v1_|hv[sbr]\.|:AA|eyJ|sk-|shp|sq0|glsa|dckr|key-|lin_api|rubygems")
-
 _SECRET_WORD = r"pass(?:word|wd|phrase|code)?|pwd|pw|secret|token|api[_-]?key|auth[_-]?key|access[_-]?key(?:[_-]?id)?|secret[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|license[_-]?key|shared[_-]?key|master[_-]?key|ssh[_-]?key|credentials?|webhook|passwort|kennwort|contrase(?:ñ|n)a|clave|mot[_ -]de[_ -]passe|auth"
-_NAME = rf"(?P<name>(?:[A-Za-z0-9_.$]+[_.-]|[a-z0-9]+(?=[A-Z])|\b|(?<=_))(?:(?i:{_SECRET_WORD}))(?:[_-]?(?i:key|id|value|token|secret|[a-z]{{1,12}}[0-9]*|[0-9]+)){{0,2}})"
+# An identifier is tried once, from its beginning.
+_NAME = rf"(?<![A-Za-z0-9_.$])(?P<name>(?:[A-Za-z0-9_.$-]*?(?:[_.$-]|[a-z0-9](?=[A-Z])))?(?:(?i:{_SECRET_WORD}))(?:[_-]?(?i:key|id|value|token|secret|[a-z]{{1,12}}[0-9]*|[0-9]+)){{0,2}})"
 _VALUE = r"(?:\(\s*)?(?:[bru]?\"(?P<d>(?:[^\"\\\n]|\\.)*)\"|[bru]?'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<t>[^`\n]*)`|(?P<b>[^\s\"'`,;<>(){}\[\]]+[^\s\"'`,;<>{}\[\]]*))"
 _ASSIGN = re.compile(rf"(?<![A-Za-z0-9])--?{_NAME}[ =]{_VALUE}|{_NAME.replace('?P<name>', '?P<name2>')}[\"'`]?\]?\s*(?::=|=>|\|\||==?|:)[ \t]*{re.sub(r'[?]P<([dstb])>', r'?P<\1 2>', _VALUE).replace(' 2>', '2>')}")
 _CALL = re.compile(rf"(?:set|put|setdefault|setProperty|add|define|setenv|getenv|get)\(\s*[\"']{_NAME}[\"']\s*,\s*(?:[bru]?\"(?P<d>[^\"\n]*)\"|[bru]?'(?P<s>[^'\n]*)')")
@@ -68,6 +67,8 @@ _HEADER = re.compile(r"\b(?:proxy-)?authorization[\"']?\s*[:=,]?\s*[\"']?\s*(?P<
 _X_HEADER = re.compile(r"\bx-(?:api-key|auth-token|access-token|vault-token)[\"']?\s*[:=]\s*[\"']?(?P<d>[^\s\"',;]+)", re.I)
 _COMMAND = re.compile(r"\b(?i:identified\s+by|with\s+password)\s+[\"'](?P<i>[^\"'\n]+)[\"']|\bsshpass\s+-p\s*[\"']?(?P<a>[^\s\"']+)|\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;]*?\s-p(?P<b>[^\s\"']+)|\bcurl\b[^\n|;]*?\s(?:-u|--user)[ =][\"']?[^\s:\"']+:(?P<c>[^\s\"']+)|\blogin\s+\S+\s+password\s+(?P<e>\S+)|\b(?:redis-cli)\b[^\n|;]*?\s-a\s*(?P<f>\S+)")
 _PROSE = re.compile(r"(?i:\b(?:pass(?:word|phrase|code|wort)|pwd|kennwort|contrase(?:ñ|n)a|clave|mot de passe|token|api key|access key|secret(?: key)?|schlüssel|(?:wifi|wi-fi|wlan) (?:key|password|passwort)|clé(?: d'accès)?)\b)(?:[ \t]+(?i:is|es|est|ist|lautet|now|new|nueva|nuevo|neue|again|the|el|la|le|for|of|temporary|temporal|here|jetzt|ahora|maintenant|actual|wifi|to|until)\b){0,4}[ \t]*[:=]?[ \t]*[\"'`]?(?P<d>[^\s\"'`]{6,})")
+#: Each kind of named value, and what a line must hold for it.
+_NAMED_VALUES = ((_ASSIGN, ("=", ":", "||", "--")), (_CALL, ("(",)), (_FALLBACK, ("||", "??", " or ", ":-")), (_BLOCK, ("{",)), (_XML, ("</",)), (_TO_FILE, ("echo",)))
 _PEM = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?P<d>(?:(?!-----BEGIN).)*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z|\n[ \t]*\r?\n)", re.S)
 _PUTTY = re.compile(r"PuTTY-User-Key-File-[23]:[^\n]*\n(?P<d>(?:[^\n]*\n){2,40}?Private-MAC: [0-9a-f]+)")
 _CONNECTION = re.compile(r"(?:^|[;\"'\s])(?P<name>(?i:password|pwd|accountkey|sharedaccesskey|sharedaccesssignature))\s*=\s*(?P<d>[^;\"'\s]+)(?=;|[\"']|\s|$)")
@@ -82,11 +83,6 @@ _AROUND = " \t\r\n\"'<>`"
 _ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\[0-7]{3}){6,}")
 _ENTITIES = re.compile(r"(?:&#(?:x[0-9a-fA-F]{2,5}|[0-9]{2,6});){6,}")
 
-#: Cheap signs that the patterns above can match.
-_WORD = re.compile(r"pass|pwd|\bpw\b|_pw|secret|token|key|auth|cred|hook|kennwort|contrase|clave|schl|\bcl[ée]\b", re.I)
-_AUTHORIZATION = re.compile("authorization", re.I)
-_TOOL = re.compile(r"sshpass|mysql|mariadb|curl|login|redis-cli|identified|with password", re.I)
-
 #: What a value looks like that is no credential: a reference, a placeholder, a mask, a call.
 _REFERENCE = re.compile(
     r"^(?:\$|%[A-Za-z_(]|\{\{|#\{|@|<|\[|!|&|vault:|ssm:|secretsmanager:|arn:|env[:.(]|file:|keyring:|op://|ref\+|sops:|azurekeyvault|https?:|(?:/[a-z0-9._-]+){2,}/?$|\./|~/|\.\.)"
@@ -106,7 +102,13 @@ _NO_SECRET_WORDS = frozenset(
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, 0x2007, 0x202F, 0x3000], 0x20) | dict.fromkeys([0x2010, 0x2011], 0x2D)
-_TRIGGER = re.compile(r"pass|pwd|\bpw\b|secret|token|key|auth|cred|webhook|kennwort|contrase|clave|schl|cl[ée]\b|://|sshpass|mysql|login|curl|redis|identified|[A-Za-z0-9+/_-]{16}|%[0-9a-f]{2}.*%|\\x|\\u|&#|AKIA|ASIA", re.I)
+_CHANGED = re.compile("[" + re.escape("".join(map(chr, _WIDE))) + "]")
+#: Substrings of the lower-cased text one of which every finding needs, unless it has a long run or an escape.
+_SIGNS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "hook", "kennwort", "contrase", "clave", "schl", "clé", "cle", "://", "mysql", "login", "curl", "redis", "identified", "akia", "asia", "&#", "\\x", "\\u", "%")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16}")
+_HINTS = ("AKIA", "ASIA", "ABIA", "ACCA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "gldt-", "glptt-", "glrt-", "glsoat-", "glcbt-", "xox", "xapp", "_live_", "_test_", "_prod_", "whsec", "SG.", "SK", "AIza", "GOCSPX", "ya29", "npm_", "pypi-", "hf_", "_v1_", "hvs.", "hvb.", "hvr.", ":AA", "eyJ", "sk-", "shp", "sq0", "glsa", "dckr", "key-", "lin_api", "rubygems")
+_TOOLS = ("sshpass", "mysql", "mariadb", "curl", "login", "redis-cli", "identified", "with password")
+_LINE_SIGNS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "hook", "kennwort", "contrase", "clave", "schl", "cle", "clé", "pw")
 
 
 def entropy(s: str) -> float:
@@ -147,10 +149,14 @@ class Clean:
         self.places = None
         if not text.isascii():
             if _INVISIBLE.search(text):
-                self.places = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
+                self.places, at = [], 0
+                for m in _INVISIBLE.finditer(text):
+                    self.places += range(at, m.start())
+                    at = m.end()
+                self.places += range(at, len(text) + 1)
                 text = _INVISIBLE.sub("", text)
-                self.places.append(self.places[-1] + 1 if self.places else 0)
-            text = text.translate(_WIDE)
+            if _CHANGED.search(text):
+                text = text.translate(_WIDE)
         self.text = text
 
     def span(self, start: int, end: int) -> tuple[int, int]:
@@ -191,21 +197,27 @@ _VALUES = {"d", "s", "t", "b", "d2", "s2", "t2", "b2"}
 def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
     """(start, end, type) of the credentials of a plain text; spans of one literal may overlap."""
     out: list[tuple[int, int, str]] = []
-    for m in _PEM.finditer(text):
+    low = text.lower()
+    for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
         body = re.sub(r"\\[nr]|[\s\"'+,\\]|Proc-Type:.*|DEK-Info:.*", "", m["d"])
         if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 40 and len(set(body)) > 10 and not _PLACEHOLDER.search(m["d"][:60].replace("-", "")):
             out.append((m.start(), m.end(), "PRIVATE_KEY"))
-    out += [(m.start(), m.end(), "PRIVATE_KEY") for m in _PUTTY.finditer(text)]
-    if _TOKEN_HINT.search(text):
+    out += [(m.start(), m.end(), "PRIVATE_KEY") for m in _PUTTY.finditer(text)] if "PuTTY" in text else []
+    if any(h in text for h in _HINTS):
         for m in _TOKEN.finditer(text):
             if not _PLACEHOLDER.search(m.group()) and entropy(m.group()) > 2.5:
                 out.append((m.start(), m.end(), m.lastgroup))
-    lines, end = [], -1
-    for m in _WORD.finditer(text):
-        if m.start() > end:
-            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-            end = len(text) if end < 0 else end
-            lines.append((start, end))
+    lines, at = [], 0
+    if len(low) == len(text) and any(w in low for w in _LINE_SIGNS):
+        for line in low.split("\n"):
+            if any(w in line for w in _LINE_SIGNS):
+                lines.append((at, at + len(line)))
+            at += len(line) + 1
+    elif len(low) != len(text):  # a letter whose lower case is longer: places by the text itself
+        for line in text.split("\n"):
+            if any(w in line.lower() for w in _LINE_SIGNS):
+                lines.append((at, at + len(line)))
+            at += len(line) + 1
     for start, end in lines:
         out += _line(text, start, end)
     if "value" in text and lines:
@@ -216,7 +228,7 @@ def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
             v = unquote(m["d"])
             if len(v) >= 4 and len(set(v)) >= 3 and not _REFERENCE.search(v) and not _PLACEHOLDER.search(v):
                 out.append((m.start("d"), m.end("d"), "DATABASE_CONNECTION_STRING"))
-    for m in _HEADER.finditer(text) if _AUTHORIZATION.search(text) else ():
+    for m in _HEADER.finditer(text) if "authorization" in low else ():
         v, kind = m["d"], m["kind"].lower()
         if kind == "basic":
             plain = _printable(_base64(v) or b"")
@@ -224,7 +236,7 @@ def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
                 out.append((m.start("d"), m.end("d"), "BASIC_AUTH"))
         elif len(v) >= 12 and usable(v):
             out.append((m.start("d"), m.end("d"), "BEARER_TOKEN"))
-    for m in _COMMAND.finditer(text) if _TOOL.search(text) else ():
+    for m in _COMMAND.finditer(text) if any(w in low for w in _TOOLS) else ():
         g = m.lastgroup
         if usable(m[g]):
             out.append((m.start(g), m.end(g), "GENERIC_SECRET"))
@@ -244,13 +256,15 @@ def _named(text: str, m: re.Match, out: list[tuple[int, int, str]]) -> None:
 def _line(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
     """Findings on a line that has a telling word."""
     out: list[tuple[int, int, str]] = []
-    for pattern in (_ASSIGN, _CALL, _FALLBACK, _BLOCK, _XML, _TO_FILE):
-        for m in pattern.finditer(text, start, end):
-            _named(text, m, out)
-    for m in _CONNECTION.finditer(text, start, end):
+    line = text[start:end]
+    for pattern, signs in _NAMED_VALUES:
+        if any(x in line for x in signs):
+            for m in pattern.finditer(text, start, end):
+                _named(text, m, out)
+    for m in _CONNECTION.finditer(text, start, end) if "=" in line else ():
         if usable(m["d"]):
             out.append((m.start("d"), m.end("d"), "CONNECTION_STRING"))
-    for m in _X_HEADER.finditer(text, start, end):
+    for m in _X_HEADER.finditer(text, start, end) if "x-" in line or "X-" in line else ():
         if usable(m["d"]):
             out.append((m.start("d"), m.end("d"), "BEARER_TOKEN"))
     for m in _PROSE.finditer(text, start, end):
@@ -287,17 +301,18 @@ def _decoded(text: str, layer: int) -> list[tuple[int, int, str]]:
     out = []
 
     def rescan(start: int, end: int, plain: str | None) -> None:
-        if plain and len(plain) >= 8 and _TRIGGER.search(plain):
+        if plain and len(plain) >= 8 and _may_hold(plain):
             out.extend((start, end, kind) for _, _, kind in scan(plain, layer + 1)[:1])
 
-    for m in _BASE64_LINES.finditer(text):
+    runs = _RUN.search(text) is not None
+    for m in _BASE64_LINES.finditer(text) if runs else ():
         if "\n" in m.group() and "-----" not in text[max(0, m.start() - 40) : m.start()]:
             raw = _base64(m.group())
             if raw and (kind := keyfiles.private_key_kind(raw)):
                 out.append((m.start() + len(m.group()) - len(m.group().lstrip()), m.end(), "PRIVATE_KEY" if kind else ""))
             elif raw:
                 rescan(m.start(), m.end(), _printable(raw))
-    for m in _BASE64.finditer(text):
+    for m in _BASE64.finditer(text) if runs else ():
         before = text[max(0, m.start() - 40) : m.start()]
         if re.search(r"data:[\w.+-]+/[\w.+-]+;base64,$", before) or re.search(r"sha(?:256|384|512)[-:]$", before):
             continue
@@ -308,7 +323,7 @@ def _decoded(text: str, layer: int) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "PRIVATE_KEY"))
         else:
             rescan(m.start(), m.end(), _printable(raw))
-    for m in _HEX.finditer(text):
+    for m in _HEX.finditer(text) if runs else ():
         raw = bytes.fromhex(m.group(1))
         if keyfiles.private_key_kind(raw):
             out.append((m.start(), m.end(), "PRIVATE_KEY"))
@@ -333,9 +348,14 @@ def _decoded(text: str, layer: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def _may_hold(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in _SIGNS) or _RUN.search(text) is not None
+
+
 def findings(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, type) in the original text, ordered and without overlaps; of overlapping ones the earliest, then the longest stays."""
-    if not text or not _TRIGGER.search(text):
+    if not text or not _may_hold(text):
         return []
     clean = Clean(text)
     out: list[tuple[int, int, str]] = []
