@@ -51,6 +51,22 @@ _ADDRESSES = (
     re.compile(rf"(?<![\w.])(?:(?:Am|An der|Zum|Zur|Im|In der|Auf der|Unter den) )?[{_UP}][{_LOW}{_UP}-]*(?:[ -]?(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|Straße|Str\.|Weg|Platz|Allee|markt|steig|hof))\.? \d{{1,4}} ?[a-z]?(?!\w)"),
     re.compile(rf"(?<![\w.])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Pº|Camino|Carrera|Ronda|Travesía|Rambla|Carretera|Vía|Glorieta)(?: (?:de la|de los|de las|del|de))? ?(?:{_WORD} ?){{1,4}},? ?(?:n[.ºo°]+ ?|núm\. ?)?\d{{1,4}}(?:,? ?\d{{1,2}}[ºª](?: ?[A-Z])?)?"),
 )
+# Cheap signs without which the expressions above cannot match a line.
+_AT = re.compile(r"%40|[(\[{] ?(?:at|AT|arroba)| dot ")
+_DIGIT = re.compile(r"\d")
+_MANY_DIGITS = re.compile(r"\d(?:[ ().\-/]{0,4}\d){6}")
+_ID_LIKE = re.compile(r"\d(?:[ .-]?[A-Z0-9]){5}|[A-Z0-9]{8}")
+_ADDRESS_SIGNS = (
+    re.compile(rf" {_STREET}\b"),
+    re.compile(r"(?i)rue|avenue|av\.|boulevard|bd|chemin|place|impasse|all[ée]e|cours|quai|route|square|passage|sentier|faubourg"),
+    re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|markt|steig|hof|Stra(?:ß|ss)e|Str\.|Weg|Platz|Allee)\.? \d"),
+    re.compile(r"Calle|C/|Av|Plaza|Pza|P[aº]|Camino|Carre|Ronda|Travesía|Rambla|Vía|Glorieta"),
+)
+_TWO_NAMES = re.compile(rf"[{_UP}][{_UP}{_LOW}.'’-]*,? (?:[a-z]+ (?:[a-z]+ )?)?[{_UP}]")
+_TITLED, _INITIAL, _OF = re.compile(rf"{_TITLE} "), re.compile(rf"(?<!\w)[{_UP}]\."), re.compile(rf" (?:{_PARTICLE}) ")
+_ONLY_TITLE, _ONLY_INITIAL = re.compile(_TITLE), re.compile(rf"[{_UP}]\.")
+_URL_BEFORE, _LOCAL, _LOGIN_PART = re.compile(r"[a-z][a-z0-9+.-]*://\S*$"), re.compile(r"[@(\[%]| at "), re.compile(r"[\d._+-]")
+_NUMBERS = re.compile(r"\d+")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{};,=:]+|[\"'<>()\[\]{};,=:]")
 _LOGINS = frozenset("build deploy git root admin administrator noreply no-reply svc service user www backup ci bot jenkins ubuntu ec2-user postgres mysql reader app info support sales postmaster".split())
 _COMMENT = re.compile(r"\s*(?:#|//|--|/\*|\*|;|<!--)")
@@ -95,17 +111,22 @@ def _checks(kind: int, pattern: int, s: str) -> int:
 def candidates(line: str, names: frozenset[str]) -> list[tuple[int, int, int, int]]:
     """(start, end, type, pattern) of the spans that may be personal information."""
     out: list[tuple[int, int, int, int]] = []
-    if "@" in line or "%40" in line or "at" in line or "AT" in line or "arroba" in line:
+    if "@" in line or _AT.search(line):
         out += [(m.start(), m.end(), 0, 0) for m in _EMAIL.finditer(line)]
-    if any(c.isdigit() for c in line):
-        for m in _PHONE.finditer(line):
-            n = sum(c.isdigit() for c in m.group())
-            if 7 <= n <= 16:
-                out.append((m.start(), m.end(), 1, 0))
-        for k, p in enumerate(_IDS):
-            out += [(m.start(), m.end(), 2, k) for m in p.finditer(line)]
-        for k, p in enumerate(_ADDRESSES):
-            out += [(m.start(), m.start() + len(m.group().rstrip()), 3, k) for m in p.finditer(line)]
+    if _DIGIT.search(line):
+        if _MANY_DIGITS.search(line):
+            for m in _PHONE.finditer(line):
+                n = len(_DIGIT.findall(m.group()))
+                if 7 <= n <= 16:
+                    out.append((m.start(), m.end(), 1, 0))
+        if _ID_LIKE.search(line):
+            for k, p in enumerate(_IDS):
+                out += [(m.start(), m.end(), 2, k) for m in p.finditer(line)]
+        for k, (p, sign) in enumerate(zip(_ADDRESSES, _ADDRESS_SIGNS)):
+            if sign.search(line):
+                out += [(m.start(), m.start() + len(m.group().rstrip()), 3, k) for m in p.finditer(line)]
+    if not _TWO_NAMES.search(line):
+        return out
     for m in _RUN.finditer(line):
         tokens = m.group().split(" ")
         if len(tokens) < 2:
@@ -113,7 +134,7 @@ def candidates(line: str, names: frozenset[str]) -> list[tuple[int, int, int, in
         out.append((m.start(), m.end(), 4, 0))
         at = m.start()
         for i, t in enumerate(tokens[:-1]):
-            if i and (fold(t) in names or re.fullmatch(_TITLE, t) or re.fullmatch(rf"[{_UP}]\.", t)):
+            if i and (fold(t) in names or _ONLY_TITLE.fullmatch(t) or _ONLY_INITIAL.fullmatch(t)):
                 out.append((at, m.end(), 4, 1))
                 break
             at += len(t) + 1
@@ -130,20 +151,20 @@ def features(line: str, span: tuple[int, int, int, int], others: list[tuple[int,
     before, after = line[:start], line[end:]
     left = _TOKEN.findall(before[-80:])
     right = _TOKEN.findall(after[:60])
-    words = [re.sub(r"\d+", "0", w.lower()) for w in left if w[0].isalnum()]
-    url = re.search(r"[a-z][a-z0-9+.-]*://\S*$", before)
-    local = re.split(r"[@(\[%]| at ", s)[0].strip().lower()
+    words = [_NUMBERS.sub("0", w.lower()) for w in left if w[0].isalnum()]
+    url = _URL_BEFORE.search(before[-200:])
+    local = _LOCAL.split(s)[0].strip().lower()
     numbers = [
         kind, pattern, len(s), sum(map(str.isdigit, s)), sum(map(str.isupper, s)), sum(not c.isalnum() and not c.isspace() for c in s), len(tokens),
-        bool(folded) and folded[0] in names, sum(t in names for t in folded), bool(re.match(rf"{_TITLE} ", s)), bool(re.search(rf"(?<!\w)[{_UP}]\.", s)), bool(re.search(rf" (?:{_PARTICLE}) ", s)),
+        bool(folded) and folded[0] in names, sum(t in names for t in folded), bool(_TITLED.match(s)), bool(_INITIAL.search(s)), bool(_OF.search(s)),
         ", " in s, sum(len(t) > 2 and t.isupper() for t in tokens), _checks(kind, pattern, s), _side(before[-1:]), _side(after[:1]), "://" in line, line.lstrip().startswith("ssh-"), s.count("@"),
         bool(_COMMENT.match(line)), len(right) > 0 and right[0] == ":", not before.strip(), sum(o[2] != kind and o[0] < end and start < o[1] for o in others), sum(o[2] == kind and o != span and o[0] < end and start < o[1] for o in others),
-        re.split(r"[\d._+-]", local)[0] in _LOGINS, url is not None, before.rstrip()[-1:] == ":", len(before), sum(t[:1].isupper() for t in tokens) / max(1, len(tokens)), after[:1] == ":" or after[:2] == ":/",
+        _LOGIN_PART.split(local)[0] in _LOGINS, url is not None, before.rstrip()[-1:] == ":", len(before), sum(t[:1].isupper() for t in tokens) / max(1, len(tokens)), after[:1] == ":" or after[:2] == ":/",
     ]
     last = folded[-1] if folded else ""
     texts = [
-        words[-1] if words else (left[-1] if left else "^"), " ".join(words[-2:]), "".join(left[-2:])[-20:].lower(), (re.sub(r"\d+", "0", right[0].lower()) if right else "$"), _shape(s), folded[0] if folded and kind > 2 else "", last[-4:] if kind > 2 else last[-8:],
-        re.sub(r"\d+", "0", (_TOKEN.findall(line) or [""])[0].lower()), " ".join(words[-1:]) + "|" + _shape(s)[:16],
+        words[-1] if words else (left[-1] if left else "^"), " ".join(words[-2:]), "".join(left[-2:])[-20:].lower(), (_NUMBERS.sub("0", right[0].lower()) if right else "$"), _shape(s), folded[0] if folded and kind > 2 else "", last[-4:] if kind > 2 else last[-8:],
+        _NUMBERS.sub("0", (m.group() if (m := _TOKEN.search(line)) else "").lower()), " ".join(words[-1:]) + "|" + _shape(s)[:16],
     ]
     return [float(n) for n in numbers], [f"{kind}|{t}" for t in texts]
 
