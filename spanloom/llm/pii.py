@@ -264,10 +264,11 @@ def fit_model(requests: DataFrame, reports: DataFrame, names: frozenset[str], ke
     """Fits on at most TRAINING_REQUESTS requests, the first by a hash of their key; all of a smaller table."""
     spark = requests.sparkSession
     shared = spark.sparkContext.broadcast(names)
-    q = requests.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''").dropDuplicates(["k"])
-    q = q.orderBy(F.xxhash64("k"), "k").limit(TRAINING_REQUESTS)
+    q = requests.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''")
+    ids = q.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(TRAINING_REQUESTS)  # texts are not moved for the choice
+    q = q.join(F.broadcast(ids), "k", "left_semi").groupBy("k").agg(F.max("t").alias("t"))
     r = reports.select(F.col(key).alias("k"), "start_pos", "end_pos", "entity_type").where("start_pos is not null and end_pos is not null").where(F.col("entity_type").isin(list(REPORTED))).distinct()
-    r = r.join(F.broadcast(q.select("k")), "k", "left_semi").groupBy("k").agg(F.collect_list(F.struct("start_pos", "end_pos", "entity_type")).alias("told"))
+    r = r.join(F.broadcast(ids), "k", "left_semi").groupBy("k").agg(F.collect_list(F.struct("start_pos", "end_pos", "entity_type")).alias("told"))
     x = q.join(r, "k", "left").withColumn("half", F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(2)).cast("int"))
 
     def label(batches):
