@@ -35,14 +35,16 @@ class Trees:
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     """Level by level on binned features, second order, deterministic."""
     n, width = x.shape
+    if not n:
+        return Trees(np.zeros((0, 2**DEPTH - 1), np.int64), np.zeros((0, 2**DEPTH - 1)), np.zeros((0, 2**DEPTH)), 0.0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
-    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1) if n else np.zeros((0, width), int)
-    p = float(np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3))
+    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
+    p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     start = float(np.log(p / (1 - p)))
     score = np.full(n, start)
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     features, thresholds, values = [], [], []
-    for _ in range(TREES if n else 0):
+    for _ in range(TREES):
         q = 1 / (1 + np.exp(-score))
         g, h = q - y, np.maximum(q * (1 - q), 1e-6)
         feature, cut, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)

@@ -22,7 +22,6 @@ SIMILARITY, MIN_TOKENS = 0.8, 8
 SKETCH_BITS = 20
 #: Classes in candidate pairs whose tokens are looked up by a broadcast list of their names; more are joined by shuffle.
 LOOKUP_CLASSES = 1_000_000
-_MASK = (1 << 64) - 1
 
 
 def common_in_order(a: list, b: list, least: int) -> int:
@@ -67,7 +66,11 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _segments(rows: DataFrame, similarity: float) -> DataFrame:
-    """(cls, n, token, pos, is_train) of each record's k+1 rarest tokens; equal tokens of a record differ by their number."""
+    """(cls, n, token, pos, is_train) of each record's k+1 rarest tokens, of equal ones the earlier first.
+
+    Of the pairs of partners, take the rarest token's first: all that comes before it in this order has no partner on
+    either side, so the pair is among the k+1 of both records, and its shift is within bounds.
+    """
     counts = rows.sparkSession.sparkContext.broadcast(_sketch(rows))  # 2 ** SKETCH_BITS numbers
     x = rows.select("cls", "is_train", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
@@ -77,19 +80,12 @@ def _segments(rows: DataFrame, similarity: float) -> DataFrame:
         for p in batches:
             out: list[list] = [[] for _ in range(5)]
             for c, t, hs in zip(p["cls"], p["is_train"], p["hashes"]):
-                seen: dict[int, int] = {}
-                order = []
-                for i, h in enumerate(np.asarray(hs, np.int64).tolist()):
-                    seen[h] = seen.get(h, 0) + 1
-                    order.append((int(count[h & mask]), h, seen[h], i))
-                order.sort()
+                order = sorted((int(count[h & mask]), h, i) for i, h in enumerate(np.asarray(hs, np.int64).tolist()))
                 k = len(order) - _least(len(order), similarity)
-                for _, h, m, i in order[: k + 1]:
-                    # An odd factor keeps the first, the second ... of equal tokens apart without another column.
-                    for column, v in zip(out, (c, len(order), (h * (2 * m - 1)) & _MASK, i, t)):
+                for _, h, i in order[: k + 1]:
+                    for column, v in zip(out, (c, len(order), h, i, t)):
                         column.append(v)
-            token = np.array(out[2], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"cls": out[0], "n": out[1], "token": token, "pos": out[3], "is_train": out[4]})
+            yield pd.DataFrame(dict(zip(("cls", "n", "token", "pos", "is_train"), out)))
 
     return x.mapInPandas(cut, "cls bigint, n int, token bigint, pos int, is_train boolean")
 
@@ -128,7 +124,7 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
     members = x.select("key", "split", "cls", "n", *[F.col(f"_{c}").alias(c) for c in rest])
     rows = x.select("cls", "words", (F.col("split") == train).alias("is_train"))
     # Copies give the same segments, which the partial aggregation joins before they are shuffled.
-    cut = _segments(rows, similarity).groupBy("token", "cls", "is_train").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    cut = _segments(rows, similarity).groupBy("token", "cls", "is_train", "pos").agg(F.first("n").alias("n"))
     cut = materialize(cut)
     e, t = (cut.where(w).select(F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), "token", F.col("pos").alias(f"pos_{s}")) for w, s in (("not is_train", "e"), ("is_train", "t")))
     need = F.ceil(F.lit(similarity) * F.greatest("n_e", "n_t") - F.lit(1e-9))
