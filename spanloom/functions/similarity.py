@@ -26,28 +26,48 @@ def dice(a: str, b: str) -> float:
     return 2 * (bigrams(a) & bigrams(b)).total() / (len(a) + len(b) - 2)
 
 
-_PHRASES: dict[tuple[str, ...], list[tuple[str, list[tuple[str, int]], int]]] = {}
+class _Phrases:
+    """Phrases by their pairs: pair -> (phrase, how often the phrase has it)."""
+
+    def __init__(self, phrases: tuple[str, ...]) -> None:
+        plain = [_SPACE.sub("", p) for p in phrases]
+        self.whole, self.lengths = frozenset(plain), [len(p) for p in plain]
+        self.having: dict[str, list[tuple[int, int]]] = {}
+        for i, p in enumerate(plain):
+            for pair, n in bigrams(p).items():
+                self.having.setdefault(pair, []).append((i, n))
+
+    def best(self, s: str) -> float:
+        """The highest likeness of a string without white space."""
+        if s in self.whole:
+            return 1.0
+        if len(s) < 2:
+            return 0.0
+        shared, seen, having = [0] * len(self.lengths), {}, self.having
+        for i in range(len(s) - 1):
+            pair = s[i : i + 2]
+            phrases = having.get(pair)
+            if phrases:
+                n = seen[pair] = seen.get(pair, 0) + 1
+                for k, most in phrases:
+                    if n <= most:
+                        shared[k] += 1
+        return max(2 * n / (len(s) + m - 2) for n, m in zip(shared, self.lengths))
+
+
+_KNOWN: dict[tuple[str, ...], _Phrases] = {}
 
 
 def best_rating(text: str, phrases: tuple[str, ...], windows: bool) -> float:
     """The highest likeness of the lower-cased text to a phrase; with ``windows`` of any full window of a long text too."""
     low = text.lower().strip()
-    if phrases not in _PHRASES:
-        _PHRASES[phrases] = [(s := _SPACE.sub("", p), list(bigrams(p).items()), len(s)) for p in phrases]
+    if phrases not in _KNOWN:
+        _KNOWN[phrases] = _Phrases(phrases)
+    known = _KNOWN[phrases]
     parts = [low]
     if windows and len(low) > WHOLE_UP_TO:
         parts += [low[i : i + WINDOW] for i in range(0, len(low) - WINDOW + 1, STEP)]
-    best = 0.0
-    for part in parts:
-        s = _SPACE.sub("", part)
-        pairs = Counter(s[i : i + 2] for i in range(len(s) - 1))
-        for phrase, counts, n in _PHRASES[phrases]:
-            if s == phrase:
-                return 1.0
-            if len(s) < 2 or 2 * (n - 1) <= best * (len(s) + n - 2):  # not even all pairs together would do
-                continue
-            best = max(best, 2 * sum(min(c, pairs.get(b, 0)) for b, c in counts) / (len(s) + n - 2))
-    return best
+    return max(known.best(_SPACE.sub("", p)) for p in parts)
 
 
 def dice_col(a: Column, b: Column) -> Column:

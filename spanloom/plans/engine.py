@@ -11,7 +11,7 @@ from spanloom.functions import spans
 from spanloom.operators.guards import Guard, PiiGuard, SecretGuard, TestDataGuard, injection_guard, leakage_guard
 from spanloom.plans import cascade, risk
 from spanloom.plans.policy import GuardPolicy, Policy, guard_settings, resolve_policy
-from spanloom.runtime import ship
+from spanloom.runtime import ship, spread
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class ScanEngine:
     def detections_of(self, df: DataFrame, text: str = "text") -> DataFrame:
         """A column of detections for each active guard: a null text has none."""
         ship(df.sparkSession)
-        x = df.withColumns({f"_{g.name}": g.detect(F.col(text)) for g in self._active()})
+        x = spread(df).withColumns({f"_{g.name}": g.detect(F.col(text)) for g in self._active()})
         return x.withColumns({f"_{g.name}": g.finish(F.col(f"_{g.name}")) for g in self._active()})
 
     def analyze(self, df: DataFrame, text: str = "text", out: str = "results") -> DataFrame:

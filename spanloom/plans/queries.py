@@ -15,7 +15,7 @@ from spanloom.operators import evaluation, guards
 from spanloom.plans import cascade, risk
 from spanloom.plans.engine import create_engine
 from spanloom.plans.policy import MODERATE, STRICT, RiskThresholds
-from spanloom.runtime import ship, table
+from spanloom.runtime import ship, spread, table
 from spanloom.streaming import scan as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,9 @@ def _span_sql(source: str, key: str, literal: str) -> str:
 
 
 def _span_query(spark: SparkSession, d: str, source: str, key: str, pattern: str, ignore_case: bool) -> DataFrame:
-    x = table(spark, d, source)
+    x = spread(table(spark, d, source).where("text is not null").select(key, "text"))
     found = spans.find_all(F.col("text"), java_regex(pattern, ignore_case))
-    return x.where("text is not null").select(key, F.inline(found)).select(key, "start_pos", "end_pos", F.col("text").alias("match"))
+    return x.select(key, F.inline(found)).select(key, "start_pos", "end_pos", F.col("text").alias("match"))
 
 
 def _add_spans(name: str, source: str, key: str, pattern: str, ignore_case: bool = False) -> None:
@@ -98,7 +98,7 @@ _DERIVED_SQL = "(SELECT c_custkey AS key, replace([" + ", ".join(f"'{p}'" for p
 
 
 def _rule_query(spark: SparkSession, d: str, source: str, key: str, rules: tuple[Rule, ...], threshold: float | None) -> DataFrame:
-    x = table(spark, d, source).where("text is not null").select(key, F.inline(guards.narrow(F.col("text"), rules, "pii", threshold)))
+    x = spread(table(spark, d, source).where("text is not null").select(key, "text")).select(key, F.inline(guards.narrow(F.col("text"), rules, "pii", threshold)))
     return x.select(key, "entity_type", "start_pos", "end_pos", F.col("text").alias("match"), "confidence", "score")
 
 
@@ -145,7 +145,7 @@ for _name, _kind, _check, _at in (("pii_ssn_detections", "US_SSN", _ssn_sql("t")
 def _report(spark: SparkSession, d: str) -> DataFrame:
     """E-mail, IPv4 and card numbers (with Luhn and context) in the documents."""
     rules = tuple(Rule(**{**r.__dict__, "patterns": r.patterns[:1]}) for r in select(pii.RULES, ["CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS"], 0.5))
-    x = table(spark, d, "documents").where("text is not null").select("lang", guards.narrow(F.col("text"), rules, "pii", 0.5).alias("found"))
+    x = spread(table(spark, d, "documents").where("text is not null").select("lang", "text")).select("lang", guards.narrow(F.col("text"), rules, "pii", 0.5).alias("found"))
     x = x.select("lang", F.inline(spans.best_disjoint(F.col("found"))))
     return x.groupBy("lang", "entity_type", "confidence").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
 
@@ -154,7 +154,7 @@ _add("pii_report_by_lang", _report)
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text is not null")
+    x = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     found = spans.find_all(F.col("text"), java_regex(_rule("EMAIL_ADDRESS").patterns[0]))
     return x.select("doc_id", "text", F.explode(found).alias("m")).select("doc_id", F.col("m.start_pos").alias("start_pos"), spans.window(F.col("text"), F.col("m.start_pos"), F.col("m.end_pos")).alias("context"))
 
@@ -164,7 +164,7 @@ _add("span_context_window", _context, f"""WITH {_span_sql("documents", "doc_id",
 
 
 def _redact_email(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text is not null")
+    x = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
     found = guards.narrow(F.col("text"), (_rule("EMAIL_ADDRESS"),), "pii", None)
     return x.select("doc_id", spans.redact(F.col("text"), found).alias("redacted"))
 
@@ -249,6 +249,7 @@ _add("entropy_shannon", _entropy, """WITH c AS (SELECT detection_id, text, strin
 def _counts(spark: SparkSession, d: str, rules: tuple[Rule, ...], by: list[str], guard: str, derived: bool = False) -> DataFrame:
     ship(spark)
     x = (_derived_texts(spark, d) if derived else table(spark, d, "scan_requests")).where("text is not null").select("text")
+    x = spread(x)
     x = x.select(guards.wide(F.col("text"), rules, guard, None).alias("found")).select(F.inline("found"))
     families = {r.entity_type: r.family for r in rules}
     if "category" in by:
@@ -273,7 +274,7 @@ _add("testdata_by_type", partial(_counts, rules=_TEST, by=["entity_type"], guard
 
 def _entropy_filter(spark: SparkSession, d: str) -> DataFrame:
     rule = _rule("GENERIC_SECRET", secrets.RULES)
-    x = table(spark, d, "scan_requests").where("text is not null").select("scan_id", F.inline(guards.narrow(F.col("text"), (rule,), "secret", 0.5)))
+    x = spread(table(spark, d, "scan_requests").where("text is not null").select("scan_id", "text")).select("scan_id", F.inline(guards.narrow(F.col("text"), (rule,), "secret", 0.5)))
     return x.select("scan_id", "start_pos", F.col("text").alias("match"))
 
 

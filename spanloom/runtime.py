@@ -55,6 +55,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large input has more splits than the cluster has cores and passes unchanged, without a shuffle.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
