@@ -175,23 +175,23 @@ _add("redact_emails", _redact_email, f"SELECT doc_id, regexp_replace(text, {_re2
 # --- check digits over derived numbers -------------------------------------------------------------------------------
 
 
-def _derived(key: str, length: int) -> tuple[Column, str]:
-    """A number of fixed length from an integer key, in both engines."""
-    modulus = 10**length
-    return (
-        F.lpad(((F.col(key).cast("decimal(38,0)") * 7919 * 104729 + 31337) % modulus).cast("decimal(38,0)").cast("string"), length, "0"),
-        f"lpad(CAST((CAST({key} AS HUGEINT) * 7919 * 104729 + 31337) % {modulus} AS VARCHAR), {length}, '0')",
-    )
+def _derived(key: str, length: int) -> Column:
+    """A number of fixed length from an integer key."""
+    return F.lpad(((F.col(key).cast("decimal(38,0)") * 7919 * 104729 + 31337) % 10**length).cast("decimal(38,0)").cast("string"), length, "0")
 
 
-def _check_query(spark: SparkSession, d: str, value: Column, check: str) -> DataFrame:
-    x = table(spark, d, "orders").select("o_orderkey", value.alias("value"))
+def _derived_sql(key: str, length: int) -> str:
+    return f"lpad(CAST((CAST({key} AS HUGEINT) * 7919 * 104729 + 31337) % {10**length} AS VARCHAR), {length}, '0')"
+
+
+def _check_query(spark: SparkSession, d: str, length: int, column: Callable[[Column], Column], check: str) -> DataFrame:
+    x = table(spark, d, "orders").select("o_orderkey", column(_derived("o_orderkey", length)).alias("value"))
     return x.select("o_orderkey", "value", checksums.COLUMN_CHECKS[check](F.col("value")).alias("ok"))
 
 
 def _add_check(name: str, length: int, check: str, sql: str, column: Callable[[Column], Column] = lambda c: c, text: str = "{}") -> None:
-    value, derived = _derived("o_orderkey", length)
-    _add(name, partial(_check_query, value=column(value), check=check), f"WITH v AS (SELECT o_orderkey, {text.format(derived)} AS value FROM orders) SELECT o_orderkey, value, {sql} AS ok FROM v")
+    derived = text.format(_derived_sql("o_orderkey", length))
+    _add(name, partial(_check_query, length=length, column=column, check=check), f"WITH v AS (SELECT o_orderkey, {derived} AS value FROM orders) SELECT o_orderkey, value, {sql} AS ok FROM v")
 
 
 def _letters(c: Column, alphabet: str, by: int) -> Column:
