@@ -155,13 +155,11 @@ def deep_scan(first: DataFrame, key: str, text: str, scorer: Scorer | None, revi
                 answers = pa.array([[next(got) for _ in prompts] for prompts in asked_of], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, answers], [*batch.schema.names, "_answers"])
 
-        # Rows without escalated spans do not go to Python.
-        some, rest = asked.where(F.size("_asked") > 0), asked.where(F.size("_asked") == 0)
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in some.schema) + ", _answers array<string>"
-        some = some.mapInArrow(answer, schema)
+        # One pass, so guards and model run once; the reviewer is called only for batches that ask something.
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", _answers array<string>"
+        some = asked.mapInArrow(answer, schema)
         pairs = F.zip_with(unsure, F.col("_answers"), lambda d, a: reviewed(d, a, a.isNull()))
-        some = some.withColumn("detections", F.concat(F.filter("detections", lambda d: d["disposition"] != "escalate"), pairs.cast(f"array<{spans.DETECTION}>")))
-        x = some.select(key, text, "detections").unionByName(rest.select(key, text, "detections"))
+        x = some.withColumn("detections", F.concat(F.filter("detections", lambda d: d["disposition"] != "escalate"), pairs.cast(f"array<{spans.DETECTION}>")))
     return x.select(key, text, cascade_result(F.col("detections")).alias("result"))
 
 
