@@ -150,7 +150,20 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("lang", "entity_type", "confidence").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
 
 
-_add("pii_report_by_lang", _report)
+def _report_sql() -> str:
+    """The oracle has no look-ahead: 13 digits that begin with 1 are left out behind the match. The three kinds do not overlap."""
+    card = _rule("CREDIT_CARD")
+    parts = []
+    for kind, pattern, check in (
+        ("EMAIL_ADDRESS", _rule("EMAIL_ADDRESS").patterns[0], "TRUE"), ("IP_ADDRESS", _rule("IP_ADDRESS").patterns[0], "TRUE"),
+        ("CREDIT_CARD", card.patterns[0].replace(r"(?!1\d{12}(?!\d))", ""), f"{_luhn_sql(_digits('t'))} AND NOT regexp_matches(t, '^1[0-9]{{12}}$')"),
+    ):
+        one = Rule(**{**_rule(kind).__dict__, "patterns": (pattern,)})
+        parts.append(f"SELECT doc_id, entity_type, confidence, score FROM ({_rule_sql('documents', 'doc_id', one, check, 0.5)})")
+    return f"SELECT lang, entity_type, confidence, count(*) AS n, max(score) AS max_score FROM ({' UNION ALL '.join(parts)}) JOIN documents USING (doc_id) GROUP BY lang, entity_type, confidence"
+
+
+_add("pii_report_by_lang", _report, _report_sql())
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
