@@ -28,7 +28,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual.canonical_texts(table(spark, sf_dir, "scan_requests"), "scan_id", "text")
+    return visual.canonical_texts(table(spark, sf_dir, "scan_requests"), "scan_id", "text", table(spark, sf_dir, "watch_terms"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

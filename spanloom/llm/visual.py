@@ -26,6 +26,10 @@ SPACES = "               　"
 #: Characters that show nothing, as a character class of regular expressions.
 INVISIBLE = r"­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿ﾠ"
 
+#: A word: letters and digits with their marks, whatever punctuation stands around; and what stands between words.
+WORD = rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}{INVISIBLE}]*"
+GAP = r"[^\p{L}\p{N}]+"
+
 #: Terms in one search pattern, and terms that the driver may hold.
 TERMS_AT_ONCE, MAX_TERMS = 500, 100_000
 
@@ -38,23 +42,42 @@ def look_alikes() -> dict[str, str]:
 
 def mapped(text: Column) -> Column:
     """The form under which values are compared. Invisible characters inside emoji sequences stay."""
-    table = look_alikes()
-    return F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), rf"(?<![\p{{So}}\p{{Sk}}️‍])[{INVISIBLE}]+", "")
+    return _plain(text, look_alikes())
+
+
+def _plain(text: Column, table: dict[str, str]) -> Column:
+    # The skin tone is named although \p{Sk} holds it: only with a letter beyond U+FFFF does Java look back by whole letters.
+    return F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), rf"(?<![\p{{So}}\p{{Sk}}️‍🏻])[{INVISIBLE}]+(?!\x{{20e3}})", "")
+
+
+def _shown(value: Column) -> Column:
+    """The form of a value without a twin that is known to be right: plain letters, accents as they are.
+
+    A word all of whose letters are of another script is a word of that script and keeps them, and so does one that is not
+    plain after the mapping; joiners stay where a script outside Latin, Cyrillic and Greek needs them.
+    """
+    own = _plain(value, {k: v for k, v in look_alikes().items() if k not in CYRILLIC + GREEK})
+    own = F.when(value.rlike(r"[\p{L}&&[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]]") & value.rlike(r"[\x{200c}\x{200d}]"), value).otherwise(own)
+    return F.when(value.rlike(r"\p{IsLatin}") & ~mapped(value).rlike(r"[\p{L}&&[^\p{IsLatin}]]"), mapped(value)).otherwise(own)
 
 
 def equivalence_classes(values: DataFrame) -> DataFrame:
-    """(value, canonical) of distinct non-null values: ``values`` has value and preferred (a spelling known to be right).
+    """(value, canonical, known) of distinct non-null values: ``values`` has value and preferred (a spelling known to be right).
 
-    The canonical member is a preferred one, else one that needs no mapping, else the first in code point order. Several
+    The canonical form is that of a preferred member (``known``), else of one without look-alike letters of other scripts,
+    else of one wholly in another script, else the mapped form; then one without invisible characters and the first in code
+    point order. It may be no member, but is always of the class's look; its accents are those of its member. Several
     preferred members of one class are one spelling for the eye, of which the first in code point order is taken.
     """
-    x = values.where("value is not null").groupBy("value").agg(F.max("preferred").alias("preferred")).withColumn("mapped", mapped(F.col("value")))
-    x = x.withColumn("rank", F.when(F.col("preferred"), 0).when(F.col("mapped") == F.col("value"), 1).otherwise(2))
+    v = F.col("value")
+    x = values.where("value is not null").groupBy("value").agg(F.max("preferred").alias("preferred")).withColumn("mapped", mapped(v))
+    x = x.withColumn("rank", F.when(F.col("preferred"), 0).when(F.translate(v, CYRILLIC + GREEK, "") == v, 1).when(~v.rlike(r"\p{IsLatin}"), 2).otherwise(3))
+    x = x.withColumn("form", F.when(F.col("preferred"), v).otherwise(_shown(v)))
     return x.sparkSession.sql(
         """
-        WITH members AS (SELECT value, rank, mapped COLLATE UNICODE AS look FROM {x}),
-             classes AS (SELECT look, min(struct(rank, value)).value AS canonical FROM members GROUP BY look)
-        SELECT m.value, c.canonical FROM members m JOIN classes c ON m.look = c.look
+        WITH members AS (SELECT value, rank, form, mapped <> value AS odd, mapped COLLATE UNICODE AS look FROM {x}),
+             classes AS (SELECT look, min(struct(rank, odd, form)) AS best FROM members GROUP BY look)
+        SELECT m.value, c.best.form AS canonical, c.best.rank = 0 AS known FROM members m JOIN classes c ON m.look = c.look
         """,
         x=x,
     )
@@ -109,24 +132,33 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, whole: b
     return found.join(ids, "value").select(F.col("k").alias(key), "term_id", "term", "value", "canonical")
 
 
-def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) with each word replaced by its class's canonical member and look-alike spaces by plain ones.
+def composed(values: Column) -> Column:
+    """Letters and accents in one character where there is one; there is no built-in expression for it."""
+    return F.pandas_udf(lambda s: s.str.normalize("NFC"), "string")(values)
+
+
+def canonical_texts(df: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(key, text) with each word replaced by its class's canonical form and look-alike punctuation and spaces by plain ones.
 
-    A word is what stands between white space. Words of plain characters stay as they are, so only others are grouped,
-    with the plain words that they may stand for. Null texts stay null, empty ones empty; repeated rows stay repeated.
+    A word is a run of letters and digits. Words of plain characters stay as they are, so only others are grouped, with the
+    plain words that they may stand for and the words of ``terms`` (with a column term), whose spelling is the right one;
+    other forms have composed accents. Null texts stay null, empty ones empty; repeated rows stay repeated.
     """
     x = df.select(df[key].alias("k"), df[text].alias("t")).withColumn("row", F.monotonically_increasing_id())
-    gap = rf"[\s{SPACES}]"
-    other = F.col("t").rlike(r"[^\x00-\x7f]")
-    words = x.where(other).select("row", F.posexplode(F.regexp_extract_all("t", F.lit(rf"[^\s{SPACES}]+|{gap}+"), 0)).alias("pos", "word"))
-    odd = words.where(F.col("word").rlike(r"[^\x00-\x7f]"))
-    distinct_odd = odd.select("word").distinct()
-    plain = x.where("t is not null").select(F.explode(F.split("t", rf"{gap}+")).alias("value")).where(~F.col("value").rlike(r"[^\x00-\x7f]")).distinct()
+    other = r"[^\x00-\x7f]"
+    words = x.where(F.col("t").rlike(other)).select("row", F.posexplode(F.regexp_extract_all("t", F.lit(f"{WORD}|{GAP}"), 0)).alias("pos", "word"))
+    odd = words.where(F.col("word").rlike(other))
+    distinct_odd = odd.where(~F.col("word").rlike(f"^{GAP}$")).select("word").distinct()
+    plain = x.where("t is not null").select(F.explode(F.regexp_extract_all("t", F.lit(WORD), 0)).alias("value")).where(~F.col("value").rlike(other)).distinct()
     plain = plain.join(distinct_odd.select(mapped(F.col("word")).alias("value")).distinct(), "value", "left_semi")
-    classes = equivalence_classes(distinct_odd.select(F.col("word").alias("value"), F.lit(False).alias("preferred")).unionByName(plain.select("value", F.lit(False).alias("preferred"))))
+    values = distinct_odd.select(F.col("word").alias("value"), F.lit(False).alias("preferred")).unionByName(plain.select("value", F.lit(False).alias("preferred")))
+    if terms is not None:
+        values = values.unionByName(terms.where("term is not null").select(F.explode(F.regexp_extract_all("term", F.lit(WORD), 0)).alias("value"), F.lit(True).alias("preferred")))
+    classes = equivalence_classes(values)
+    canonical = classes.select(F.col("value").alias("word"), F.when(F.col("known"), F.col("canonical")).otherwise(composed(F.col("canonical"))).alias("canonical"))
     # A gap's class is its mapped form; a word's is what its class says.
-    shown = F.when(F.col("word").rlike(rf"^{gap}+$"), mapped(F.col("word"))).otherwise(F.coalesce("canonical", "word"))
-    fixed = odd.join(classes.withColumnRenamed("value", "word"), "word", "left").select("row", "pos", shown.alias("shown"))
-    whole = words.where(~F.col("word").rlike(r"[^\x00-\x7f]")).select("row", "pos", F.col("word").alias("shown")).unionByName(fixed)
+    shown = F.when(F.col("word").rlike(f"^{GAP}$"), mapped(F.col("word"))).otherwise(F.coalesce("canonical", "word"))
+    fixed = odd.join(canonical, "word", "left").select("row", "pos", shown.alias("shown"))
+    whole = words.where(~F.col("word").rlike(other)).select("row", "pos", F.col("word").alias("shown")).unionByName(fixed)
     again = whole.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda s: s.shown), "").alias("u"))
     return x.join(again, "row", "left").select(F.col("k").alias(key), F.coalesce("u", "t").alias(text))

@@ -34,6 +34,15 @@ def test_classes_and_texts(spark):
     assert visual.canonical_texts(df, "id", "text").count() == len(rows) and visual.canonical_texts(df.limit(0), "id", "text").count() == 0
 
 
+def test_texts_take_the_terms_spelling(spark):
+    nfd = unicodedata.normalize("NFD", "Crépon")
+    rows = [(1, f"({nfd}), Crépon. Crépon"), (2, "(Орaxis) «ＯＰＡХＩＳ»"), (3, "Zéphyr, " + unicodedata.normalize("NFD", "Zéphyr")), (4, "Ｚorb‐7 Zоrb"), (5, "сор 1️⃣ می‌خواهم"), (6, "ОРАХ")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    terms = spark.createDataFrame([(1, "Crépon Associés"), (2, "ОРАХ".translate(str.maketrans("ОРАХ", "OPAX"))), (3, None)], "term_id int, term string")
+    got = {r.id: r.text for r in visual.canonical_texts(df, "id", "text", terms).collect()}
+    assert got == {1: "(Crépon), Crépon. Crépon", 2: "(Opaxis) «OPAXIS»", 3: "Zéphyr, Zéphyr", 4: "Zorb-7 Zorb", 5: "сор 1️⃣ می‌خواهم", 6: "OPAX"}
+
+
 def _lcs(a, b):
     p = [0] * (len(b) + 1)
     for x in a:
