@@ -28,7 +28,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visual.canonical_texts(table(spark, sf_dir, "scan_requests"), "scan_id", "text", table(spark, sf_dir, "watch_terms"))
+    scans = table(spark, sf_dir, "scan_requests").select(F.struct(F.lit("scan").alias("field"), F.col("scan_id").alias("row_id")).alias("key"), "text")
+    told = table(spark, sf_dir, "detections").select(F.struct(F.lit("detection").alias("field"), F.col("detection_id").alias("row_id")).alias("key"), "text")
+    # One form in both tables: the classes are built over both.
+    return visual.canonical_texts(scans.unionByName(told), "key", "text", table(spark, sf_dir, "watch_terms")).select("key.field", "key.row_id", "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,9 +146,8 @@ def canonical_texts(df: DataFrame, key: str, text: str, terms: DataFrame | None
     """
     x = df.select(df[key].alias("k"), df[text].alias("t")).withColumn("row", F.monotonically_increasing_id())
     other = r"[^\x00-\x7f]"
-    words = x.where(F.col("t").rlike(other)).select("row", F.posexplode(F.regexp_extract_all("t", F.lit(f"{WORD}|{GAP}"), 0)).alias("pos", "word"))
-    odd = words.where(F.col("word").rlike(other))
-    distinct_odd = odd.where(~F.col("word").rlike(f"^{GAP}$")).select("word").distinct()
+    odd = x.where(F.col("t").rlike(other)).select("row", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("t", F.lit(WORD), 0), lambda w: w.rlike(other)))).alias("word"))
+    distinct_odd = odd.select("word").distinct()
     plain = x.where("t is not null").select(F.explode(F.regexp_extract_all("t", F.lit(WORD), 0)).alias("value")).where(~F.col("value").rlike(other)).distinct()
     plain = plain.join(distinct_odd.select(mapped(F.col("word")).alias("value")).distinct(), "value", "left_semi")
     values = distinct_odd.select(F.col("word").alias("value"), F.lit(False).alias("preferred")).unionByName(plain.select("value", F.lit(False).alias("preferred")))
@@ -156,9 +155,9 @@ def canonical_texts(df: DataFrame, key: str, text: str, terms: DataFrame | None
         values = values.unionByName(terms.where("term is not null").select(F.explode(F.regexp_extract_all("term", F.lit(WORD), 0)).alias("value"), F.lit(True).alias("preferred")))
     classes = equivalence_classes(values)
     canonical = classes.select(F.col("value").alias("word"), F.when(F.col("known"), F.col("canonical")).otherwise(composed(F.col("canonical"))).alias("canonical"))
+    # Only words that change travel; each text is put together again in its own row, and plain texts do not move at all.
+    changed = odd.join(canonical.where("canonical <> word"), "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "canonical"))).alias("forms"))
     # A gap's class is its mapped form; a word's is what its class says.
-    shown = F.when(F.col("word").rlike(f"^{GAP}$"), mapped(F.col("word"))).otherwise(F.coalesce("canonical", "word"))
-    fixed = odd.join(canonical, "word", "left").select("row", "pos", shown.alias("shown"))
-    whole = words.where(~F.col("word").rlike(other)).select("row", "pos", F.col("word").alias("shown")).unionByName(fixed)
-    again = whole.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda s: s.shown), "").alias("u"))
-    return x.join(again, "row", "left").select(F.col("k").alias(key), F.coalesce("u", "t").alias(text))
+    shown = lambda w: F.when(~w.rlike(other), w).when(w.rlike(f"^{GAP}$"), mapped(w)).otherwise(F.coalesce(F.try_element_at("forms", w), w))
+    again = x.where(F.col("t").rlike(other)).join(changed, "row", "left").select("k", F.array_join(F.transform(F.regexp_extract_all("t", F.lit(f"{WORD}|{GAP}"), 0), shown), "").alias("t"))
+    return again.unionByName(x.where(~F.coalesce(F.col("t").rlike(other), F.lit(False))).select("k", "t")).toDF(key, text)

@@ -4,7 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import overlap, visual
+from spanloom.llm import overlap, queries, visual
 
 
 def test_terms_in_every_spelling(spark):
@@ -43,6 +43,14 @@ def test_texts_take_the_terms_spelling(spark):
     assert got == {1: "(Crépon), Crépon. Crépon", 2: "(Opaxis) «OPAXIS»", 3: "Zéphyr, Zéphyr", 4: "Zorb-7 Zorb", 5: "сор 1️⃣ می‌خواهم", 6: "OPAX"}
 
 
+def test_texts_of_both_tables_take_one_form(spark, tmp_path):
+    spark.createDataFrame([(7, "Zorb paid"), (8, None)], "scan_id bigint, text string").write.parquet(f"{tmp_path}/scan_requests.parquet")
+    spark.createDataFrame([(7, "Zоrb"), (9, "Рассо")], "detection_id bigint, text string").write.parquet(f"{tmp_path}/detections.parquet")
+    spark.createDataFrame([(1, "Opaxis")], "term_id bigint, term string").write.parquet(f"{tmp_path}/watch_terms.parquet")
+    got = {tuple(r) for r in queries.p2_texts(spark, str(tmp_path)).select("field", "row_id", "text").collect()}
+    assert got == {("scan", 7, "Zorb paid"), ("scan", 8, None), ("detection", 7, "Zorb"), ("detection", 9, "Рассо")}
+
+
 def _lcs(a, b):
     p = [0] * (len(b) + 1)
     for x in a:
