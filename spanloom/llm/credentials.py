@@ -69,7 +69,12 @@ _COMMAND = re.compile(r"\b(?i:identified\s+by|with\s+password)\s+[\"'](?P<i>[^\"
 _PROSE = re.compile(r"(?i:\b(?:pass(?:word|phrase|code|wort)|pwd|kennwort|contrase(?:ñ|n)a|clave|mot de passe|token|api key|access key|secret(?: key)?|schlüssel|(?:wifi|wi-fi|wlan) (?:key|password|passwort)|clé(?: d'accès)?)\b)(?:[ \t]+(?i:is|es|est|ist|lautet|now|new|nueva|nuevo|neue|again|the|el|la|le|for|of|temporary|temporal|here|jetzt|ahora|maintenant|actual|wifi|to|until)\b){0,4}[ \t]*[:=]?[ \t]*[\"'`]?(?P<d>[^\s\"'`]{6,})")
 #: Each kind of named value, and what a line must hold for it.
 _NAMED_VALUES = ((_ASSIGN, ("=", ":", "||", "--")), (_CALL, ("(",)), (_FALLBACK, ("||", "??", " or ", ":-")), (_BLOCK, ("{",)), (_XML, ("</",)), (_TO_FILE, ("echo",)))
-_PEM = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?P<d>(?:(?!-----BEGIN).)*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z|\n[ \t]*\r?\n)", re.S)
+_PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+_BLANK = re.compile(r"\n[ \t]*\r?\n")
+#: A header of a key block, up to its line's end, real or escaped; a line of its body, in any quotes, comment or concatenation.
+_KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)[ \t]*:(?:(?!\\[nr])[^\n])*")
+_KEY_LINE = re.compile(r"[\s\"'`>#*/|+-]*=?(?:[A-Za-z0-9+/=]|\\[nr])+[\s\"'`,;+\\)]*")
 _PUTTY = re.compile(r"PuTTY-User-Key-File-[23]:[^\n]*\n(?P<d>(?:[^\n]*\n){2,40}?Private-MAC: [0-9a-f]+)")
 _CONNECTION = re.compile(r"(?:^|[;\"'\s])(?P<name>(?i:password|pwd|accountkey|sharedaccesskey|sharedaccesssignature))\s*=\s*(?P<d>[^;\"'\s]+)(?=;|[\"']|\s|$)")
 _KUBERNETES = re.compile(r"^(?P<in>[ \t]*)kind:[ \t]*[\"']?Secret[\"']?[ \t]*\r?$", re.M)
@@ -198,10 +203,13 @@ def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
     """(start, end, type) of the credentials of a plain text; spans of one literal may overlap."""
     out: list[tuple[int, int, str]] = []
     low = text.lower()
-    for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
-        body = re.sub(r"\\[nr]|[\s\"'+,\\]|Proc-Type:.*|DEK-Info:.*", "", m["d"])
-        if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 40 and len(set(body)) > 10 and not _PLACEHOLDER.search(m["d"][:60].replace("-", "")):
-            out.append((m.start(), m.end(), "PRIVATE_KEY"))
+    for m in _PEM_BEGIN.finditer(text) if "PRIVATE KEY" in text else ():
+        if (end := _key_end(text, m.end())) is None:
+            continue
+        inside = _KEY_HEADER.sub("", _PEM_END.sub("", text[m.end() : end]))
+        body = re.sub(r"\\[nr]|[\s\"'+,\\]", "", inside)
+        if len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 40 and len(set(body)) > 10 and not _PLACEHOLDER.search(inside[:60].replace("-", "")):
+            out.append((m.start(), end, "PRIVATE_KEY"))
     out += [(m.start(), m.end(), "PRIVATE_KEY") for m in _PUTTY.finditer(text)] if "PuTTY" in text else []
     if any(h in text for h in _HINTS):
         for m in _TOKEN.finditer(text):
@@ -247,6 +255,29 @@ def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
     return out
 
 
+def _key_end(text: str, at: int) -> int | None:
+    """Where the key block ends whose BEGIN mark ends at ``at``, or None.
+
+    It ends at its END mark, with blank lines inside if all other lines are headers or body; else at the first blank line
+    that has body before it or none behind it, else with the text. Another BEGIN ends no block.
+    """
+    stop = text.find("-----BEGIN", at)
+    limit = len(text) if stop < 0 else stop
+    mark = _PEM_END.search(text, at, limit)
+    whole = mark.start() if mark else limit
+    blanks = list(_BLANK.finditer(text, at, whole))
+    if not blanks:
+        return mark.end() if mark else limit if stop < 0 else None
+    rest = _KEY_HEADER.sub("", text[at:whole])
+    if mark and all(_KEY_LINE.fullmatch(x) for x in rest.split("\n") if x.strip(" \t\r\"'`>#*/|+-")):
+        return mark.end()
+    for b in blanks:
+        behind = text[b.end() : whole].lstrip().split("\n", 1)[0]
+        if len(re.sub(r"\s", "", _KEY_HEADER.sub("", text[at : b.start()]))) >= 16 or not (_KEY_LINE.fullmatch(behind) and re.search(r"[A-Za-z0-9+/]{40}", behind)):
+            return b.end()
+    return mark.end() if mark else limit if stop < 0 else None
+
+
 def _named(text: str, m: re.Match, out: list[tuple[int, int, str]]) -> None:
     name, value = m.groupdict().get("name") or m.groupdict().get("name2"), _groups(m)
     if value and _secret_name(name) and usable(text[value[0] : value[1]], value[2]):

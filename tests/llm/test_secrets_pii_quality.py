@@ -142,3 +142,19 @@ def test_statistics_columns(spark):
     assert got[1].n_words == 4 and got[1].common_word_share == 0.5 and got[1].line_end_punctuation == 1.0 and got[1].mean_word_length == 3.0
     assert not got[2].has_text and got[3].n_words == 0 and got[3].is_prose and got[4].n_words == 100_000
     assert quality.document_statistics(df.limit(0), words.limit(0)).count() == 0
+
+
+def test_key_blocks_with_headers_and_blank_lines():
+    rng = random.Random(5)
+    body = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(6)]
+    pgp = ["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: GnuPG v2", "", *body, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"]
+    pem = ["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", *body, "-----END RSA PRIVATE KEY-----"]
+    bare = [pgp[0], "", *body, "=aB3d", pgp[-1]]
+    for block in (pgp, pem, bare):
+        for text in ("\n".join(block), "\r\n".join(block), "\n".join("    # " + x for x in block), "\\n".join(block)):
+            (found,) = credentials.findings(f"x\n{text}\n\nRegards")
+            assert found[2] == "PRIVATE_KEY" and found[1] == 2 + len(text) and found[0] == 2 + text.index("-----")
+    cut = "\n".join(pem[:-1])
+    assert credentials.findings(cut + "\n\nRegards and thanks") == [(0, len(cut) + 2, "PRIVATE_KEY")]
+    assert not credentials.findings("-----BEGIN RSA PRIVATE KEY-----\n\nthis one was taken out of the ticket by the people on duty\n\n-----END RSA PRIVATE KEY-----")
+    assert not credentials.findings("\n".join([*pem[:4], pem[-1]]))
