@@ -75,13 +75,13 @@ _BLANK = re.compile(r"\n[ \t]*\r?\n")
 #: A header of a key block, up to its line's end, real or escaped; a line of its body, in any quotes, comment or concatenation.
 _KEY_HEADER = re.compile(r"(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID)[ \t]*:(?:(?!\\[nr])[^\n])*")
 _KEY_LINE = re.compile(r"[\s\"'`>#*/|+-]*=?(?:[A-Za-z0-9+/=]|\\[nr])+[\s\"'`,;+\\)]*")
-_PUTTY = re.compile(r"PuTTY-User-Key-File-[23]:[^\n]*\n(?P<d>(?:[^\n]*\n){2,40}?Private-MAC: [0-9a-f]+)")
+_PUTTY = re.compile(r"PuTTY-User-Key-File-[23]:[^\n]*\n(?P<d>(?:(?!PuTTY-User-Key-File-)[^\n]*\n){2,}?Private-MAC: [0-9a-f]+)")
 _CONNECTION = re.compile(r"(?:^|[;\"'\s])(?P<name>(?i:password|pwd|accountkey|sharedaccesskey|sharedaccesssignature))\s*=\s*(?P<d>[^;\"'\s]+)(?=;|[\"']|\s|$)")
 _KUBERNETES = re.compile(r"^(?P<in>[ \t]*)kind:[ \t]*[\"']?Secret[\"']?[ \t]*\r?$", re.M)
 _ENTRY = re.compile(r"^(?P<in>[ \t]+)[\"']?(?P<name>[\w.-]+)[\"']?[ \t]*:[ \t]*[\"']?(?P<d>[A-Za-z0-9+/_-]{4,}={0,2})[\"']?[ \t]*\r?$")
 
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=])")
-_BASE64_LINES = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/]{40,76}[ \t]*\r?\n){1,400}[ \t]*[A-Za-z0-9+/]{4,76}={0,2}[ \t]*\r?$", re.M)
+_BASE64_LINES = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/]{40,76}[ \t]*\r?\n)+[ \t]*[A-Za-z0-9+/]{4,76}={0,2}[ \t]*\r?$", re.M)
 _HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:0x)?((?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,})(?![0-9A-Za-z+/_-])")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}[^\s\"'<>`]*?%[0-9A-Fa-f]{2}(?:[^\s\"'<>`%]*%[0-9A-Fa-f]{2})*")
 _AROUND = " \t\r\n\"'<>`"

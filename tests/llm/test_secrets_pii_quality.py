@@ -158,3 +158,15 @@ def test_key_blocks_with_headers_and_blank_lines():
     assert credentials.findings(cut + "\n\nRegards and thanks") == [(0, len(cut) + 2, "PRIVATE_KEY")]
     assert not credentials.findings("-----BEGIN RSA PRIVATE KEY-----\n\nthis one was taken out of the ticket by the people on duty\n\n-----END RSA PRIVATE KEY-----")
     assert not credentials.findings("\n".join([*pem[:4], pem[-1]]))
+
+
+def test_long_key_files_and_literals():
+    rng = random.Random(6)
+    line = lambda: base64.b64encode(rng.randbytes(48)).decode()
+    ppk = "\n".join(["PuTTY-User-Key-File-2: ssh-rsa", "Encryption: none", "Comment: k", "Public-Lines: 12", *(line() for _ in range(12)), "Private-Lines: 28", *(line() for _ in range(28)), "Private-MAC: " + "0123456789abcdef" * 2 + "01234567"])
+    assert credentials.findings(f"PuTTY-User-Key-File-2: see below\n\n{ppk}\nend") == [(34, 34 + len(ppk), "PRIVATE_KEY")]
+    inner = b"\x02\x01\x03" + b"\x30\x82\x75\x30" + rng.randbytes(30000)
+    store = base64.encodebytes(b"\x30\x82" + len(inner).to_bytes(2, "big") + inner).decode()
+    assert store.count("\n") > 500 and credentials.findings(f"store:\n{store}") == [(7, 6 + len(store), "PRIVATE_KEY")]
+    text = base64.encodebytes(("é and nothing to hide in here; " * 900 + f"password = '{PASSWORD}'").encode()).decode()
+    assert text.count("\n") > 401 and lines(f"blob:\n{text}") == [2]
