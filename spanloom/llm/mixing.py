@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from typing import Literal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,11 +60,12 @@ def largest_total(leaves: list[Leaf]) -> float:
 
 def mixture(
     documents: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-    total: float | None = None, seed: int = 17, vocabulary: str = bpe.DEFAULT_VOCABULARY,
+    total: float | Literal["held"] | None = None, seed: int = 17, vocabulary: str = bpe.DEFAULT_VOCABULARY,
 ) -> DataFrame:
     """(key, domain, lang, source, n_tokens, copies): each chosen document and how often it occurs.
 
-    ``targets`` has source, target_share and max_repeats. ``total`` is the size in tokens; None is the largest at which
+    ``targets`` has source, target_share and max_repeats. ``total`` is the size in tokens; "held" is that of all documents
+    of sources with a target, where short sources stop at their repeats and others fill in; None is the largest at which
     every source reaches its share. A source's domain is its name before the first hyphen. Inside a source languages keep
     their own proportions; a null language is a leaf of its own. A source's share is met to half a document a leaf.
 
@@ -85,6 +87,8 @@ def mixture(
             path = (r.source.partition("-")[0], "null" if r.lang is None else f"={r.lang}", r.source)
             leaves.append(Leaf(path, wanted[r.source].target_share * r.size / per_source[r.source], float(r.size * wanted[r.source].max_repeats)))
             of[path] = r
+    if total == "held":
+        total = sum(r.size for r in of.values())
     budget = allot(leaves, largest_total(leaves) if total is None else float(total))
     plan = []
     for path, b in budget.items():

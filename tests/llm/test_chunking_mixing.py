@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanloom.llm import bpe, chunking, mixing
+from spanloom.llm import bpe, chunking, mixing, queries
 
 
 @settings(max_examples=150, deadline=None)
@@ -82,3 +82,16 @@ def test_mixture(spark, monkeypatch):
     short = mixing.report(mixing.mixture(df, targets, total=10**9), targets).collect()
     assert all(r.most_copies == r.max_repeats for r in short if r.documents)
     assert mixing.mixture(df.limit(0), targets).count() == 0 and mixing.mixture(df, targets.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_VOCABULARY), reason="no vocabulary")
+def test_scarce_source_does_not_size_the_mixture(spark, tmp_path):
+    rows = [(i, "tok " * 20, "en", s) for i, s in enumerate(["a-tiny"] + ["a-big"] * 100 + ["b-big"] * 100)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a-tiny", 0.2, 2), ("a-big", 0.3, 2), ("b-big", 0.5, 2)], "source string, target_share double, max_repeats bigint").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet").count()
+    got = {r.source: r for r in queries.p7_report(spark, str(tmp_path)).collect()}
+    one = got["a-tiny"].tokens / 2
+    assert got["a-tiny"].most_copies == 2 and abs(sum(r.tokens for r in got.values()) / one - held) <= 1
+    # Its sibling takes the shortage, the other domain keeps its half.
+    assert got["a-big"].actual_share == pytest.approx(0.49, abs=0.01) and got["b-big"].actual_share == pytest.approx(0.5, abs=0.01)
