@@ -1,54 +1,66 @@
 """Same and near-same records across splits, as an edit-distance join on segments.
 
 Two records are near-same if at least ``similarity`` of the longer one's tokens also occur in the other in the same order.
-So at most k tokens of a record have no partner. An evaluation record is cut into k+1 segments, each around one of its
-k+1 rarest tokens; at least one of them keeps that token, and the training record has the same token, at a place shifted
-by at most the allowed edits. (A segment is matched by its rarest token alone, because tokens inserted into a longer
-substring would break it.) By the same argument the training side needs the places of its own k+1 rarest tokens only.
+Taking one record to the other then needs at most K tokens deleted and inserted, K from the evaluation record's length.
+An evaluation record is cut at K+1 disjoint segments of one or two neighbouring tokens; K edits leave at least one whole,
+so the training record holds it as a substring. More exactly (count edits from the left and take the first segment with
+no more of them up to its end than segments before it): some segment i, counted from 0, is whole with exactly i edits on
+its left. So its place differs by at most i, by an even or odd number as i is, and what follows it by the edits that are
+left; other places are not matched.
+
+Any K+1 disjoint segments will do, so the rarest are cut. What may be a segment is told by the tokens themselves: a rare
+token alone, a frequent one with its right neighbour. A training record thus has one substring to match at each place.
 Candidates are verified with banded dynamic programming. Equal records are one class throughout.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.runtime import materialize, ship, small_side
 
 SIMILARITY, MIN_TOKENS = 0.8, 8
-#: Counters of the sketch that orders tokens by rarity; the sketch's size is fixed, whatever the corpus.
-SKETCH_BITS = 20
+#: Counters of the sketch that tells rare tokens, and marks of evaluation segments by which training substrings are left
+#: out early; both are of fixed size, whatever the corpus, and neither changes the result.
+SKETCH_BITS, MARK_BITS = 20, 22
+#: A token is rare up to RARE counts, a segment hot from HOT; both at least so many times the average counter, as tokens share counters.
+RARE, RARE_TIMES, HOT, HOT_TIMES = 64, 2, 4096, 32
+#: Hot segments are matched by stretches of this many places, so one of them is many keys.
+STRETCH = 16
 #: Classes in candidate pairs whose tokens are looked up by a broadcast list of their names; more are joined by shuffle.
 LOOKUP_CLASSES = 1_000_000
 
 
-def common_in_order(a: list, b: list, least: int) -> int:
-    """Length of the longest common subsequence if it is ``least`` or more, else 0; only the band that allows it is computed."""
-    if min(len(a), len(b)) < least:
-        return 0
-    up, down = len(a) - least, len(b) - least  # tokens of a, of b that may stay without partner
-    prev = [0] * (up + down + 1)  # prev[d] is the best of a[:i], b[:i - up + d]
-    for i in range(1, len(a) + 1):
-        cur, x, best = [0] * (up + down + 1), a[i - 1], -1
-        low, high = max(0, up - i), min(up + down, len(b) - i + up)
-        for d in range(low, high + 1):
-            j = i - up + d
-            v = prev[d + 1] if d < up + down else 0
-            if j:
-                if d > low and cur[d - 1] > v:
-                    v = cur[d - 1]
-                if x == b[j - 1] and prev[d] + 1 > v:
-                    v = prev[d] + 1
-            cur[d] = v
-            if v + min(len(a) - i, len(b) - j) > best:
-                best = v + min(len(a) - i, len(b) - j)
-        if best < least:
-            return 0
+def common_in_order(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Lengths of the longest common subsequences of the rows of ``a`` and ``b`` where they are ``least`` or more, else 0.
+
+    Only the band that allows ``least`` is computed, for all rows at once. A row's cells depend on each other only by their
+    running maximum.
+    """
+    rows, n, m = len(a), a.shape[1], b.shape[1]
+    if min(n, m) < least or not rows:
+        return np.zeros(rows, np.int32)
+    up, down = n - least, m - least  # tokens of a, of b that may stay without partner
+    width = up + down + 1
+    prev = np.zeros((rows, width + 1), np.int32)  # prev[d] is the best of a[:i], b[:i - up + d]
+    for i in range(1, n + 1):
+        low, high = max(0, up - i), min(width - 1, m - i + up)
+        cur = np.zeros((rows, width + 1), np.int32)
+        first = low + (i - up + low == 0)  # the cell of an empty b stays 0
+        if first <= high:
+            j = i - up + first - 1
+            met = b[:, j : j + high - first + 1] == a[:, i - 1 : i]
+            best = np.maximum(prev[:, first + 1 : high + 2], prev[:, first : high + 1] + met)
+            cur[:, first : high + 1] = np.maximum.accumulate(best, 1)
         prev = cur
-    n = prev[len(b) - len(a) + up]
-    return n if n >= least else 0
+    got = prev[:, m - n + up]
+    return np.where(got >= least, got, 0)
 
 
 def _least(n: int, similarity: float) -> int:
@@ -56,6 +68,13 @@ def _least(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
+@lru_cache(maxsize=100_000)
+def most_edits(n: int, similarity: float) -> int:
+    """K: deletions and insertions from a record of ``n`` tokens to the farthest near-same one."""
+    longest = min(int(n / similarity + 1e-9), n + int(2 / (2 * similarity - 1)) + 2)  # beyond, each token more allows fewer edits
+    return max(n + m - 2 * _least(m, similarity) for m in range(n, max(n, longest) + 1))
+
+
 def _sketch(rows: DataFrame) -> np.ndarray:
     """Counts of hashed tokens: at most 2 ** SKETCH_BITS rows come to the driver, pre-aggregated on the executors."""
     slot = F.pmod(F.xxhash64("token"), F.lit(1 << SKETCH_BITS)).cast("int")
@@ -65,42 +84,145 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _segments(rows: DataFrame, similarity: float) -> DataFrame:
-    """(cls, n, token, pos, is_train) of each record's k+1 rarest tokens, of equal ones the earlier first.
+def _mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    b = np.atleast_1d(np.asarray(b, np.int64)).view(np.uint64)  # arrays wrap around, numbers would warn
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
-    Of the pairs of partners, take the rarest token's first: all that comes before it in this order has no partner on
-    either side, so the pair is among the k+1 of both records, and its shift is within bounds.
-    """
-    counts = rows.sparkSession.sparkContext.broadcast(_sketch(rows))  # 2 ** SKETCH_BITS numbers
-    x = rows.select("cls", "is_train", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+
+class Cutter:
+    """What may be a segment at each place of records, from their tokens' hashes and the sketch alone."""
+
+    def __init__(self, counts: np.ndarray, similarity: float, min_tokens: int) -> None:
+        mean = float(counts.mean())
+        self.counts, self.similarity = counts, similarity
+        self.rare, self.hot = max(RARE, RARE_TIMES * mean), max(HOT, HOT_TIMES * mean)
+        if similarity <= 0.5 or any(most_edits(n, similarity) >= n for n in range(min_tokens, 400)):
+            raise ValueError(f"records of {min_tokens} tokens have too few segments for a similarity of {similarity}")
+        if similarity < 0.76 or any(most_edits(n, similarity) >= n // 2 for n in range(min_tokens, 400)):
+            self.rare = np.inf  # too few pairs of tokens: each token is a segment
+
+    def places(self, h: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, size, cost) of the segment that begins at each of the tokens; ``last`` are the records' last ones. Size 0: none."""
+        c = self.counts[h & (len(self.counts) - 1)]
+        after, c_after = np.roll(h, -1), np.roll(c, -1)
+        alone = c <= self.rare
+        size = np.where(alone, 1, np.where(last, 0, 2))
+        return np.where(alone, _mixed(h, 0), _mixed(h, after)), size, np.where(alone, c, np.minimum(c, c_after))
+
+    def cut(self, size: list[int], cost: list[int]) -> list[int]:
+        """Where the K+1 segments begin, of the least bound on their cost that has so many disjoint ones."""
+        n, wanted = len(size), most_edits(len(size), self.similarity) + 1
+
+        def under(bound: int) -> list[int]:
+            out, i = [], 0
+            while i < n:
+                if size[i] and cost[i] <= bound:
+                    out.append(i)
+                    i += size[i]
+                else:
+                    i += 1
+            return out
+
+        bounds = sorted(set(cost))
+        low, high = 0, len(bounds) - 1
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if len(under(bounds[mid])) >= wanted else (mid + 1, high)
+        found = under(bounds[low])
+        return sorted(sorted(found, key=lambda i: (cost[i], i))[:wanted])
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of a batch, the records' lengths and where they begin."""
+    lists = batch.column("hashes")
+    h = np.asarray(lists.flatten(), np.int64)
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    return h, n, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+
+
+def _evaluation_segments(rows: DataFrame, cutter) -> DataFrame:
+    """(key, cls, n, pos, no): the K+1 segments of each evaluation record; a hot one once for each stretch it may stand in."""
+
+    def cut(batches):
+        c = cutter.value
+        for batch in batches:
+            h, n, at = _flat(batch)
+            if not len(h):
+                continue
+            last = np.zeros(len(h), bool)
+            last[at + n - 1] = True
+            key, size, cost = c.places(h, last)
+            sizes, costs, out = size.tolist(), cost.tolist(), []
+            for r, (i, k) in enumerate(zip(at.tolist(), n.tolist())):
+                fewer, more = k - _least(k, c.similarity), int(k / c.similarity + 1e-9) - k
+                for no, p in enumerate(c.cut(sizes[i : i + k], costs[i : i + k])):
+                    if costs[i + p] < c.hot:
+                        out.append((r, p, no, -1))
+                    else:
+                        out += [(r, p, no, s) for s in range(max(0, p - min(no, fewer)) // STRETCH, (p + min(no, more)) // STRETCH + 1)]
+            r, p, no, stretch = np.array(out, np.int64).T
+            k = key[at[r] + p]
+            k = np.where(stretch < 0, k, _mixed(k, stretch))
+            yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("cls").take(pa.array(r)), *(pa.array(x.astype(np.int32)) for x in (n[r], p, no))], ["key", "cls", "n", "pos", "no"])
+
+    return rows.mapInArrow(cut, "key bigint, cls bigint, n int, pos int, no int")
+
+
+def _training_substrings(rows: DataFrame, cutter, marks) -> DataFrame:
+    """(key, cls, n, pos): the substring at each place of each training record, if an evaluation segment has its mark."""
 
     def cut(batches):
-        count = counts.value
-        mask = len(count) - 1
-        for p in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for c, t, hs in zip(p["cls"], p["is_train"], p["hashes"]):
-                order = sorted((int(count[h & mask]), h, i) for i, h in enumerate(np.asarray(hs, np.int64).tolist()))
-                k = len(order) - _least(len(order), similarity)
-                for _, h, i in order[: k + 1]:
-                    for column, v in zip(out, (c, len(order), h, i, t)):
-                        column.append(v)
-            yield pd.DataFrame(dict(zip(("cls", "n", "token", "pos", "is_train"), out)))
+        c, bits = cutter.value, marks.value
+        for batch in batches:
+            h, n, at = _flat(batch)
+            last = np.zeros(len(h), bool)
+            last[at + n - 1] = True
+            key, size, cost = c.places(h, last)
+            r = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(h)) - at[r]
+            key = np.where(cost < c.hot, key, _mixed(key, pos // STRETCH))
+            keep = np.flatnonzero((size > 0) & _marked(bits, key))
+            r = r[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column("cls").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["key", "cls", "n", "pos"])
+
+    return rows.mapInArrow(cut, "key bigint, cls bigint, n int, pos int")
 
-    return x.mapInPandas(cut, "cls bigint, n int, token bigint, pos int, is_train boolean")
+
+def _marks(segments: DataFrame) -> np.ndarray:
+    """Bits of the evaluation segments' keys: at most 2 ** MARK_BITS rows come to the driver."""
+    slots = segments.select(F.col("key").bitwiseAND((1 << MARK_BITS) - 1).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(1 << MARK_BITS, bool)
+    bits[slots] = True
+    return np.packbits(bits)
+
+
+def _marked(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = key & ((1 << MARK_BITS) - 1)
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
     def check(batches):
-        for p in batches:
-            keep = []
-            for a, b in zip(p["words_e"], p["words_t"]):
-                a, b = list(a), list(b)
-                keep.append(common_in_order(a, b, _least(max(len(a), len(b)), similarity)))
-            p = p[["cls_e", "cls_t"]].assign(common=keep)
-            yield p[p["common"] > 0]
+        for batch in batches:
+            lists = [batch.column(c) for c in ("words_e", "words_t")]
+            codes, _ = pd.factorize(pa.concat_arrays([x.flatten() for x in lists]).to_numpy(zero_copy_only=False))
+            ns = [np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists]
+            cut = int(ns[0].sum())
+            flat, starts = (codes[:cut], codes[cut:]), [np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) for n in ns]
+            common = np.zeros(batch.num_rows, np.int32)
+            # Pairs of the same two lengths have the same band.
+            of = ns[0] * (int(ns[1].max(initial=0)) + 1) + ns[1]
+            order = np.argsort(of, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                if len(own):
+                    n, m = int(ns[0][own[0]]), int(ns[1][own[0]])
+                    a, b = (f[s[own][:, None] + np.arange(k)] for f, s, k in zip(flat, starts, (n, m)))
+                    common[own] = common_in_order(a, b, _least(max(n, m), similarity))
+            keep = pa.array(np.flatnonzero(common))
+            yield pa.RecordBatch.from_arrays([batch.column("cls_e").take(keep), batch.column("cls_t").take(keep), pa.array(common[common > 0])], ["cls_e", "cls_t", "common"])
 
-    return pairs.mapInPandas(check, "cls_e bigint, cls_t bigint, common int")
+    return pairs.mapInArrow(check, "cls_e bigint, cls_t bigint, common int")
 
 
 def normal_tokens(tokens: Column) -> Column:
@@ -113,6 +235,7 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
 
     Records with null tokens or splits, and of fewer than ``min_tokens``, have no class. Equal token lists are one class;
     links of a class to itself are not listed. Repeated rows are members each. Splits other than ``train`` are evaluation.
+    A similarity for which short records have fewer than K+1 tokens is a ValueError.
     """
     spark = df.sparkSession
     ship(spark)
@@ -123,24 +246,35 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
     x = x.withColumn("cls", F.xxhash64(F.xxhash64("words"), F.hash("words"))).withColumn("n", F.size("words"))
     members = x.select("key", "split", "cls", "n", *[F.col(f"_{c}").alias(c) for c in rest])
     rows = x.select("cls", "words", (F.col("split") == train).alias("is_train"))
-    # Copies give the same segments, which the partial aggregation joins before they are shuffled.
-    cut = _segments(rows, similarity).groupBy("token", "cls", "is_train", "pos").agg(F.first("n").alias("n"))
-    cut = materialize(cut)
-    e, t = (cut.where(w).select(F.col("cls").alias(f"cls_{s}"), F.col("n").alias(f"n_{s}"), "token", F.col("pos").alias(f"pos_{s}")) for w, s in (("not is_train", "e"), ("is_train", "t")))
+    cutter = spark.sparkContext.broadcast(Cutter(_sketch(rows), similarity, min_tokens))  # 2 ** SKETCH_BITS numbers
+    hashed = rows.select("cls", "is_train", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # Copies give the same segments and substrings, which are joined once; equal ones meet before they are shuffled.
+    e = materialize(_evaluation_segments(hashed.where("not is_train").select("cls", "hashes"), cutter).distinct())
+    marks = spark.sparkContext.broadcast(_marks(e))  # 2 ** MARK_BITS bits
+    t = _training_substrings(hashed.where("is_train").select("cls", "hashes"), cutter, marks).distinct()
+    e, t = (y.select("key", *[F.col(c).alias(f"{c}_{s}") for c in y.columns if c not in ("key", "no")], *[c for c in y.columns if c == "no"]) for y, s in ((e, "e"), (t, "t")))
     need = F.ceil(F.lit(similarity) * F.greatest("n_e", "n_t") - F.lit(1e-9))
-    shift = F.col("pos_e") - F.col("pos_t")
-    pairs = (
-        e.join(t, "token")
-        .where((F.col("cls_e") != F.col("cls_t")) & (F.least("n_e", "n_t") >= need) & (shift <= F.col("n_e") - need) & (shift >= need - F.col("n_t")))
-        .select("cls_e", "cls_t").distinct()
-    )
-    pairs = materialize(pairs)
+    shift, longer = F.col("pos_t") - F.col("pos_e"), F.col("n_t") - F.col("n_e")
+    left, right = F.abs(shift) <= F.col("no"), F.abs(longer - shift) <= F.col("n_e") + F.col("n_t") - 2 * need - F.col("no")
+    met = (F.col("cls_e") != F.col("cls_t")) & (F.least("n_e", "n_t") >= need) & left & (F.pmod(shift + F.col("no"), F.lit(2)) == 0) & right
+    pairs = materialize(e.join(t, "key").where(met).select("cls_e", "cls_t").distinct())
     wanted = pairs.select(F.col("cls_e").alias("cls")).unionByName(pairs.select(F.col("cls_t").alias("cls"))).distinct()
     words = rows.select("cls", "words").join(small_side(wanted, LOOKUP_CLASSES), "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
     full = pairs.join(words.select(F.col("cls").alias("cls_e"), F.col("words").alias("words_e")), "cls_e").join(words.select(F.col("cls").alias("cls_t"), F.col("words").alias("words_t")), "cls_t")
     return members, materialize(_verify(full, similarity))
 
 
+def classes(members: DataFrame, links: DataFrame, train: str = "train") -> DataFrame:
+    """(key, split, cls, links): each record with its class and the number of classes on the other side that it is near-same to.
+
+    Its own class counts if it stands on the other side too. This form grows with the records and links, not with copies.
+    """
+    m = members.withColumn("side", F.col("split") == train)
+    both = m.groupBy("cls").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("cls", F.explode(F.array(F.lit(True), F.lit(False))).alias("side"))
+    every = links.select(F.col("cls_e").alias("cls"), F.lit(False).alias("side")).unionByName(links.select(F.col("cls_t").alias("cls"), F.lit(True).alias("side"))).unionByName(both)
+    return m.join(every.groupBy("cls", "side").agg(F.count("*").alias("links")), ["cls", "side"], "left").select("key", "split", "cls", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def pairs_of(members: DataFrame, links: DataFrame, train: str = "train") -> DataFrame:
     """(key_e, key_t): each evaluation record with each near-same training record, equal ones included."""
     e = members.where(F.col("split") != train).select(F.col("key").alias("key_e"), F.col("cls").alias("cls_e")).distinct()

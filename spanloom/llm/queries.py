@@ -40,8 +40,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, links = overlap.near_same(table(spark, sf_dir, "ner_examples").select("example_id", "split_name", "tokens", "source").dropDuplicates(["example_id", "split_name", "tokens", "source"]))
-    return overlap.report(members, links)
+    members, links = overlap.near_same(table(spark, sf_dir, "ner_examples").select("example_id", "split_name", "tokens", "source"))
+    return overlap.report(members.distinct(), links)
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = overlap.near_same(table(spark, sf_dir, "ner_examples").select("example_id", "split_name", "tokens"))
+    return overlap.classes(members.distinct(), links).toDF("example_id", "split_name", "class_id", "links")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p4_found, p4_redacted, p5_found, p5_redacted, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p3_classes, p4_found, p4_redacted, p5_found, p5_redacted, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

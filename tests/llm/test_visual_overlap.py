@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,16 +64,45 @@ def _lcs(a, b):
 
 def test_banded_programming_is_exact():
     rng = random.Random(2)
-    for _ in range(1500):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in "ab")
-        least = rng.randint(1, 12)
-        n = _lcs(a, b)
-        assert overlap.common_in_order(a, b, least) == (n if n >= least else 0)
-
-
-@pytest.mark.parametrize("words", [6, 60])
-def test_pairs_against_brute_force(spark, words):
-    """With a vocabulary of six words every token is frequent, so the guarantee is tested and not only rare tokens."""
+    for _ in range(300):
+        n, m, least = rng.randint(0, 14), rng.randint(0, 14), rng.randint(1, 12)
+        a, b = (np.array([[rng.randrange(4) for _ in range(k)] for _ in range(5)], int).reshape(5, k) for k in (n, m))
+        want = [_lcs(x.tolist(), y.tolist()) for x, y in zip(a, b)]
+        assert overlap.common_in_order(a, b, least).tolist() == [w if w >= least else 0 for w in want]
+
+
+def test_segments_are_enough_and_disjoint():
+    """However tokens are edited, one of the K+1 segments stays whole with as many edits on its left as segments before it."""
+    rng = random.Random(3)
+    counts = np.array([rng.choice([1, 50, 5000, 90000]) for _ in range(64)])
+    cutter = overlap.Cutter(counts, 0.8, 8)
+    for _ in range(3000):
+        e = [rng.randrange(rng.choice([4, 64])) for _ in range(rng.randint(8, 40))]
+        t = list(e)
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(2)] = [rng.randrange(64)] * rng.randrange(2)
+        if len(t) < 8 or _lcs(e, t) < (need := overlap._least(max(len(e), len(t)), 0.8)):
+            continue
+        at = []
+        for x in (e, t):
+            last = np.arange(len(x)) == len(x) - 1
+            at.append(cutter.places(np.array(x), last))
+        (key, size, cost), (key_t, size_t, _) = at
+        cut = cutter.cut(size.tolist(), cost.tolist())
+        assert len(cut) == overlap.most_edits(len(e), 0.8) + 1 and all(a + size[a] <= b for a, b in zip(cut, cut[1:]))
+        most, longer = len(e) + len(t) - 2 * need, len(t) - len(e)
+        assert any(
+            size_t[p] and key_t[p] == key[c] and abs(p - c) <= no and (p - c + no) % 2 == 0 and abs(longer - p + c) <= most - no for no, c in enumerate(cut) for p in range(max(0, c - no), min(len(t), c + no + 1))
+        )
+    with pytest.raises(ValueError):
+        overlap.Cutter(counts, 0.5, 8)
+
+
+@pytest.mark.parametrize("words,rare,hot", [(6, 64, 4096), (60, 64, 4096), (6, 4, 8), (60, 8, 20)])
+def test_pairs_against_brute_force(spark, monkeypatch, words, rare, hot):
+    """With small bounds most segments are pairs of frequent tokens, and hot ones are matched by stretches of places."""
+    monkeypatch.setattr(overlap, "RARE", rare), monkeypatch.setattr(overlap, "HOT", hot), monkeypatch.setattr(overlap, "STRETCH", 4)
     rng = random.Random(words)
     base = [[f"w{rng.randrange(words)}" for _ in range(rng.randint(7, 16))] for _ in range(40)]
     rows = []
@@ -93,6 +123,10 @@ def test_pairs_against_brute_force(spark, words):
             if s != "train" and t == "train" and _lcs(a, b) >= overlap._least(max(len(a), len(b)), 0.8):
                 want.add(tuple(sorted((i, j))))
     assert got == want and want
+    of = {r.key: (r.cls, r.links) for r in overlap.classes(members.distinct(), links).collect()}
+    assert len(of) == len({r[0] for r in rows if r[1] and r[2] and len(r[2]) >= 8})
+    for key, (_, n) in of.items():
+        assert n == len({of[b if a == key else a][0] for a, b in want if key in (a, b)})
     report = overlap.report(members, links).collect()
     assert sum(r.records for r in report) == members.where("split <> 'train'").count()
     empty = overlap.near_same(df.where(F.lit(False)))
