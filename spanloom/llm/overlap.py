@@ -28,7 +28,7 @@ from spanloom.runtime import materialize, ship, small_side
 SIMILARITY, MIN_TOKENS = 0.8, 8
 #: Counters of the sketch that tells rare tokens, and marks of evaluation segments by which training substrings are left
 #: out early; both are of fixed size, whatever the corpus, and neither changes the result.
-SKETCH_BITS, MARK_BITS = 20, 22
+SKETCH_BITS, MARK_BITS = 20, 24
 #: A token is rare up to RARE counts, a segment hot from HOT; both at least so many times the average counter, as tokens share counters.
 RARE, RARE_TIMES, HOT, HOT_TIMES = 64, 2, 4096, 32
 #: Hot segments are matched by stretches of this many places, so one of them is many keys.
@@ -37,30 +37,46 @@ STRETCH = 16
 LOOKUP_CLASSES = 1_000_000
 
 
-def common_in_order(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    """Lengths of the longest common subsequences of the rows of ``a`` and ``b`` where they are ``least`` or more, else 0.
+def common_in_order(a: list[np.ndarray], b: list[np.ndarray], least: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs of ``a`` and ``b`` where they are ``least`` or more, else 0.
 
-    Only the band that allows ``least`` is computed, for all rows at once. A row's cells depend on each other only by their
-    running maximum.
+    Only the band that allows ``least`` is computed, for many pairs of like length at once. Inside a row of the band cells
+    depend on each other only by their running maximum. Tokens are numbers from 0.
     """
-    rows, n, m = len(a), a.shape[1], b.shape[1]
-    if min(n, m) < least or not rows:
-        return np.zeros(rows, np.int32)
-    up, down = n - least, m - least  # tokens of a, of b that may stay without partner
-    width = up + down + 1
-    prev = np.zeros((rows, width + 1), np.int32)  # prev[d] is the best of a[:i], b[:i - up + d]
-    for i in range(1, n + 1):
-        low, high = max(0, up - i), min(width - 1, m - i + up)
-        cur = np.zeros((rows, width + 1), np.int32)
-        first = low + (i - up + low == 0)  # the cell of an empty b stays 0
-        if first <= high:
-            j = i - up + first - 1
-            met = b[:, j : j + high - first + 1] == a[:, i - 1 : i]
-            best = np.maximum(prev[:, first + 1 : high + 2], prev[:, first : high + 1] + met)
-            cur[:, first : high + 1] = np.maximum.accumulate(best, 1)
-        prev = cur
-    got = prev[:, m - n + up]
-    return np.where(got >= least, got, 0)
+    n, m, least = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64), np.asarray(least, np.int64)
+    out = np.zeros(len(n), np.int32)
+    order = np.flatnonzero(np.minimum(n, m) >= least)
+    order = order[np.lexsort((m[order], n[order]))]
+    i = 0
+    while i < len(order):
+        n0 = max(1, n[order[i]])
+        k = i + 1
+        while k < len(order) and n[order[k]] <= 1.2 * n0 + 2 and (k - i) * n0 < 400_000:
+            k += 1
+        own, i = order[i:k], k
+        out[own] = _band([a[x] for x in own], [b[x] for x in own], n[own], m[own], int((n[own] - least[own]).max()), int((m[own] - least[own]).max()))
+    return np.where(out >= least, out, 0)
+
+
+def _band(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Cells (i, j) with -up <= j - i <= down of all pairs, ordered by ``n``; what is beyond an end is like no token."""
+    rows, width, longest = len(a), up + down + 1, int(n[-1])
+    x, y = np.full((longest, rows), -1, np.int32), np.full((rows, up + longest + width), -2, np.int32)
+    for r, (p, q) in enumerate(zip(a, b)):
+        x[: len(p), r] = p
+        q = q[: longest + width]
+        y[r, up : up + len(q)] = q
+    prev, got = np.zeros((rows, width + 1), np.int32), np.zeros(rows, np.int32)  # prev[d] is the best of a[:i], b[:i - up + d]
+    done = 0
+    for i in range(1, longest + 1):
+        # Cell d ends with the token b[i - up + d - 1], which stands at i + d - 1 behind the margin.
+        best = np.maximum(prev[:, 1:], prev[:, :-1] + (y[:, i - 1 : i - 1 + width] == x[i - 1][:, None]))
+        np.maximum.accumulate(best, 1, out=prev[:, :-1])
+        prev[:, -1] = 0  # outside of the band
+        while done < rows and n[done] == i:
+            got[done] = prev[done, m[done] - i + up]
+            done += 1
+    return got
 
 
 def _least(n: int, similarity: float) -> int:
@@ -141,8 +157,15 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, n, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
 
 
+def _signature(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each record, of which each token turns one; two records differ in no more bits than in tokens."""
+    slot = _mixed(h, 1).view(np.uint64) >> np.uint64(57)
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == k, bit, np.uint64(0)), at).view(np.int64) for k in (0, 1)]
+
+
 def _evaluation_segments(rows: DataFrame, cutter) -> DataFrame:
-    """(key, cls, n, pos, no): the K+1 segments of each evaluation record; a hot one once for each stretch it may stand in."""
+    """(key, cls, n, sa, sb, pos, no): the K+1 segments of each evaluation record; a hot one once for each stretch it may stand in."""
 
     def cut(batches):
         c = cutter.value
@@ -164,18 +187,21 @@ def _evaluation_segments(rows: DataFrame, cutter) -> DataFrame:
             r, p, no, stretch = np.array(out, np.int64).T
             k = key[at[r] + p]
             k = np.where(stretch < 0, k, _mixed(k, stretch))
-            yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("cls").take(pa.array(r)), *(pa.array(x.astype(np.int32)) for x in (n[r], p, no))], ["key", "cls", "n", "pos", "no"])
+            signed = [pa.array(x[r]) for x in _signature(h, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), batch.column("cls").take(pa.array(r)), pa.array(n[r].astype(np.int32)), *signed, pa.array(p.astype(np.int32)), pa.array(no.astype(np.int32))], ["key", "cls", "n", "sa", "sb", "pos", "no"])
 
-    return rows.mapInArrow(cut, "key bigint, cls bigint, n int, pos int, no int")
+    return rows.mapInArrow(cut, "key bigint, cls bigint, n int, sa bigint, sb bigint, pos int, no int")
 
 
 def _training_substrings(rows: DataFrame, cutter, marks) -> DataFrame:
-    """(key, cls, n, pos): the substring at each place of each training record, if an evaluation segment has its mark."""
+    """(key, cls, n, sa, sb, pos): the substring at each place of each training record, if an evaluation segment has its mark."""
 
     def cut(batches):
         c, bits = cutter.value, marks.value
         for batch in batches:
             h, n, at = _flat(batch)
+            if not len(h):
+                continue
             last = np.zeros(len(h), bool)
             last[at + n - 1] = True
             key, size, cost = c.places(h, last)
@@ -184,9 +210,10 @@ def _training_substrings(rows: DataFrame, cutter, marks) -> DataFrame:
             key = np.where(cost < c.hot, key, _mixed(key, pos // STRETCH))
             keep = np.flatnonzero((size > 0) & _marked(bits, key))
             r = r[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column("cls").take(pa.array(r)), pa.array(n[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["key", "cls", "n", "pos"])
+            signed = [pa.array(x[r]) for x in _signature(h, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), batch.column("cls").take(pa.array(r)), pa.array(n[r].astype(np.int32)), *signed, pa.array(pos[keep].astype(np.int32))], ["key", "cls", "n", "sa", "sb", "pos"])
 
-    return rows.mapInArrow(cut, "key bigint, cls bigint, n int, pos int")
+    return rows.mapInArrow(cut, "key bigint, cls bigint, n int, sa bigint, sb bigint, pos int")
 
 
 def _marks(segments: DataFrame) -> np.ndarray:
@@ -207,18 +234,10 @@ def _verify(pairs: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             lists = [batch.column(c) for c in ("words_e", "words_t")]
             codes, _ = pd.factorize(pa.concat_arrays([x.flatten() for x in lists]).to_numpy(zero_copy_only=False))
-            ns = [np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists]
-            cut = int(ns[0].sum())
-            flat, starts = (codes[:cut], codes[cut:]), [np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) for n in ns]
-            common = np.zeros(batch.num_rows, np.int32)
-            # Pairs of the same two lengths have the same band.
-            of = ns[0] * (int(ns[1].max(initial=0)) + 1) + ns[1]
-            order = np.argsort(of, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-                if len(own):
-                    n, m = int(ns[0][own[0]]), int(ns[1][own[0]])
-                    a, b = (f[s[own][:, None] + np.arange(k)] for f, s, k in zip(flat, starts, (n, m)))
-                    common[own] = common_in_order(a, b, _least(max(n, m), similarity))
+            ends = [x.offsets.to_numpy() - x.offsets[0].as_py() for x in lists]
+            cut = int(ends[0][-1])
+            e, t = (np.split(c, i[1:-1]) for c, i in zip((codes[:cut], codes[cut:]), ends))
+            common = common_in_order(e, t, [_least(max(len(x), len(y)), similarity) for x, y in zip(e, t)])
             keep = pa.array(np.flatnonzero(common))
             yield pa.RecordBatch.from_arrays([batch.column("cls_e").take(keep), batch.column("cls_t").take(keep), pa.array(common[common > 0])], ["cls_e", "cls_t", "common"])
 
@@ -256,7 +275,8 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
     need = F.ceil(F.lit(similarity) * F.greatest("n_e", "n_t") - F.lit(1e-9))
     shift, longer = F.col("pos_t") - F.col("pos_e"), F.col("n_t") - F.col("n_e")
     left, right = F.abs(shift) <= F.col("no"), F.abs(longer - shift) <= F.col("n_e") + F.col("n_t") - 2 * need - F.col("no")
-    met = (F.col("cls_e") != F.col("cls_t")) & (F.least("n_e", "n_t") >= need) & left & (F.pmod(shift + F.col("no"), F.lit(2)) == 0) & right
+    differing = F.bit_count(F.col("sa_e").bitwiseXOR(F.col("sa_t"))) + F.bit_count(F.col("sb_e").bitwiseXOR(F.col("sb_t"))) <= F.col("n_e") + F.col("n_t") - 2 * need
+    met = (F.col("cls_e") != F.col("cls_t")) & (F.least("n_e", "n_t") >= need) & differing & left & (F.pmod(shift + F.col("no"), F.lit(2)) == 0) & right
     pairs = materialize(e.join(t, "key").where(met).select("cls_e", "cls_t").distinct())
     wanted = pairs.select(F.col("cls_e").alias("cls")).unionByName(pairs.select(F.col("cls_t").alias("cls"))).distinct()
     words = rows.select("cls", "words").join(small_side(wanted, LOOKUP_CLASSES), "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))

@@ -64,11 +64,11 @@ def _lcs(a, b):
 
 def test_banded_programming_is_exact():
     rng = random.Random(2)
-    for _ in range(300):
-        n, m, least = rng.randint(0, 14), rng.randint(0, 14), rng.randint(1, 12)
-        a, b = (np.array([[rng.randrange(4) for _ in range(k)] for _ in range(5)], int).reshape(5, k) for k in (n, m))
-        want = [_lcs(x.tolist(), y.tolist()) for x, y in zip(a, b)]
-        assert overlap.common_in_order(a, b, least).tolist() == [w if w >= least else 0 for w in want]
+    pairs = [[np.array([rng.randrange(4) for _ in range(rng.randint(0, 14))], int) for _ in "ab"] for _ in range(1500)]
+    least = [rng.randint(1, 12) for _ in pairs]
+    want = [_lcs(a.tolist(), b.tolist()) for a, b in pairs]
+    assert overlap.common_in_order(*zip(*pairs), least).tolist() == [w if w >= k else 0 for w, k in zip(want, least)]
+    assert overlap.common_in_order([], [], []).tolist() == []
 
 
 def test_segments_are_enough_and_disjoint():
