@@ -1,8 +1,9 @@
 """Per-document statistics of text, and which messages are no natural prose.
 
-Tables and lists show in the layout: delimiters that stand in the same number or the same columns on all lines, bullets
-and indentation that come back, lines of like length one after the other. Junk shows in its characters and words. These
-signs are combined with how much of the text stands in sentences.
+Tables and lists show in their layout: delimiters that stand one below the other (in number, in columns, at the line's
+head), indentation that comes back, and lines that all end long before the page does, one after the other. Junk shows in
+the ratios of its words, symbols and markup. Each sign adds its weight, the share of text in sentences takes away, and from
+a bound on the text is no prose.
 """
 
 from __future__ import annotations
@@ -16,23 +17,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm import messages
-from spanloom.runtime import bounded_collect, ship, spread
+from spanloom.llm.vocabulary import with_vocabulary
+from spanloom.runtime import spread
 
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 OTHER_THAN_DIGITS, OTHER_THAN_ALNUM = re.compile(r"\D+"), re.compile(r"[\W_]+")
 FOREIGN = re.compile("[\u0370-\u1dbf\u1f00-\u1fff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufdff\ufe70-\ufeff]")
 BULLET = re.compile(r"^\s*(?:[-*•–—+·▪◦o‣]|\(?\d{1,4}[.)]|[a-zA-Z][.)]|\[[ xX]\])\s+\S")
 LEADER = re.compile(r"(?:\.{4,}|(?: \.){4,}|\t)\s*\d+\s*$")
-RECORD = re.compile(r"^\s*(?:\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d:\d\d|<\d+>|at \w+\.|\w{3} +\d+ \d\d:\d\d:\d\d)|^[\w.-]{1,40}\s*[:=]\s*\S+(?:\s\S+){0,2}$")
 SENTENCE_END = re.compile(r"(?<=[.!?…。！？:])[\"')\]»”’]*(?:\s+|$)|(?<=[。！？])")
 TERMINAL = tuple(".!?…。！？:;")
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&[a-z]{2,8};")
 SHORT_CLOSING = re.compile(r"^[^\W\d_][^\n.:;|,\t]{0,40}[,:!.]?$")
 DELIMITERS = {",": 2, "\t": 1, "|": 2, ";": 2, "│": 2, "¦": 2}
+HEAD_LETTERS, HEAD_DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
+#: Common words that are broadcast; of more, each text gets its own by a join.
 MAX_COMMON_WORDS = 200_000
+#: Where a page ends: lines are as short as they stay behind it.
+PAGE = 72
 
-#: Weights of the signs against prose, and how much of the text must stand in sentences to be prose without doubt.
-SENTENCE_SHARE, STRUCTURE = 0.5, 0.5
+#: What each sign adds to the case against prose, and what text in sentences takes away; no prose from BOUND.
+WEIGHTS = {"alignment": 0.6, "periodicity": 0.6, "autocorrelation": 0.6, "noise": 0.9, "repeated": 0.9, "strange": 0.7, "markup": 0.5, "unfinished": 0.3, "sentences": -1.0}
+BOUND = 0.5
 
 STATS = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("mean_word_length", T.DoubleType()),
@@ -43,23 +49,48 @@ STATS = T.StructType([
 ])
 
 
-def _autocorrelation(xs: list[int], lag: int) -> float:
+def periodicity(lines: list[str]) -> float:
+    """How well indentation comes back after one to four lines (its autocorrelation), times the share of indented lines; 0 of under 3 lines."""
+    xs = [len(x.expandtabs(4)) - len(x.expandtabs(4).lstrip()) for x in lines]
     n = len(xs)
-    if n <= lag + 1:
+    if n < 3 or not any(xs):
         return 0.0
     mean = sum(xs) / n
     var = sum((x - mean) ** 2 for x in xs)
-    if var == 0:
-        return 1.0
-    return sum((xs[i] - mean) * (xs[i + lag] - mean) for i in range(n - lag)) / var
+    best = 1.0 if var == 0 else max(sum((xs[i] - mean) * (xs[i + k] - mean) for i in range(n - k)) / var for k in range(1, min(5, n - 1)))
+    return max(0.0, best) * sum(map(bool, xs)) / n
 
 
-def _alignment(lines: list[str]) -> float:
-    """Largest share of lines with the same number of one delimiter, or with gaps in the same columns."""
+def autocorrelation(lines: list[str]) -> float:
+    """Autocorrelation of what lines, blank ones included, leave free of the page; 0 of under 4 lines with text.
+
+    Items of lists and rows of tables leave much free on line after line. Wrapped prose fills its lines but the last of
+    each paragraph, and unwrapped prose goes beyond the page.
+    """
+    if sum(bool(x.strip()) for x in lines) < 4:
+        return 0.0
+    free = [max(0, PAGE - len(x.rstrip())) if x.strip() else 0 for x in lines]
+    squares = sum(x * x for x in free)
+    return sum(a * b for a, b in zip(free, free[1:])) / squares if squares else 0.0
+
+
+def head(line: str) -> str:
+    """The shape of a line's first token if it is more than a word: a bullet, a number, a time, a tag, the begin of an address."""
+    first = line.split(None, 1)[0][:24]
+    shape = HEAD_DIGITS.sub("0", HEAD_LETTERS.sub("a", first))
+    bare = shape.rstrip(".,;!?'’\"")
+    return "" if bare in ("a", "") and shape[-1:] not in (":",) else "a://" if shape.startswith("a://") else shape
+
+
+def alignment(lines: list[str]) -> float:
+    """Largest share of lines that have the same number of one delimiter, gaps in the same columns, a bullet, leader or head alike; 0 of under 3 lines."""
     n = len(lines)
     if n < 3:
         return 0.0
-    best = 0.0
+    best = max(sum(bool(BULLET.match(x)) for x in lines), sum(bool(LEADER.search(x)) for x in lines)) / n
+    heads = Counter(filter(None, map(head, lines)))
+    if heads:
+        best = max(best, heads.most_common(1)[0][1] / n)
     for d, least in DELIMITERS.items():
         counts = Counter(c for c in (x.count(d) for x in lines) if c >= least)
         if counts:
@@ -93,13 +124,8 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
     common_share = sum(w in common for w in low) / n_words if n_words else 0.0
     ends = sum(x.rstrip().endswith(TERMINAL) for x in lines) / len(lines)
     bullets = sum(bool(BULLET.match(x)) for x in lines) / len(lines)
-    leaders = sum(bool(LEADER.search(x)) for x in lines) / len(lines)
-    records = sum(bool(RECORD.match(x)) for x in lines) / len(lines)
-    indents = [len(x) - len(x.lstrip()) for x in lines]
-    period = max((_autocorrelation(indents, k) for k in (1, 2, 3, 4)), default=0.0) if any(indents) else 0.0
-    lengths = [len(x) for x in lines]
-    length_auto = _autocorrelation(lengths, 1)
-    align = _alignment(lines)
+    period, length_auto = periodicity(lines), autocorrelation(text.split("\n"))
+    align = alignment(lines)
     distinct = len(set(low)) / n_words if n_words else 0.0
     symbols = (visible - alnum) / visible
     markup = sum(len(m) for m in TAG.findall(text)) / visible
@@ -128,13 +154,13 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
     greeting = sum(len(x) - x.count(" ") for x in lines[:1] + lines[-1:] if len(lines) > 2 and SHORT_CLOSING.match(x.strip()))
     share = min(1.0, inside / max(1, visible - greeting))
 
-    repeated = max(0.0, 1 - distinct * 4) if n_words >= 20 else 0.0
-    strange = (1.0 if common_share < 0.05 else 0.0) if n_words >= 8 else 0.0
-    noise = min(1.0, max(0.0, (symbols - 0.2) * 3))
-    bare = sum(len(x.strip()) <= 60 and not x.rstrip().endswith(TERMINAL + (",",)) for x in lines) / len(lines) if len(lines) >= 4 else 0.0
-    layout = max(bullets, bare if share < 0.1 else 0.0, leaders, align, records, 0.5 * max(0.0, period) + 0.5 * max(0.0, length_auto) if bullets + leaders + align > 0.3 else 0.0)
-    structure = max(layout, noise, min(1.0, 2 * markup), repeated, strange)
-    prose = share >= SENTENCE_SHARE or structure < STRUCTURE
+    signs = {
+        "alignment": align, "periodicity": period, "autocorrelation": length_auto, "sentences": share,
+        "noise": min(1.0, max(0.0, (symbols - 0.2) * 3)), "markup": min(1.0, 2 * markup), "unfinished": 1 - ends,
+        "repeated": max(0.0, 1 - distinct * 4) if n_words >= 20 else 0.0, "strange": float(common_share < 0.05 and n_words >= 8),
+    }
+    structure = sum(WEIGHTS[k] * v for k, v in signs.items())
+    prose = structure < BOUND
     return (n_words, len(lines), letters / n_words if n_words else 0.0, symbols, ends, common_share, digits / visible, distinct, bullets, align, period, length_auto, share, structure, prose)
 
 
@@ -143,20 +169,17 @@ def document_statistics(df: DataFrame, common_words: DataFrame, key: str = "doc_
 
     With ``body_only`` the statistics are of the body as its sender wrote it, else of the whole text. Null, empty and
     blank texts have zeros, has_text false and count as prose; repeated rows give a row each. ``common_words`` has word;
-    it is a dimension of at most MAX_COMMON_WORDS rows.
+    up to MAX_COMMON_WORDS of them are broadcast, more are joined.
     """
-    spark = df.sparkSession
-    ship(spark)
-    rows = bounded_collect(common_words.select(F.lower("word").alias("word")).where("word is not null").distinct(), MAX_COMMON_WORDS, "common words")
-    shared = spark.sparkContext.broadcast(frozenset(r.word for r in rows))
+    shown = lambda t: messages.body(t) if body_only and t else t or ""
     x = spread(df.select(df[key].alias("k"), df[text].alias("t")))
+    x, common_of = with_vocabulary(x, common_words.select(F.lower("word")), MAX_COMMON_WORDS, lambda t, seen: statistics(shown(t), seen))
     names = [f.name for f in STATS]
 
     def measure(batches):
-        common = shared.value
         for p in batches:
-            texts = [messages.body(t) if body_only and t else t or "" for t in p["t"]]
-            out = pd.DataFrame([statistics(t, common) for t in texts], columns=names)
+            texts = [shown(t) for t in p["t"]]
+            out = pd.DataFrame([statistics(t, common) for t, common in zip(texts, common_of(p))], columns=names)
             out.insert(0, "has_text", [bool(t.strip()) for t in texts])
             out.insert(0, "k", p["k"].to_numpy())
             yield out

@@ -123,6 +123,34 @@ def test_prose(body, prose):
     assert quality.statistics(messages.body(MAIL + body), common)[-1] is prose
 
 
+@pytest.mark.parametrize(
+    ("sign", "body"),
+    [
+        # Rows longer than the page, so that nothing but their delimiters tells them.
+        ("alignment", "\n".join("; ".join(f"the {chr(97 + i)}{w}ne of this {w}{chr(97 + i)}x" for w in ("ta", "ru", "lo", "mi", "se")) for i in range(8))),
+        # A list of bare items, without bullets.
+        ("autocorrelation", "the report\nbudget for may\nnew server room\ncatalogue\nkeys of the house\nplan and notes\nthe draft\n"),
+        # An outline of long lines that comes back every third line.
+        ("periodicity", "\n".join("    " * (i % 3) + "the plan of " + " ".join(f"{w}{chr(97 + i)}{x}" for w in ("ta", "ru", "lo", "mi", "se") for x in ("ne", "no", "vi")) for i in range(9))),
+    ],
+)
+def test_each_layout_sign_decides(monkeypatch, sign, body):
+    common = frozenset("the of with what is in it and all that we have from as new list for more this entry report may keys plan house notes".split())
+    assert quality.statistics(body, common)[-1] is False
+    monkeypatch.setitem(quality.WEIGHTS, sign, 0.0)
+    assert quality.statistics(body, common)[-1] is True
+
+
+def test_layout_decides_in_the_tables(spark, data, monkeypatch):
+    docs = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.text and r.text.strip()]
+    common = frozenset(r.word.lower() for r in spark.read.parquet(f"{data}/common_words.parquet").collect() if r.word)
+    found = lambda: {i for i, t in enumerate(docs) if not quality.statistics(messages.body(t), common)[-1]}
+    whole = found()
+    for sign in ("alignment", "autocorrelation", "periodicity"):
+        monkeypatch.setitem(quality.WEIGHTS, sign, 0.0)
+    assert found() < whole
+
+
 def test_bodies():
     quoted = MAIL + "New words.\n\nOn Mon, A wrote:\n> old\n> more\n-- \nSig\n____________\nlegal"
     assert messages.body(quoted) == "New words."
@@ -144,6 +172,14 @@ def test_statistics_columns(spark):
     assert quality.document_statistics(df.limit(0), words.limit(0)).count() == 0
 
 
+def test_long_word_lists_are_joined(spark, monkeypatch):
+    words = spark.createDataFrame([("the", "en"), ("Dog", "en"), (None, "en")], "word string, lang string")
+    df = spark.createDataFrame([(1, "The cat.\nThe dog."), (2, None), (3, ""), (1, "The cat.\nThe dog."), (4, "none here")], "doc_id bigint, text string")
+    want = sorted(map(tuple, quality.document_statistics(df, words).collect()))
+    monkeypatch.setattr(quality, "MAX_COMMON_WORDS", 1)
+    assert sorted(map(tuple, quality.document_statistics(df, words).collect())) == want and want[0][7] == 0.75
+
+
 def test_key_blocks_with_headers_and_blank_lines():
     rng = random.Random(5)
     body = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(6)]
