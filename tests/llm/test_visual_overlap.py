@@ -25,6 +25,51 @@ def test_terms_in_every_spelling(spark):
     assert visual.find_terms(df.limit(0), terms, "id", "text").count() == 0 and visual.find_terms(df, terms.limit(0), "id", "text").count() == 0
 
 
+def _brute(text, terms):
+    """All stretches of a text that look like a term and are not continued, by comparing every stretch with every term."""
+    letters = [(i, b) for i, c in enumerate(text) for b in visual._BASES[ord(c)]]
+    out = set()
+    for i in range(len(letters)):
+        for k in range(i + 1, len(letters) + 1):
+            word = "".join(b for _, b in letters[i:k])
+            if any(word == visual.skeleton(t) for t in terms) and not (i and letters[i - 1][1].isalnum()) and not (k < len(letters) and letters[k][1].isalnum()):
+                out.add(word)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_nested_and_overlapping_terms(spark, monkeypatch, limit):
+    """Both ways of finding give the same: one automaton, and a join where there are more terms than it holds."""
+    monkeypatch.setattr(visual, "AUTOMATON_TERMS", limit)
+    names = ["Ivan Petrov", "Petrov Holding", "Petrov", "Holding", "n Pet", "A-B", "Fin"]
+    terms = spark.createDataFrame(list(enumerate(names)), "term_id int, term string")
+    bold = "".join(chr(0x1D400 + ord(c) - 65) if c.isupper() else chr(0x1D41A + ord(c) - 97) for c in "Petrov")
+    texts = ["Ivan Pеtrov Holding", f"({bold})", "Petrᴏᴠ, Ivan Petrov", "A‐B Fin", "Ｆｉｎ ꓝin Ꭼ", "Petrov\u200b Petrova", "Petrov", "petrov", "Ivan Petrov Holding"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = visual.find_terms(df, terms, "id", "text").collect()
+    for i, t in enumerate(texts):
+        assert {r.term for r in got if r.id == i} == {n for n in names if visual.skeleton(n) in _brute(t, names)}, t
+    odd = {(r.id, r.term) for r in got if r.value != r.term}
+    assert {(0, "Ivan Petrov"), (0, "Petrov Holding"), (0, "Petrov"), (1, "Petrov"), (2, "Petrov"), (3, "A-B"), (4, "Fin")} == odd
+    whole = visual.find_terms(df.union(spark.createDataFrame([(99, "\ufeffPetrov")], df.schema)), terms, "id", "text", whole=True).where("value <> term").collect()
+    assert {(r.id, r.term) for r in whole} == {(99, "Petrov")}
+
+
+def test_mapping_is_the_same_in_columns(spark):
+    """The mapping of columns and the skeleton agree for every character that has a plain form."""
+    chars = [c for c in {**visual.look_alikes(), **visual.ligatures()} if unicodedata.category(c)[0] in "LN"]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", visual.mapped(F.col("c")).alias("m")).collect()
+    assert all(visual.skeleton(r.m) == visual.skeleton(r.c) for r in rows) and sum(r.m.isascii() for r in rows) > 700
+
+
+def test_many_forms_are_joined(spark, monkeypatch):
+    rows = [(1, "Ｋestrova paid, Ｋestrova"), (2, "Kestrova paid"), (3, None), (1, "Ｋestrova paid, Ｋestrova"), (4, "ＡＢ‐Ｃ é")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    want = sorted(map(str, visual.canonical_texts(df, "id", "text").collect()))
+    monkeypatch.setattr(visual, "BROADCAST_FORMS", 0)
+    assert sorted(map(str, visual.canonical_texts(df, "id", "text").collect())) == want and "Kestrova paid, Kestrova" in want[0] + want[1]
+
+
 def test_classes_and_texts(spark):
     rows = [(1, "Ｋestrova paid"), (2, "Kestrova paid"), (3, "Спасибо за сор"), (4, "café Café café"), (5, None), (6, ""), (7, "👨‍👩‍👧 a b"), (2, "Kestrova paid")]
     df = spark.createDataFrame(rows, "id int, text string")
