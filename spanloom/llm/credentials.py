@@ -1,8 +1,9 @@
 """Credentials embedded in source code, configuration and prose.
 
 A text is scanned for known token shapes, named values, headers, connection strings, command lines and key blocks. Encoded
-literals (base64, hex, percent and backslash escapes) are decoded, layer by layer; a decoded container of a private key is
-told by its binary grammar, decoded text is scanned again, and a finding inside redacts the literal that encloses it.
+literals (base64, hex, percent and backslash escapes) are decoded, layer by layer until nothing is left to decode (each
+layer is shorter than the one around it); a decoded container of a private key is told by its binary grammar, decoded text
+is scanned again, and a finding inside redacts the literal that encloses it.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from pyspark.sql import DataFrame
 from spanloom.llm import keyfiles
 from spanloom.runtime import ship, spread
 
-MAX_LAYERS = 5
-
 #: Shapes of tokens that tell their issuer.
 TOKENS = {
     "AWS_ACCESS_KEY": r"(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}",
@@ -80,11 +79,15 @@ _CONNECTION = re.compile(r"(?:^|[;\"'\s])(?P<name>(?i:password|pwd|accountkey|sh
 _KUBERNETES = re.compile(r"^(?P<in>[ \t]*)kind:[ \t]*[\"']?Secret[\"']?[ \t]*\r?$", re.M)
 _ENTRY = re.compile(r"^(?P<in>[ \t]+)[\"']?(?P<name>[\w.-]+)[\"']?[ \t]*:[ \t]*[\"']?(?P<d>[A-Za-z0-9+/_-]{4,}={0,2})[\"']?[ \t]*\r?$")
 
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/=])")
+# The shortest literals are those of a value of six characters with its name.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{11,}={0,2}(?![A-Za-z0-9+/=])")
 _BASE64_LINES = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/]{40,76}[ \t]*\r?\n)+[ \t]*[A-Za-z0-9+/]{4,76}={0,2}[ \t]*\r?$", re.M)
-_HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:0x)?((?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,})(?![0-9A-Za-z+/_-])")
+_HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:0x)?((?:[0-9a-fA-F]{2}){8,})(?![0-9A-Za-z+/_-])")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}[^\s\"'<>`]*?%[0-9A-Fa-f]{2}(?:[^\s\"'<>`%]*%[0-9A-Fa-f]{2})*")
+#: "%25" is a percent sign in each layer but the last.
+_NESTED_PERCENT = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")
 _AROUND = " \t\r\n\"'<>`"
+_IN_URL = re.compile(r"[^?&;=#/,]+")
 _ESCAPED = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\[0-7]{3}){6,}")
 _ENTITIES = re.compile(r"(?:&#(?:x[0-9a-fA-F]{2,5}|[0-9]{2,6});){6,}")
 
@@ -110,7 +113,7 @@ _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | dict.fromkeys([0xA0, 0x
 _CHANGED = re.compile("[" + re.escape("".join(map(chr, _WIDE))) + "]")
 #: Substrings of the lower-cased text one of which every finding needs, unless it has a long run or an escape.
 _SIGNS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "hook", "kennwort", "contrase", "clave", "schl", "clé", "cle", "://", "mysql", "login", "curl", "redis", "identified", "akia", "asia", "&#", "\\x", "\\u", "%")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{11}")
 _HINTS = ("AKIA", "ASIA", "ABIA", "ACCA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "gldt-", "glptt-", "glrt-", "glsoat-", "glcbt-", "xox", "xapp", "_live_", "_test_", "_prod_", "whsec", "SG.", "SK", "AIza", "GOCSPX", "ya29", "npm_", "pypi-", "hf_", "_v1_", "hvs.", "hvb.", "hvr.", ":AA", "eyJ", "sk-", "shp", "sq0", "glsa", "dckr", "key-", "lin_api", "rubygems")
 _TOOLS = ("sshpass", "mysql", "mariadb", "curl", "login", "redis-cli", "identified", "with password")
 _LINE_SIGNS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "hook", "kennwort", "contrase", "clave", "schl", "cle", "clé", "pw")
@@ -199,7 +202,7 @@ def _groups(m: re.Match) -> tuple[int, int, bool] | None:
 _VALUES = {"d", "s", "t", "b", "d2", "s2", "t2", "b2"}
 
 
-def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
+def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the credentials of a plain text; spans of one literal may overlap."""
     out: list[tuple[int, int, str]] = []
     low = text.lower()
@@ -250,8 +253,7 @@ def scan(text: str, layer: int = 0) -> list[tuple[int, int, str]]:
             out.append((m.start(g), m.end(g), "GENERIC_SECRET"))
     for m in _KUBERNETES.finditer(text) if "Secret" in text else ():
         out += _secret_manifest(text, m)
-    if layer < MAX_LAYERS:
-        out += _decoded(text, layer)
+    out += _decoded(text)
     return out
 
 
@@ -327,13 +329,13 @@ def _secret_manifest(text: str, m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def _decoded(text: str, layer: int) -> list[tuple[int, int, str]]:
+def _decoded(text: str) -> list[tuple[int, int, str]]:
     """Findings inside encoded literals, at the place of the whole literal."""
     out = []
 
     def rescan(start: int, end: int, plain: str | None) -> None:
         if plain and len(plain) >= 8 and _may_hold(plain):
-            out.extend((start, end, kind) for _, _, kind in scan(plain, layer + 1)[:1])
+            out.extend((start, end, kind) for _, _, kind in scan(plain)[:1])
 
     runs = _RUN.search(text) is not None
     for m in _BASE64_LINES.finditer(text) if runs else ():
@@ -367,8 +369,13 @@ def _decoded(text: str, layer: int) -> list[tuple[int, int, str]]:
                 start -= 1
             while end < len(text) and text[end] not in _AROUND:
                 end += 1
-            if "://" not in text[start:end]:
-                rescan(start, end, unquote(text[start:end]))
+            # Of an address each part is a literal of its own; the whole is scanned as it stands.
+            for a, b in [(start, end)] if "://" not in text[start:end] else [x.span() for x in _IN_URL.finditer(text, start, end)]:
+                plain, coded = text[a:b], None
+                while "%" in plain and plain != coded:
+                    coded, plain = plain, unquote(_NESTED_PERCENT.sub("%", plain))
+                    if plain != coded:
+                        rescan(a, b, plain)
     if "\\" in text:
         for m in _ESCAPED.finditer(text):
             plain = re.sub(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\u\{([0-9a-fA-F]{1,6})\}|\\([0-7]{3})", lambda e: chr(min(0x10FFFF, int(e[1] or e[2] or e[3], 16) if not e[4] else int(e[4], 8))), m.group())
