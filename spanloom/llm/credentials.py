@@ -432,9 +432,11 @@ def find_credentials(df: DataFrame, key: str = "scan_id", text: str = "text", re
         for p in batches:
             at, rows = [], []
             for i, t in enumerate(p["t"]):
+                line, upto = 1, 0
                 for s, e, k in findings(t):
+                    line, upto = line + t.count("\n", upto, s), s
                     at.append(i)
-                    rows.append((t.count("\n", 0, s) + 1, s, e, k))
+                    rows.append((line, s, e, k))
             out = pd.DataFrame(rows, columns=["line_no", "start_pos", "end_pos", "entity_type"])
             out.insert(0, "k", p["k"].to_numpy()[at])
             yield out

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import boosting
 from spanloom.llm.credentials import Clean
-from spanloom.runtime import bounded_collect, ship, spread
+from spanloom.llm.vocabulary import with_vocabulary
+from spanloom.runtime import ship, spread
 
 #: Requests whose candidates the trees are fitted on, chosen by a hash of their id.
 TRAINING_REQUESTS = 6_000
+#: Given names that are broadcast; of more, each text gets its own by a join.
 MAX_NAMES = 200_000
 TYPES = ("EMAIL_ADDRESS", "PHONE_NUMBER", "ID_NUMBER", "STREET_ADDRESS", "PERSON")
 #: Types of the reports that are of one type here.
@@ -34,7 +37,10 @@ _PARTICLE = r"(?:van der|van den|van de|von der|vom|van|von|zu|de la|de los|de l
 _WORD = rf"(?:[DdLO]['’])?[{_UP}](?:[{_UP}{_LOW}]|['’](?=[{_UP}{_LOW}]))+(?:-[{_UP}][{_UP}{_LOW}]+)*"
 _RUN = re.compile(rf"(?<![\w@/.'’-])(?:{_TITLE} )?(?:{_WORD}|[{_UP}]\.)(?: (?:[{_UP}]\.|{_PARTICLE}(?= [{_UP}])|{_WORD})){{0,5}}")
 _COMMA = re.compile(rf"(?<![\w@/.'’-])(?=((?:(?:{_PARTICLE}) )?{_WORD}(?: {_WORD})?, (?:{_TITLE} )?{_WORD}(?: [{_UP}]\.)?)(?![\w@]))")
-_EMAIL = re.compile(r"[A-Za-z0-9À-ÿ._%+'-]+(?:@|%40|\s?[(\[{]\s?(?:at|AT|arroba)\s?[)\]}]\s?| at )[A-Za-z0-9À-ÿ-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|punto|punkt|point)\s?[)\]}]\s?| dot )[A-Za-z0-9-]+)+")
+# An address is sought from its sign, to the left as far as its letters go, to the right by its expression.
+_SIGN = re.compile(r"@|%40|\s?[(\[{]\s?(?:at|AT|arroba)\s?[)\]}]\s?| at ")
+_LOCAL_LETTER = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+'-" + "".join(map(chr, range(0xC0, 0x100))))
+_DOMAIN = re.compile(r"[A-Za-z0-9À-ÿ-]++(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|punto|punkt|point)\s?[)\]}]\s?| dot )[A-Za-z0-9-]++)+")
 _PHONE = re.compile(r"(?<![\w/.@-])(?:\+|\(|\b)[\d(][\d ().\-/]{5,22}\d(?!\w)(?: ?(?:ext|x|extn|poste|Durchwahl|DW)\.? ?\d{1,5})?")
 _IDS = tuple(
     re.compile(p)
@@ -45,14 +51,14 @@ _IDS = tuple(
     )
 )
 _STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Court|Ct|Close|Cl|Boulevard|Blvd|Way|Place|Pl|Terrace|Crescent|Square|Sq|Row|Walk|Hill|Gardens|Grove|Parkway|Pkwy|Circle|Highway|Hwy|Mews|Park|Green|Rise)"
+_WHOLE = rf"(?>{_WORD})"
 _ADDRESSES = (
-    re.compile(rf"(?<![\w.])(?:(?:Flat|Apt|Unit|Suite) \d+[A-Za-z]?, )?\d{{1,5}}[A-Za-z]?,? (?:(?:[NSEW]|North|South|East|West|Old|New)\.? )?(?:{_WORD} ){{1,3}}{_STREET}\b\.?(?:,? (?:Apt|Flat|Unit|Suite|#) ?\w+)?"),
-    re.compile(rf"(?<![\w.])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?i:rue|avenue|av\.|boulevard|bd|chemin|place|impasse|allée|allee|cours|quai|route|square|passage|sentier|faubourg)(?: (?:de la|de l['’]|des|du|de|d['’]))? ?(?:{_WORD} ?){{1,4}}"),
-    re.compile(rf"(?<![\w.])(?:(?:Am|An der|Zum|Zur|Im|In der|Auf der|Unter den) )?[{_UP}][{_LOW}{_UP}-]*(?:[ -]?(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|Straße|Str\.|Weg|Platz|Allee|markt|steig|hof))\.? \d{{1,4}} ?[a-z]?(?!\w)"),
-    re.compile(rf"(?<![\w.])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Pº|Camino|Carrera|Ronda|Travesía|Rambla|Carretera|Vía|Glorieta)(?: (?:de la|de los|de las|del|de))? ?(?:{_WORD} ?){{1,4}},? ?(?:n[.ºo°]+ ?|núm\. ?)?\d{{1,4}}(?:,? ?\d{{1,2}}[ºª](?: ?[A-Z])?)?"),
+    re.compile(rf"(?<![\w.])(?:(?:Flat|Apt|Unit|Suite) \d+[A-Za-z]?, )?\d{{1,5}}[A-Za-z]?,? (?:(?:[NSEW]|North|South|East|West|Old|New)\.? )?(?:{_WHOLE} ){{1,3}}{_STREET}\b\.?(?:,? (?:Apt|Flat|Unit|Suite|#) ?\w+)?"),
+    re.compile(rf"(?<![\w.])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?i:rue|avenue|av\.|boulevard|bd|chemin|place|impasse|allée|allee|cours|quai|route|square|passage|sentier|faubourg)(?: (?:de la|de l['’]|des|du|de|d['’]))? ?(?:{_WHOLE} ?){{1,4}}"),
+    re.compile(rf"(?<![\w.])(?:(?:Am|An der|Zum|Zur|Im|In der|Auf der|Unter den) )?[{_UP}][{_LOW}{_UP}-]{{0,80}}(?:[ -]?(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|Straße|Str\.|Weg|Platz|Allee|markt|steig|hof))\.? \d{{1,4}} ?[a-z]?(?!\w)"),
+    re.compile(rf"(?<![\w.])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Pº|Camino|Carrera|Ronda|Travesía|Rambla|Carretera|Vía|Glorieta)(?: (?:de la|de los|de las|del|de))? ?(?:{_WHOLE} ?){{1,4}},? ?(?:n[.ºo°]+ ?|núm\. ?)?\d{{1,4}}(?:,? ?\d{{1,2}}[ºª](?: ?[A-Z])?)?"),
 )
 # Cheap signs without which the expressions above cannot match a line.
-_AT = re.compile(r"%40|[(\[{] ?(?:at|AT|arroba)| dot ")
 _DIGIT = re.compile(r"\d")
 _MANY_DIGITS = re.compile(r"\d(?:[ ().\-/]{0,4}\d){6}")
 _ID_LIKE = re.compile(r"\d(?:[ .-]?[A-Z0-9]){5}|[A-Z0-9]{8}")
@@ -62,11 +68,12 @@ _ADDRESS_SIGNS = (
     re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|markt|steig|hof|Stra(?:ß|ss)e|Str\.|Weg|Platz|Allee)\.? \d"),
     re.compile(r"Calle|C/|Av|Plaza|Pza|P[aº]|Camino|Carre|Ronda|Travesía|Rambla|Vía|Glorieta"),
 )
-_TWO_NAMES = re.compile(rf"[{_UP}][{_UP}{_LOW}.'’-]*,? (?:[a-z]+ (?:[a-z]+ )?)?[{_UP}]")
+# A word with a capital, read once from its beginning, and a capital not far behind it.
+_TWO_NAMES = re.compile(rf"(?<![{_UP}{_LOW}.'’-])(?=[{_LOW}.'’-]*+[{_UP}])[{_UP}{_LOW}.'’-]*+,? (?:[a-z]++ (?:[a-z]++ )?)?(?:[DdLO]['’])?[{_UP}]")
 _TITLED, _INITIAL, _OF = re.compile(rf"{_TITLE} "), re.compile(rf"(?<!\w)[{_UP}]\."), re.compile(rf" (?:{_PARTICLE}) ")
 _ONLY_TITLE, _ONLY_INITIAL = re.compile(_TITLE), re.compile(rf"[{_UP}]\.")
-_URL_BEFORE, _LOCAL, _LOGIN_PART = re.compile(r"[a-z][a-z0-9+.-]*://\S*$"), re.compile(r"[@(\[%]| at "), re.compile(r"[\d._+-]")
-_NUMBERS = re.compile(r"\d+")
+_LOCAL, _LOGIN_PART = re.compile(r"[@(\[%]| at "), re.compile(r"[\d._+-]")
+_NUMBERS, _SPACE = re.compile(r"\d+"), re.compile(r"\s")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{};,=:]+|[\"'<>()\[\]{};,=:]")
 _LOGINS = frozenset("build deploy git root admin administrator noreply no-reply svc service user www backup ci bot jenkins ubuntu ec2-user postgres mysql reader app info support sales postmaster".split())
 _COMMENT = re.compile(r"\s*(?:#|//|--|/\*|\*|;|<!--)")
@@ -111,8 +118,14 @@ def _checks(kind: int, pattern: int, s: str) -> int:
 def candidates(line: str, names: frozenset[str]) -> list[tuple[int, int, int, int]]:
     """(start, end, type, pattern) of the spans that may be personal information."""
     out: list[tuple[int, int, int, int]] = []
-    if "@" in line or _AT.search(line):
-        out += [(m.start(), m.end(), 0, 0) for m in _EMAIL.finditer(line)]
+    done = 0
+    for m in _SIGN.finditer(line):
+        start = m.start()
+        while start > done and line[start - 1] in _LOCAL_LETTER:
+            start -= 1
+        if done <= start < m.start() and (d := _DOMAIN.match(line, m.end())):
+            done = d.end()
+            out.append((start, done, 0, 0))
     if _DIGIT.search(line):
         if _MANY_DIGITS.search(line):
             for m in _PHONE.finditer(line):
@@ -142,29 +155,63 @@ def candidates(line: str, names: frozenset[str]) -> list[tuple[int, int, int, in
     return out
 
 
-def features(line: str, span: tuple[int, int, int, int], others: list[tuple[int, int, int, int]], names: frozenset[str]) -> tuple[list[float], list[str]]:
+class Around:
+    """What the features of all spans of a line need to know of the line, found once."""
+
+    def __init__(self, line: str, spans: list[tuple[int, int, int, int]]) -> None:
+        self.line = line
+        self.url, self.key, self.comment = "://" in line, line.lstrip().startswith("ssh-"), bool(_COMMENT.match(line))
+        first = _TOKEN.search(line)
+        self.first = _NUMBERS.sub("0", first.group()[:40].lower()) if first else ""
+        self.begin = len(line) - len(line.lstrip())
+        self.schemes = [m.start() for m in re.finditer("://", line) if self._scheme(m.start())] if self.url else []
+        self.copies = Counter(spans)
+        self.edges = {k: (sorted(s[0] for s in spans if s[2] == k), sorted(s[1] for s in spans if s[2] == k)) for k in {s[2] for s in spans}}
+
+    def _scheme(self, at: int) -> bool:
+        while at and (c := self.line[at - 1]).isascii() and (c.islower() or c.isdigit() or c in "+.-"):
+            at -= 1
+            if c.islower():
+                return True
+        return False
+
+    def in_url(self, start: int) -> bool:
+        """Whether an address begins before the place without white space in between."""
+        i = bisect_right(self.schemes, start - 3)
+        return i > 0 and not _SPACE.search(self.line, self.schemes[i - 1], start)
+
+    def crossing(self, start: int, end: int, kind: int) -> int:
+        starts, ends = self.edges.get(kind, ((), ()))
+        return bisect_left(starts, end) - bisect_right(ends, start)
+
+
+def features(span: tuple[int, int, int, int], around: Around, names: frozenset[str]) -> tuple[list[float], list[str]]:
     """Numbers about the span's format and place, and the words around it whose rates are learned."""
     start, end, kind, pattern = span
+    line = around.line
     s = line[start:end]
     tokens = s.split()
     folded = [fold(t.strip(",.")) for t in tokens]
-    before, after = line[:start], line[end:]
-    left = _TOKEN.findall(before[-80:])
-    right = _TOKEN.findall(after[:60])
+    left = _TOKEN.findall(line[max(0, start - 80) : start])
+    right = _TOKEN.findall(line[end : end + 60])
     words = [_NUMBERS.sub("0", w.lower()) for w in left if w[0].isalnum()]
-    url = _URL_BEFORE.search(before[-200:])
     local = _LOCAL.split(s)[0].strip().lower()
+    last_before = start
+    while last_before and line[last_before - 1].isspace():
+        last_before -= 1
+    same = around.crossing(start, end, kind)
+    other = sum(around.crossing(start, end, k) for k in around.edges) - same
     numbers = [
         kind, pattern, len(s), sum(map(str.isdigit, s)), sum(map(str.isupper, s)), sum(not c.isalnum() and not c.isspace() for c in s), len(tokens),
         bool(folded) and folded[0] in names, sum(t in names for t in folded), bool(_TITLED.match(s)), bool(_INITIAL.search(s)), bool(_OF.search(s)),
-        ", " in s, sum(len(t) > 2 and t.isupper() for t in tokens), _checks(kind, pattern, s), _side(before[-1:]), _side(after[:1]), "://" in line, line.lstrip().startswith("ssh-"), s.count("@"),
-        bool(_COMMENT.match(line)), len(right) > 0 and right[0] == ":", not before.strip(), sum(o[2] != kind and o[0] < end and start < o[1] for o in others), sum(o[2] == kind and o != span and o[0] < end and start < o[1] for o in others),
-        _LOGIN_PART.split(local)[0] in _LOGINS, url is not None, before.rstrip()[-1:] == ":", len(before), sum(t[:1].isupper() for t in tokens) / max(1, len(tokens)), after[:1] == ":" or after[:2] == ":/",
+        ", " in s, sum(len(t) > 2 and t.isupper() for t in tokens), _checks(kind, pattern, s), _side(line[max(0, start - 1) : start]), _side(line[end : end + 1]), around.url, around.key, s.count("@"),
+        around.comment, len(right) > 0 and right[0] == ":", start <= around.begin, other, same - around.copies[span],
+        _LOGIN_PART.split(local)[0] in _LOGINS, around.in_url(start), line[max(0, last_before - 1) : last_before] == ":", start, sum(t[:1].isupper() for t in tokens) / max(1, len(tokens)), line[end : end + 1] == ":" or line[end : end + 2] == ":/",
     ]
     last = folded[-1] if folded else ""
     texts = [
-        words[-1] if words else (left[-1] if left else "^"), " ".join(words[-2:]), "".join(left[-2:])[-20:].lower(), (_NUMBERS.sub("0", right[0].lower()) if right else "$"), _shape(s), folded[0] if folded and kind > 2 else "", last[-4:] if kind > 2 else last[-8:],
-        _NUMBERS.sub("0", (m.group() if (m := _TOKEN.search(line)) else "").lower()), " ".join(words[-1:]) + "|" + _shape(s)[:16],
+        words[-1] if words else (left[-1] if left else "^"), " ".join(words[-2:]), "".join(left[-2:])[-20:].lower(), (_NUMBERS.sub("0", right[0].lower()) if right else "$"), _shape(s), folded[0][:40] if folded and kind > 2 else "", last[-4:] if kind > 2 else last[-8:],
+        around.first, " ".join(words[-1:]) + "|" + _shape(s)[:16],
     ]
     return [float(n) for n in numbers], [f"{kind}|{t}" for t in texts]
 
@@ -185,8 +232,9 @@ def proposals(text: str, names: frozenset[str]) -> list[tuple[int, int, int, lis
     clean, out = Clean(text), []
     for at, line in lines_of(clean.text):
         spans = candidates(line, names)
+        around = Around(line, spans) if spans else None
         for c in spans:
-            numbers, texts = features(line, c, spans, names)
+            numbers, texts = features(c, around, names)
             s, e = clean.span(at + c[0], at + c[1])
             out.append((s, e, c[2], numbers, texts))
     return out
@@ -247,36 +295,44 @@ class Model:
         x = np.hstack([np.array([p[3] for p in flat]), self.rates.columns([p[4] for p in flat])])
         raw = self.trees.probability(x)
         kinds = x[:, 0].astype(int)
-        score = np.array([float(self.calibrations[k](np.array([r]))[0]) / max(self.least[k], 1e-6) for k, r in zip(kinds, raw)])
+        score = np.empty(len(raw))
+        for k in range(len(TYPES)):
+            own = kinds == k
+            score[own] = self.calibrations[k](raw[own]) / max(self.least[k], 1e-6)
         out, at = [], 0
         for f in found:
             own = sorted(((-score[at + i], -(p[1] - p[0]), p[0], p[1], p[2]) for i, p in enumerate(f) if score[at + i] >= 1), key=lambda t: t)
-            taken: list[tuple[int, int, str]] = []
+            taken: list[tuple[int, int, str]] = []  # ordered and disjoint, so only neighbours can cross
             for _, _, s, e, k in own:
-                if all(e <= a or b <= s for a, b, _ in taken):
-                    taken.append((s, e, TYPES[k]))
-            out.append(sorted(taken))
+                at_ = bisect_left(taken, (s, e))
+                if (not at_ or taken[at_ - 1][1] <= s) and (at_ == len(taken) or e <= taken[at_][0]):
+                    taken.insert(at_, (s, e, TYPES[k]))
+            out.append(taken)
             at += len(f)
         return out
 
 
-def fit_model(requests: DataFrame, reports: DataFrame, names: frozenset[str], key: str = "scan_id", text: str = "text") -> Model:
+def _folded(given_names: DataFrame) -> DataFrame:
+    return given_names.where("given_name is not null").select(F.pandas_udf(lambda s: s.map(fold), "string")("given_name")).distinct()
+
+
+def fit_model(requests: DataFrame, reports: DataFrame, given_names: DataFrame, key: str = "scan_id", text: str = "text") -> Model:
     """Fits on at most TRAINING_REQUESTS requests, the first by a hash of their key; all of a smaller table."""
     spark = requests.sparkSession
-    shared = spark.sparkContext.broadcast(names)
     q = requests.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null and t <> ''")
     ids = q.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(TRAINING_REQUESTS)  # texts are not moved for the choice
     q = q.join(F.broadcast(ids), "k", "left_semi").groupBy("k").agg(F.max("t").alias("t"))
     r = reports.select(F.col(key).alias("k"), "start_pos", "end_pos", "entity_type").where("start_pos is not null and end_pos is not null").where(F.col("entity_type").isin(list(REPORTED))).distinct()
     r = r.join(F.broadcast(ids), "k", "left_semi").groupBy("k").agg(F.collect_list(F.struct("start_pos", "end_pos", "entity_type")).alias("told"))
     x = q.join(r, "k", "left").withColumn("half", F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(2)).cast("int"))
+    x, names_of = with_vocabulary(x, _folded(given_names), MAX_NAMES, proposals)
 
     def label(batches):
         for p in batches:
             rows = []
-            for t, told, half in zip(p["t"], p["told"], p["half"]):
+            for t, told, half, names in zip(p["t"], p["told"], p["half"], names_of(p)):
                 marks = [(m["start_pos"], m["end_pos"], REPORTED[m["entity_type"]]) for m in (told if told is not None else [])]
-                for s, e, k, numbers, texts in proposals(t, shared.value):
+                for s, e, k, numbers, texts in proposals(t, names):
                     hit = any(kind == TYPES[k] and 2 * (min(e, b) - max(s, a)) > (min if k == 3 else max)(e - s, b - a) for a, b, kind in marks)
                     rows.append((half, float(hit), numbers, texts))
             yield pd.DataFrame(rows, columns=["half", "y", "numbers", "texts"])
@@ -299,22 +355,22 @@ def find_personal(requests: DataFrame, reports: DataFrame, given_names: DataFram
     """
     spark = requests.sparkSession
     ship(spark)
-    names = frozenset(fold(r.given_name) for r in bounded_collect(given_names.where("given_name is not null").select("given_name").distinct(), MAX_NAMES, "given names"))
-    shared = spark.sparkContext.broadcast((names, fit_model(requests, reports, names, key, text)))
-    x = spread(requests.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    shared = spark.sparkContext.broadcast(fit_model(requests, reports, given_names, key, text))
+    x, names_of = with_vocabulary(spread(requests.select(F.col(key).alias("k"), F.col(text).alias("t"))), _folded(given_names), MAX_NAMES, proposals)
     kind = x.schema["k"].dataType.simpleString()
 
     def spans(p):
-        names, model = shared.value
-        return model.chosen([proposals(t, names) if t else [] for t in p["t"]])
+        return shared.value.chosen([proposals(t, names) if t else [] for t, names in zip(p["t"], names_of(p))])
 
     def search(batches):
         for p in batches:
             at, rows = [], []
             for i, (t, found) in enumerate(zip(p["t"], spans(p))):
+                line, upto = 1, 0
                 for s, e, k in found:
+                    line, upto = line + t.count("\n", upto, s), s
                     at.append(i)
-                    rows.append((t.count("\n", 0, s) + 1, s, e, k))
+                    rows.append((line, s, e, k))
             out = pd.DataFrame(rows, columns=["line_no", "start_pos", "end_pos", "entity_type"])
             out.insert(0, "k", p["k"].to_numpy()[at])
             yield out
@@ -323,9 +379,11 @@ def find_personal(requests: DataFrame, reports: DataFrame, given_names: DataFram
         for p in batches:
             texts, counts = [], []
             for t, found in zip(p["t"], spans(p)):
-                for s, e, k in reversed(found):
-                    t = f"{t[:s]}[{k}]{t[e:]}"
-                texts.append(t), counts.append(len(found))
+                parts, at = [], 0
+                for s, e, k in found:
+                    parts += [t[at:s], f"[{k}]"]
+                    at = e
+                texts.append("".join([*parts, t[at:]]) if found else t), counts.append(len(found))
             yield pd.DataFrame({"k": p["k"], "t": texts, "n": counts})
 
     if redact:

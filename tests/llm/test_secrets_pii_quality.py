@@ -1,6 +1,7 @@
 import base64
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -154,6 +155,47 @@ def test_personal_information_held_out(spark, data):
     assert none.count() == 0
 
 
+def test_candidates_behind_every_sign():
+    at = lambda line: {line[s:e] for s, e, kind, _ in pii.candidates(line, frozenset()) if kind in (0, 4)}
+    assert "jane.doe at corp.org" in at("write to jane.doe at corp.org soon") and "a.b@c.de" in at("x a.b@c.de,b@d.fr") and "b@d.fr" in at("x a.b@c.de,b@d.fr")
+    assert "jane (at) corp (dot) org" in at("jane (at) corp (dot) org") and "jane%40corp.org" in at("to=jane%40corp.org") and "a%40b@c.com" in at("a%40b@c.com")
+    assert "Jean d'Alembert" in at("par Jean d'Alembert hier")
+    url = "https://" + "p/" * 300 + "svc@host.example"
+    (span,) = pii.candidates(url, frozenset())
+    assert pii.Around(url, [span]).in_url(span[0]) and not pii.Around("https://x.example svc@host.example", []).in_url(18)
+
+
+def test_overlaps_are_counted_as_by_comparing_all():
+    rng = random.Random(8)
+    for _ in range(200):
+        spans = [(s := rng.randrange(30), s + rng.randint(1, 8), rng.randrange(3), 0) for _ in range(rng.randint(1, 12))]
+        around = pii.Around("x" * 40, spans)
+        for a in spans:
+            hit = [o for o in spans if o[0] < a[1] and a[0] < o[1]]
+            assert around.crossing(a[0], a[1], a[2]) - around.copies[a] == sum(o[2] == a[2] and o != a for o in hit)
+
+
+def test_long_lines_take_time_in_proportion():
+    def took(n):
+        line = "".join(f'a({i},"u{i}@mail.example","Maria Lopez"); ' for i in range(n))
+        began = time.process_time()
+        assert len(pii.proposals(line, frozenset(["maria"]))) >= 2 * n
+        return time.process_time() - began
+
+    assert took(8000) < 8 * took(2000) + 0.5
+    began = time.process_time()
+    for line in ("a" * 10**6, "A" * 10**6, "a." * 300_000 + "@", "%25" * 300_000, "A-" * 400_000):
+        pii.proposals(line, frozenset()), credentials.findings(line)
+    assert time.process_time() - began < 30
+
+
+def test_many_names_are_joined(spark, data, monkeypatch):
+    t = {n: spark.read.parquet(f"{data}/{n}.parquet") for n in ("scan_requests", "detections", "given_names")}
+    want = sorted(pii.find_personal(t["scan_requests"], t["detections"], t["given_names"]).collect(), key=str)
+    monkeypatch.setattr(pii, "MAX_NAMES", 1)
+    assert sorted(pii.find_personal(t["scan_requests"], t["detections"], t["given_names"]).collect(), key=str) == want and want
+
+
 MAIL = "From: A <a@b.c>\nSubject: x\nContent-Type: text/plain\n\n"
 
 
