@@ -18,37 +18,52 @@ WINDOW = 0.25
 MAX_MODELS = 10_000
 
 
-def cut_point(text: str, start: int, end: int) -> int:
-    """The strongest boundary near the midpoint of ``text[start:end]``, the nearest one of its kind."""
+def _joined(text: str, at: int) -> bool:
+    """Whether a place stands inside a word, a letter with its accents, an emoji sequence or a line end."""
+    if not 0 < at < len(text):
+        return False
+    a, b = text[at - 1], text[at]
+    return a.isalnum() and b.isalnum() or bool(unicodedata.combining(b)) or b in "\u200d\ufe0f" or a == "\u200d" or a + b == "\r\n"
+
+
+def cut_point(text: str, start: int, end: int, overlap: int = 0) -> int:
+    """The strongest boundary near the midpoint of ``text[start:end]``, the nearest one of its kind.
+
+    Among those of its kind one comes first behind which the overlap begins at a natural place too.
+    """
     mid, reach = (start + end) // 2, max(1, int((end - start) * WINDOW))
     low, high = max(start + 1, mid - reach), min(end - 1, mid + reach)
     for pattern in BOUNDARIES:
-        best = 0
-        for m in pattern.finditer(text, max(start, low - 1), high):
-            if low <= m.end() <= high and (not best or abs(m.end() - mid) < abs(best - mid)):
-                best = m.end()
-        if best:
-            return best
+        found = [m.end() for m in pattern.finditer(text, max(start, low - 1), high) if low <= m.end() <= high]
+        if found:
+            return min(found, key=lambda at: (overlap > 0 and _joined(text, at - overlap), abs(at - mid), at))
     cut = mid
-    while cut > low and (unicodedata.combining(text[cut]) or text[cut] in "‍️\n" or text[cut - 1] == "‍"):
+    while cut > low and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f\n" or text[cut - 1] == "\u200d"):
         cut -= 1  # not inside a letter with its accents, an emoji sequence or a line end
     return cut if cut > low else mid
 
 
 def pieces(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
-    """Half-open spans of at most ``max_chars``; each but the first begins ``overlap`` characters before the last one's end."""
+    """Half-open spans of at most ``max_chars``; each but the first begins ``overlap`` characters before the last one's end.
+
+    ``overlap`` is from 0 to ``max_chars`` - 1. No piece lies inside another.
+    """
     if max_chars < 1 or len(text) <= max_chars:
         return [(0, len(text))]
-    overlap = max(0, min(overlap, max_chars // 2))
+    if not 0 <= overlap < max_chars:
+        raise ValueError(f"pieces of {max_chars} characters cannot share {overlap}")
     core, spans, todo = max_chars - overlap, [], [(0, len(text))]
     while todo:
         start, end = todo.pop()
         if end - start <= core:
-            spans.append((start, end))
+            spans.append((max(0, start - overlap), end))
+            # What begins with the text and ends earlier lies inside the new piece.
+            if len(spans) > 1 and not spans[-1][0]:
+                del spans[-2]
         else:
-            cut = cut_point(text, start, end)
+            cut = cut_point(text, start, end, overlap)
             todo += [(cut, end), (start, cut)]
-    return [(max(0, s - overlap) if s else 0, e) for s, e in spans]
+    return spans
 
 
 def split_oversized(df: DataFrame, models: DataFrame, key: str = "scan_id", text: str = "text", model: str = "model_id", with_text: bool = True) -> DataFrame:
@@ -56,10 +71,13 @@ def split_oversized(df: DataFrame, models: DataFrame, key: str = "scan_id", text
 
     ``models`` has model_id, max_chars, overlap_chars and is_default; a null model means the default one. A text within
     its limit, and one whose model is unknown, is one piece; a limit that is null or below 1 is no limit, a null overlap
-    is 0 and one above half the limit counts as half. Null texts give no piece, empty ones one empty piece. Repeated rows
-    give their pieces each. Positions count code points.
+    is 0. A model whose overlap is negative or not below its limit is a ValueError when the query is built. Null texts
+    give no piece, empty ones one empty piece. Repeated rows give their pieces each. Positions count code points.
     """
     ship(df.sparkSession)
+    wrong = models.where("max_chars >= 1 and (overlap_chars < 0 or overlap_chars >= max_chars)").select("model_id", "max_chars", "overlap_chars").head(5)
+    if wrong:
+        raise ValueError(f"models whose pieces cannot share so much: {[tuple(r) for r in wrong]}")
     m = models.select(F.col("model_id").alias("m_id"), F.col("max_chars").cast("bigint").alias("max_chars"), F.coalesce(F.col("overlap_chars").cast("bigint"), F.lit(0)).alias("overlap"), F.coalesce("is_default", F.lit(False)).alias("is_default"))
     m = m.where("m_id is not null and not is_default").drop("is_default").unionByName(m.where("is_default").select(F.explode(F.array("m_id", F.lit(None))).alias("m_id"), "max_chars", "overlap"))
     m = m.groupBy("m_id").agg(F.min("max_chars").alias("max_chars"), F.min("overlap").alias("overlap"))
@@ -82,3 +100,24 @@ def split_oversized(df: DataFrame, models: DataFrame, key: str = "scan_id", text
 
     out = x.mapInArrow(cut, f"k {kind}, piece_no int, n_pieces int, start_pos int, end_pos int, piece string").withColumnRenamed("k", key)
     return out if with_text else out.drop("piece")
+
+
+def coverage(df: DataFrame, models: DataFrame, key: str = "scan_id", text: str = "text", model: str = "model_id") -> DataFrame:
+    """(key, n_chars, is_cut, fits, covers, overlaps, same_text) of each distinct row with a text and a known model, from its pieces.
+
+    ``fits``: no piece is longer than the limit; ``covers``: the first begins and the last ends with the text;
+    ``overlaps``: neighbours share the model's overlap and none lies inside another; ``same_text``: the pieces without
+    their overlaps are the text. Rows of one key, model and text count once.
+    """
+    x = df.select(F.struct(df[key].alias("k"), df[model].alias("m"), df[text].alias("t")).alias("row"), df[model].alias("model"), df[text].alias("t")).where("t is not null").distinct()
+    cut = split_oversized(x, models, "row", "t", "model")
+    known = models.select(F.col("model_id").alias("m_id"), "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("share"), "is_default")
+    cut = cut.join(small_side(known, MAX_MODELS), (F.col("row.m") == F.col("m_id")) | (F.col("row.m").isNull() & F.col("is_default")))
+    # The pieces of a text are few and in one row after this; texts are named by their content.
+    g = cut.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("ps"), F.first("max_chars").alias("size"), F.first("share").alias("share"))
+    own = F.transform("ps", lambda p, i: F.when(i == 0, p["piece"]).otherwise(p["piece"].substr(F.col("share").cast("int") + 1, F.length(p["piece"]))))
+    after = F.zip_with(F.slice("ps", F.lit(1), F.size("ps") - 1), F.slice("ps", F.lit(2), F.size("ps") - 1), lambda a, b: (b["start_pos"] == a["end_pos"] - F.col("share")) & (b["end_pos"] > a["end_pos"]) & (b["start_pos"] > a["start_pos"]))
+    return g.select(
+        F.col("row.k").alias(key), F.length("row.t").cast("bigint").alias("n_chars"), (F.size("ps") > 1).alias("is_cut"), F.forall("ps", lambda p: F.length(p["piece"]) <= F.col("size")).alias("fits"),
+        ((F.get("ps", F.lit(0))["start_pos"] == 0) & (F.element_at("ps", -1)["end_pos"] == F.length("row.t"))).alias("covers"), F.forall(after, lambda ok: ok).alias("overlaps"), (F.array_join(own, "") == F.col("row.t")).alias("same_text"),
+    ).distinct()

@@ -20,6 +20,11 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split_oversized(table(spark, sf_dir, "scan_requests"), table(spark, sf_dir, "bert_models"))
 
 
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each request and text: its length, and whether its pieces fit, begin and end where they must, and overlap as they must."""
+    return chunking.coverage(table(spark, sf_dir, "scan_requests"), table(spark, sf_dir, "bert_models"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "watch_terms")
     scans = visual.find_terms(table(spark, sf_dir, "scan_requests"), terms, "scan_id", "text").select(F.lit("scan").alias("field"), F.col("scan_id").alias("row_id"), "term_id", "term", "value")
@@ -77,6 +82,13 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(p7_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budgets of all leaves for a mixture of all that is held, with sizes in characters instead of tokens."""
+    docs = table(spark, sf_dir, "documents").where("source is not null").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size"))
+    x = mixing.budgets(mixing.leaves_of(docs, table(spark, sf_dir, "mix_targets")), "held")
+    return x.select("domain", "lang", "source", "size", F.round("budget", 3).alias("budget"), (F.col("budget") >= F.col("room") * (1 - 1e-9)).alias("is_full"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), body_only=True)
     return stats.where("has_text and not is_prose").select("doc_id")
@@ -87,7 +99,16 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_texts, p3_found, p3_report, p3_classes, p4_found, p4_redacted, p5_found, p5_redacted, p6_ids, p7_mixture, p7_report, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p2_texts, p3_found, p3_report, p3_classes, p4_found, p4_redacted, p5_found, p5_redacted, p6_ids, p7_mixture, p7_report, p7_budgets, p8_found, p8_statistics)}
+
+
+def _level(name: str, children: str, totals: str) -> str:
+    """CTEs that end with ``name`` (parent, child, budget) from children (parent, child, w, room) and totals (parent, total)."""
+    return f"""{name}n AS ({children}), {name}t AS ({totals}), {name}x AS (SELECT * FROM {name}n JOIN {name}t USING (parent)),
+            {name}u AS (SELECT a.parent, a.room / a.w AS bound, sum(least(b.room, b.w * a.room / a.w)) AS used FROM {name}x a JOIN {name}x b USING (parent) GROUP BY a.parent, a.child, a.room, a.w),
+            {name}f AS (SELECT x.parent, max(u.bound) FILTER (u.used <= x.total * (1 + 1e-12)) AS bound FROM {name}x x LEFT JOIN {name}u u USING (parent) GROUP BY x.parent),
+            {name}r AS (SELECT x.parent, (min(total) - coalesce(sum(room) FILTER (room / w <= bound), 0)) / nullif(sum(w) FILTER (bound IS NULL OR room / w > bound), 0) AS unit FROM {name}x x JOIN {name}f f USING (parent) GROUP BY x.parent),
+            {name} AS (SELECT x.parent, x.child, CASE WHEN room / w <= bound THEN room ELSE least(room, w * unit) END AS budget FROM {name}x x JOIN {name}f f USING (parent) JOIN {name}r r USING (parent))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,4 +117,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT r.scan_id FROM scan_requests r
             JOIN bert_models m ON m.model_id = r.model_id OR (r.model_id IS NULL AND m.is_default)
             WHERE length(r.text) > m.max_chars""",
+        # Level by level the bound that fills the budget, found by trying each child's own: what a child takes up to a
+        # bound is the lesser of its room and its weight times the bound.
+        "p7_budgets": f"""
+            WITH s AS (SELECT lang, source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents WHERE source IS NOT NULL GROUP BY lang, source),
+            l AS (SELECT split_part(source, '-', 1) AS domain, lang, coalesce('=' || lang, 'null') AS lk, source, size, target_share * size / sum(size) OVER (PARTITION BY source) AS w, (size * max_repeats)::DOUBLE AS room
+                  FROM s JOIN mix_targets USING (source) WHERE size > 0 AND target_share > 0 AND max_repeats > 0),
+            {_level("a", "SELECT domain AS child, 0 AS parent, sum(w) AS w, sum(room) AS room FROM l GROUP BY domain", "SELECT 0 AS parent, sum(size)::DOUBLE AS total FROM l")},
+            {_level("b", "SELECT lk AS child, domain AS parent, sum(w) AS w, sum(room) AS room FROM l GROUP BY lk, domain", "SELECT child AS parent, budget AS total FROM a")},
+            {_level("c", "SELECT source AS child, domain || '|' || lk AS parent, w, room FROM l", "SELECT parent || '|' || child AS parent, budget AS total FROM b")}
+            SELECT l.domain, l.lang, l.source, l.size, round(c.budget, 3) AS budget, c.budget >= l.room * (1 - 1e-9) AS is_full FROM l JOIN c ON c.child = l.source AND c.parent = l.domain || '|' || l.lk""",
+        # What must hold of the pieces, whatever they are.
+        "p1_coverage": """
+            SELECT DISTINCT r.scan_id, length(r.text) AS n_chars, length(r.text) > m.max_chars AS is_cut, true AS fits, true AS covers, true AS overlaps, true AS same_text FROM scan_requests r
+            JOIN bert_models m ON m.model_id = r.model_id OR (r.model_id IS NULL AND m.is_default) WHERE r.text IS NOT NULL""",
     }

@@ -8,17 +8,28 @@ from hypothesis import strategies as st
 from spanloom.llm import bpe, chunking, mixing, queries
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab. \n,é́", max_size=400), st.integers(1, 80), st.integers(0, 100))
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab. \n,é́", max_size=400), st.integers(1, 80), st.integers(0, 79))
 def test_pieces_cover_fit_and_overlap(t, size, overlap):
+    if overlap >= size:
+        with pytest.raises(ValueError):
+            chunking.pieces(t + "x" * (size + 1), size, overlap)
+        return
     spans = chunking.pieces(t, size, overlap)
-    kept = max(0, min(overlap, size // 2))
     assert spans[0][0] == 0 and spans[-1][1] == len(t)
     for (s, e), (s2, e2) in zip(spans, spans[1:]):
-        assert e2 > e and s2 == max(0, e - kept)
+        assert e2 > e and s2 > s and s2 == e - overlap
     assert all(e - s <= size for s, e in spans) or len(t) <= size
 
 
+def test_overlaps_begin_between_words_where_they_can():
+    t = "".join(f"line {i} of the text.\n" for i in range(60))
+    spans = chunking.pieces(t, 200, 42)
+    assert sum(chunking._joined(t, s) for s, _ in spans) == 0
+    spans = chunking.pieces("x" * 300, 100, 80)
+    assert all(e - s <= 100 for s, e in spans) and all(b[0] == a[1] - 80 for a, b in zip(spans, spans[1:]))
+
+
 def test_cuts_stand_at_the_strongest_boundary():
     t = "word " * 10 + "end.\n\n" + "Other words here. " * 4
     spans = chunking.pieces(t, 80, 0)
@@ -44,6 +55,21 @@ def test_split_oversized(spark):
     assert chunking.split_oversized(df.limit(0), models).count() == 0 and chunking.split_oversized(df, models.limit(0)).where("n_pieces > 1").count() == 0
 
 
+def test_impossible_overlaps_are_refused(spark):
+    df = spark.createDataFrame([(1, "m", "x" * 25)], "scan_id bigint, model_id string, text string")
+    for overlap in (10, 11, -1):
+        with pytest.raises(ValueError):
+            chunking.split_oversized(df, spark.createDataFrame([("m", 10, overlap, True)], "model_id string, max_chars bigint, overlap_chars bigint, is_default boolean"))
+
+
+def test_coverage(spark):
+    models = spark.createDataFrame([("m", 100, 80, True)], "model_id string, max_chars bigint, overlap_chars bigint, is_default boolean")
+    rows = [(1, "m", "some words and more. " * 40), (2, None, "é" * 333), (3, "m", None), (4, "m", ""), (5, "?", "z" * 99), (1, "m", "some words and more. " * 40), (1, "m", "another")]
+    got = chunking.coverage(spark.createDataFrame(rows, "scan_id bigint, model_id string, text string"), models).collect()
+    assert sorted((r.scan_id, r.n_chars, r.is_cut) for r in got) == [(1, 7, False), (1, 840, True), (2, 333, True), (4, 0, False)]
+    assert all(r.fits and r.covers and r.overlaps and r.same_text for r in got)
+
+
 def test_long_text_is_cut_whole(spark):
     rng = random.Random(1)
     t = " ".join("w" * rng.randint(1, 12) for _ in range(60_000))
@@ -51,14 +77,39 @@ def test_long_text_is_cut_whole(spark):
     assert max(e - s for s, e in spans) <= 1200 and spans[-1][1] == len(t)
 
 
-def test_shortages_go_to_siblings_before_ancestors():
-    L = mixing.Leaf
-    leaves = [L(("a", "en", "s1"), 0.25, 10), L(("a", "en", "s2"), 0.25, 1000), L(("a", "de", "s3"), 0.25, 1000), L(("b", "en", "s4"), 0.25, 1000)]
-    b = mixing.allot(leaves, 400)
-    assert b[("a", "en", "s1")] == 10 and b[("a", "en", "s2")] == pytest.approx(190) and b[("a", "de", "s3")] == pytest.approx(100) and b[("b", "en", "s4")] == pytest.approx(100)
-    b = mixing.allot([L(("a", "x"), 0.5, 10), L(("a", "y"), 0.2, 10), L(("b", "z"), 0.3, 1000)], 200)
-    assert b == {("a", "x"): 10, ("a", "y"): 10, ("b", "z"): pytest.approx(180)}
-    assert sum(mixing.allot([L(("a",), 1, 5), L(("b",), 0, 50)], 100).values()) == 5 and mixing.allot([], 5) == {}
+def _allot(leaves, total):
+    """Budgets of leaves {path: (weight, room)} by handing down the total again and again, as the definition says."""
+    if len(next(iter(leaves))) == 0:
+        return {(): min(total, leaves[()][1])}
+    children = {}
+    for path, x in leaves.items():
+        children.setdefault(path[0], {})[path[1:]] = x
+    share, open_, left = dict.fromkeys(children, 0.0), set(children), total
+    while open_ and left > 1e-9:
+        unit = left / sum(x[0] for c in open_ for x in children[c].values())
+        full = {c for c in open_ if sum(x[1] for x in children[c].values()) <= sum(x[0] for x in children[c].values()) * unit * (1 + 1e-12)}
+        for c in full or open_:
+            share[c] = sum(x[1] for x in children[c].values()) if full else sum(x[0] for x in children[c].values()) * unit
+            left -= share[c]
+        open_ = open_ - full if full else set()
+    return {(c, *rest): b for c, xs in children.items() for rest, b in _allot(xs, share[c]).items()}
+
+
+def _budgets(spark, leaves, total):
+    rows = [(d, None if la is None else la, s, 1, w, float(r)) for (d, la, s), (w, r) in leaves.items()]
+    df = spark.createDataFrame(rows, "domain string, lang string, source string, size bigint, weight double, room double")
+    return {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(df, total).collect()}
+
+
+def test_shortages_go_to_siblings_before_ancestors(spark):
+    b = _budgets(spark, {("a", "en", "s1"): (0.25, 10), ("a", "en", "s2"): (0.25, 1000), ("a", "de", "s3"): (0.25, 1000), ("b", "en", "s4"): (0.25, 1000), ("b", None, "s5"): (0.0, 9)}, 400)
+    assert b == {("a", "en", "s1"): 10, ("a", "en", "s2"): pytest.approx(190), ("a", "de", "s3"): pytest.approx(100), ("b", "en", "s4"): pytest.approx(100)}
+    rng = random.Random(9)
+    for _ in range(4):
+        leaves = {(rng.choice("ab"), rng.choice(["en", "de", None]), f"s{i}"): (rng.random(), rng.choice([5, 50, 500])) for i in range(14)}
+        for total in (1.0, 300.0, 1e6):
+            want, got = _allot(leaves, total), _budgets(spark, leaves, total)
+            assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_VOCABULARY), reason="no vocabulary")
@@ -82,6 +133,23 @@ def test_mixture(spark, monkeypatch):
     short = mixing.report(mixing.mixture(df, targets, total=10**9), targets).collect()
     assert all(r.most_copies == r.max_repeats for r in short if r.documents)
     assert mixing.mixture(df.limit(0), targets).count() == 0 and mixing.mixture(df, targets.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    assert mix.exceptAll(mixing.mixture(df, targets)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_VOCABULARY), reason="no vocabulary")
+def test_repeated_rows_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50), monkeypatch.setattr(mixing, "COPIES_AT_ONCE", 7)
+    rows = [(1, "tok " * 10, "en", "a-x")] * 300 + [(None, f"tok {i} tok tok", "en", "a-x") for i in range(300)] + [(i, "tok " * 10, "en", "b-y") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    targets = spark.createDataFrame([("a-x", 0.5, 3), ("b-y", 0.5, 1)], "source string, target_share double, max_repeats bigint")
+    sizes = {r.source: r.s for r in mixing.mixture(df, targets, total=10**9).groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "s").collect()}
+    mix = mixing.mixture(df, targets, total=sizes["a-x"])
+    assert mix.where("source = 'a-x'").groupBy().agg({"copies": "max"}).first()[0] == 1
+    got = {r.source: r.tokens for r in mixing.report(mix, targets).collect()}
+    assert abs(got["a-x"] - sizes["a-x"] / 2) <= 10 and abs(got["b-y"] - sizes["a-x"] / 2) <= 10
+    one = mix.where("doc_id = 1 and source = 'a-x'").count()
+    assert mix.where("doc_id is null").select("n_tokens").count() > 50 and one in (0, *range(1, 301))
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.DEFAULT_VOCABULARY), reason="no vocabulary")
