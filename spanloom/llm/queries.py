@@ -123,10 +123,10 @@ def oracle_sql() -> dict[str, str]:
             WITH s AS (SELECT lang, source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS size FROM documents WHERE source IS NOT NULL GROUP BY lang, source),
             l AS (SELECT split_part(source, '-', 1) AS domain, lang, coalesce('=' || lang, 'null') AS lk, source, size, target_share * size / sum(size) OVER (PARTITION BY source) AS w, (size * max_repeats)::DOUBLE AS room
                   FROM s JOIN mix_targets USING (source) WHERE size > 0 AND target_share > 0 AND max_repeats > 0),
-            {_level("a", "SELECT domain AS child, 0 AS parent, sum(w) AS w, sum(room) AS room FROM l GROUP BY domain", "SELECT 0 AS parent, sum(size)::DOUBLE AS total FROM l")},
-            {_level("b", "SELECT lk AS child, domain AS parent, sum(w) AS w, sum(room) AS room FROM l GROUP BY lk, domain", "SELECT child AS parent, budget AS total FROM a")},
-            {_level("c", "SELECT source AS child, domain || '|' || lk AS parent, w, room FROM l", "SELECT parent || '|' || child AS parent, budget AS total FROM b")}
-            SELECT l.domain, l.lang, l.source, l.size, round(c.budget, 3) AS budget, c.budget >= l.room * (1 - 1e-9) AS is_full FROM l JOIN c ON c.child = l.source AND c.parent = l.domain || '|' || l.lk""",
+            {_level("top", "SELECT domain AS child, 0 AS parent, sum(w) AS w, sum(room) AS room FROM l GROUP BY domain", "SELECT 0 AS parent, sum(size)::DOUBLE AS total FROM l")},
+            {_level("mid", "SELECT lk AS child, domain AS parent, sum(w) AS w, sum(room) AS room FROM l GROUP BY lk, domain", "SELECT child AS parent, budget AS total FROM top")},
+            {_level("low", "SELECT source AS child, domain || '|' || lk AS parent, w, room FROM l", "SELECT parent || '|' || child AS parent, budget AS total FROM mid")}
+            SELECT l.domain, l.lang, l.source, l.size, round(low.budget, 3) AS budget, low.budget >= l.room * (1 - 1e-9) AS is_full FROM l JOIN low ON low.child = l.source AND low.parent = l.domain || '|' || l.lk""",
         # What must hold of the pieces, whatever they are.
         "p1_coverage": """
             SELECT DISTINCT r.scan_id, length(r.text) AS n_chars, length(r.text) > m.max_chars AS is_cut, true AS fits, true AS covers, true AS overlaps, true AS same_text FROM scan_requests r
