@@ -5,6 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+try:
+    from re import _constants as _ops
+    from re import _parser
+except ImportError:  # no gates then
+    _ops = _parser = None
+
 #: White space of the rules' dialect beyond what \s means in ASCII.
 WIDE_SPACE = "\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 CONTEXT_BOOST = 0.35
@@ -101,18 +107,73 @@ def entity_types(rules: tuple[Rule, ...]) -> list[str]:
     return [r.entity_type for r in rules]
 
 
-_LITERAL = re.compile(r"(?<![\\\[(|?])[A-Za-z0-9_\-/:=]{3,}(?![?*{])")
-
-
-def required_literal(pattern: str) -> str | None:
-    """A substring that every match holds, where the expression shows one at its top level; used as a cheap gate."""
-    if "|" in pattern:
-        return None
-    flat = re.sub(r"\\[bdswDSWB](?:\{[^}]*\}|[*+?])*", " ", pattern)
-    flat = re.sub(r"\[(?:\\.|[^\]])*\](?:\{[^}]*\}|[*+?])?", " ", flat)
-    while re.search(r"\([^()]*\)", flat):
-        flat = re.sub(r"\([^()]*\)(?:\{[^}]*\}|[*+?])?", " ", flat)
-    flat = re.sub(r"\\(.)", r"\1", flat)
-    parts = [re.sub(r".[?*]|.\{0[^}]*\}", " ", x) for x in flat.split()]
-    parts = [x for part in parts for x in part.split() if re.fullmatch(r"[A-Za-z0-9_\-/:=.$;+@\"]{3,}", x)]
-    return max(parts, key=len, default=None)
+def _literals(parsed, fold: bool) -> tuple[str, ...] | None:
+    """Substrings one of which every match of a parsed expression holds, the best that it shows; None if it shows none."""
+    found: list[tuple[str, ...]] = []
+    run = ""
+    for op, value in [*parsed, (None, None)]:
+        if op is _ops.LITERAL:
+            run += chr(value)
+            continue
+        if len(run) >= 3 or run and not run.isalnum():
+            found.append((run,))
+        run = ""
+        inner = None
+        if op is _ops.SUBPATTERN and not value[1] and not value[2]:
+            inner = _literals(value[3], fold)
+        elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and value[0] >= 1:
+            inner = _literals(value[2], fold)
+        elif op is _ops.BRANCH:
+            parts = [_literals(x, fold) for x in value[1]]
+            inner = tuple(dict.fromkeys(t for p in parts for t in p)) if all(parts) else None
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda f: (min(map(len, f)) - len(f) / 4, -len(f)), default=None)
+
+
+def _digits_in_a_row(parsed) -> int:
+    """How many ASCII digits in a row every match of a parsed expression holds at least."""
+
+    def digits(items) -> bool:
+        return all(op is _ops.CATEGORY and v is _ops.CATEGORY_DIGIT or op is _ops.LITERAL and 48 <= v <= 57 or op is _ops.RANGE and 48 <= v[0] <= v[1] <= 57 for op, v in items)
+
+    best = run = 0
+    todo = list(parsed)[::-1]
+    while todo:
+        op, value = todo.pop()
+        if op is _ops.SUBPATTERN:
+            todo += list(value[3])[::-1]
+        elif op is _ops.LITERAL and 48 <= value <= 57 or op is _ops.IN and digits(value):
+            run += 1
+        elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and value[0] >= 1 and len(value[2]) == 1 and _digits_in_a_row(value[2]) == 1 and value[2][0][0] in (_ops.LITERAL, _ops.IN):
+            run += value[0]
+        elif op not in (_ops.AT, _ops.ASSERT, _ops.ASSERT_NOT):
+            best, run = max(best, run), 0
+            if op is _ops.BRANCH:
+                best = max(best, min(map(_digits_in_a_row, value[1])))
+            elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and value[0] >= 1:
+                best = max(best, _digits_in_a_row(value[2]))
+        best = max(best, run)
+    return best
+
+
+def gates(pattern: str, ignore_case: bool = False) -> tuple[tuple[str, ...], bool, int]:
+    """(substrings one of which every match holds, whether they are lower-cased, digits in a row that every match holds).
+
+    Derived from the parsed expression, so a gate never hides a match; what the parser does not tell is no gate.
+    """
+    try:
+        parsed = _parser.parse(pattern, re.ASCII | (re.IGNORECASE if ignore_case else 0))
+        fold = ignore_case or bool(parsed.state.flags & re.IGNORECASE)
+        found = _literals(parsed, fold) or ()
+        return tuple(x.lower() for x in found) if fold else found, fold, _digits_in_a_row(parsed)
+    except Exception:  # noqa: BLE001  # an expression that only the other dialect knows, or a parser that has moved
+        return (), False, 0
+
+
+def may_be_empty(pattern: str) -> bool:
+    """Whether an expression may match nothing; taken for yes if the parser does not tell."""
+    try:
+        return _parser.parse(pattern, re.ASCII).getwidth()[0] == 0
+    except Exception:  # noqa: BLE001
+        return True

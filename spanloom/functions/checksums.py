@@ -10,7 +10,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -169,14 +169,27 @@ def _weighted(name: str, modulus: int) -> Callable[[str], bool]:
 
 
 def sentinel_year(s: str) -> bool:
-    return not 1900 <= int(s[:4]) <= 2100
+    return re.fullmatch("[0-9]{4}", s[:4]) is not None and not 1900 <= int(s[:4]) <= 2100
 
 
 def shannon_entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) if s else 0.0
 
 
-CHECKS: dict[str, Callable[[str], bool]] = {f.__name__: f for f in (luhn, iban, ssn, mac, npi, dea, nif, nie, fiscal, vat, pesel, hetu, personnummer, steuer, abn, acn, au_medicare, aadhaar, nin, rrn, tnin, sentinel_year)} | {
+def _total(check: Callable[[str], bool]) -> Callable[[str], bool]:
+    """A value of a form that the check cannot read fails it."""
+
+    @wraps(check)
+    def passes(s: str) -> bool:
+        try:
+            return bool(check(s))
+        except (ValueError, KeyError, IndexError):
+            return False
+
+    return passes
+
+
+CHECKS: dict[str, Callable[[str], bool]] = {f.__name__: _total(f) for f in (luhn, iban, ssn, mac, npi, dea, nif, nie, fiscal, vat, pesel, hetu, personnummer, steuer, abn, acn, au_medicare, aadhaar, nin, rrn, tnin, sentinel_year)} | {
     "aba": _weighted("aba", 10), "nhs": _weighted("nhs", 11), "tfn": _weighted("tfn", 11)
 }
 
@@ -223,7 +236,7 @@ def iban_col(s: Column) -> Column:
     c = F.upper(F.regexp_replace(s, r"[\s-]", ""))
     turned = F.split(F.concat(c.substr(F.lit(5), F.length(c)), c.substr(1, 4)), "")
     rest = F.aggregate(turned, F.lit(0), lambda r, x: F.when(x.rlike("^[A-Z]$"), (r * 100 + F.ascii(x) - 55) % 97).otherwise((r * 10 + F.coalesce(x.try_cast("int"), F.lit(0))) % 97))
-    return (F.length(c) >= 4) & (rest == 1)
+    return (F.length(c) >= 4) & c.rlike("^[0-9A-Z]*$") & (rest == 1)
 
 
 def ssn_col(s: Column) -> Column:
@@ -345,15 +358,23 @@ def _weighted_col(name: str, modulus: int) -> Callable[[Column], Column]:
 
 
 def sentinel_year_col(s: Column) -> Column:
-    return ~s.substr(1, 4).try_cast("int").between(1900, 2100)
+    return F.coalesce(s.rlike("^[0-9]{4}") & ~s.substr(1, 4).try_cast("int").between(1900, 2100), F.lit(False))
 
 
 def entropy_col(s: Column) -> Column:
-    """Bits for each character; 0 for an empty value."""
-    chars = F.split(s, "")
+    """Bits for each character; 0 for an empty value. Characters are sorted, and each run of equal ones is counted at its end."""
+    chars = F.array_sort(F.filter(F.split(s, ""), lambda c: c != ""))
     n = F.length(s).cast("double")
-    parts = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)).cast("double") / n)
-    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(-F.aggregate(parts, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+
+    def part(k: Column) -> Column:
+        return F.when(k > 0, k / n * F.log2(k / n)).otherwise(F.lit(0.0))
+
+    def step(a: Column, c: Column) -> Column:
+        same = a["c"] == c
+        return F.struct(c.alias("c"), F.when(same, a["k"] + 1).otherwise(F.lit(1.0)).alias("k"), F.when(same, a["sum"]).otherwise(a["sum"] + part(a["k"])).alias("sum"))
+
+    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(F.aggregate(chars, start, step, lambda a: -(a["sum"] + part(a["k"]))))
 
 
 COLUMN_CHECKS: dict[str, Callable[[Column], Column]] = {
@@ -365,4 +386,4 @@ COLUMN_CHECKS: dict[str, Callable[[Column], Column]] = {
 
 def register_check(name: str, plain: Callable[[str], bool], column: Callable[[Column], Column]) -> None:
     """A validator of one's own for custom rules, in both forms."""
-    CHECKS[name], COLUMN_CHECKS[name] = plain, column
+    CHECKS[name], COLUMN_CHECKS[name] = _total(plain), column

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,32 +28,38 @@ def dice(a: str, b: str) -> float:
 
 
 class _Phrases:
-    """Phrases by their pairs: pair -> (phrase, how often the phrase has it)."""
+    """Phrases by their pairs: each pair has a number, each phrase its counts by number."""
 
     def __init__(self, phrases: tuple[str, ...]) -> None:
         plain = [_SPACE.sub("", p) for p in phrases]
-        self.whole, self.lengths = frozenset(plain), [len(p) for p in plain]
-        self.having: dict[str, list[tuple[int, int]]] = {}
+        self.whole, self.lengths = frozenset(plain), np.array([len(p) for p in plain])
+        self.number: dict[str, int] = {}
+        for p in plain:
+            for pair in bigrams(p):
+                self.number.setdefault(pair, len(self.number))
+        self.counts = np.zeros((len(plain), len(self.number)), np.int64)
         for i, p in enumerate(plain):
             for pair, n in bigrams(p).items():
-                self.having.setdefault(pair, []).append((i, n))
+                self.counts[i, self.number[pair]] = n
 
-    def best(self, s: str) -> float:
-        """The highest likeness of a string without white space."""
-        if s in self.whole:
+    def best(self, s: str, parts: list[tuple[int, int]]) -> float:
+        """The highest likeness of a stretch of a string without white space."""
+        if any(s[a:b] in self.whole for a, b in parts):
             return 1.0
-        if len(s) < 2:
-            return 0.0
-        shared, seen, having = [0] * len(self.lengths), {}, self.having
-        for i in range(len(s) - 1):
-            pair = s[i : i + 2]
-            phrases = having.get(pair)
-            if phrases:
-                n = seen[pair] = seen.get(pair, 0) + 1
-                for k, most in phrases:
-                    if n <= most:
-                        shared[k] += 1
-        return max(2 * n / (len(s) + m - 2) for n, m in zip(shared, self.lengths))
+        of, none = self.number.get, len(self.number)
+        numbers = np.fromiter((of(x + y, none) for x, y in zip(s, s[1:])), np.int64, max(0, len(s) - 1))
+        known = np.flatnonzero(numbers < none)
+        numbers, best = numbers[known], 0.0
+        # Pairs that a phrase has are counted once for each stretch that holds them.
+        edges = np.array([(a, max(a, b - 1)) for a, b in parts])
+        low, high = np.searchsorted(known, edges[:, 0]), np.searchsorted(known, edges[:, 1])
+        for (a, b), i, k in zip(parts, low, high):
+            # No phrase can share more pairs than the stretch has known ones.
+            if b - a < 2 or 2 * (k - i) <= best * (b - a - 1):
+                continue
+            shared = np.minimum(np.bincount(numbers[i:k], minlength=none)[:none], self.counts).sum(1)
+            best = max(best, float((2 * shared / (b - a + self.lengths - 2)).max()))
+        return best
 
 
 _KNOWN: dict[tuple[str, ...], _Phrases] = {}
@@ -63,11 +70,15 @@ def best_rating(text: str, phrases: tuple[str, ...], windows: bool) -> float:
     low = text.lower().strip()
     if phrases not in _KNOWN:
         _KNOWN[phrases] = _Phrases(phrases)
-    known = _KNOWN[phrases]
-    parts = [low]
+    bare = _SPACE.sub("", low)
+    parts = [(0, len(bare))]
     if windows and len(low) > WHOLE_UP_TO:
-        parts += [low[i : i + WINDOW] for i in range(0, len(low) - WINDOW + 1, STEP)]
-    return max(known.best(_SPACE.sub("", p)) for p in parts)
+        # Where a place of the text stands among its characters that are no white space.
+        spaces = np.array([i for s in _SPACE.finditer(low) for i in range(*s.span())], np.int64)
+        starts = np.arange(0, len(low) - WINDOW + 1, STEP)
+        a, b = starts - np.searchsorted(spaces, starts), starts + WINDOW - np.searchsorted(spaces, starts + WINDOW)
+        parts += list(zip(a.tolist(), b.tolist()))
+    return _KNOWN[phrases].best(bare, parts)
 
 
 def dice_col(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ returns the matches with their scores. Everything behind the matches (overlaps,
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanloom.catalog import pii, prompts, secrets
-from spanloom.catalog.model import CONTEXT_BOOST, Rule, java_regex, select
+from spanloom.catalog.model import CONTEXT_BOOST, Rule, java_regex, may_be_empty, select
 from spanloom.functions import checksums, similarity, spans
 from spanloom.operators import matching
 
@@ -96,30 +97,53 @@ _ARROW = pa.list_(pa.struct([
 ]))
 
 
-def _arrow_function(scan: Callable[[str], list[tuple]]) -> Callable[[Column], Column]:
+Scan = Callable[[str], list[tuple]]
+
+
+def _packed(texts: list, scan: Scan) -> pa.Array:
+    """The rows of a scan of each text as an array of detections; a null or empty text has none."""
     names = [f.name for f in _ARROW.value_type]
+    offsets, columns = [0], [[] for _ in names]
+    for t in texts:
+        for row in scan(t) if t else ():
+            for c, v in zip(columns, row):
+                c.append(v)
+        offsets.append(len(columns[0]))
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW.value_type)], names)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
+
+def _arrow_function(scan: Scan) -> Callable[[Column], Column]:
     def run(texts: pa.Array) -> pa.Array:
-        offsets, columns = [0], [[] for _ in names]
-        for t in texts.to_pylist():
-            for row in scan(t) if t else ():
-                for c, v in zip(columns, row):
-                    c.append(v)
-            offsets.append(len(columns[0]))
-        values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW.value_type)], names)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        return _packed(texts.to_pylist(), scan)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     # Marked so that the optimizer neither repeats the scan nor moves it into the expressions behind it.
     return F.arrow_udf(run, EMPTY).asNondeterministic()
 
 
+def scan_all(scans: dict[str, Scan]) -> Callable[[Column], Column]:
+    """One function for several scans, so a text travels once: a struct with an array of detections for each name."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        plain = texts.to_pylist()
+        return pa.StructArray.from_arrays([_packed(plain, scan) for scan in scans.values()], list(scans))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "struct<" + ",".join(f"`{n}`:{EMPTY}" for n in scans) + ">").asNondeterministic()
+
+
 def wide(text: Column, rules: tuple[Rule, ...], guard: str, threshold: float | None, disposition: str = "confirmed") -> Column:
     return _arrow_function(matching.Scanner(rules, guard, threshold, disposition, CONTEXT_WINDOW, spans.CONTEXT_CHARS))(text)
 
 
+def _tier(rules: tuple[Rule, ...]) -> str:
+    """Both tiers find the same; expressions that may match nothing cannot be columns."""
+    return "narrow" if len(rules) <= NARROW_RULES and not any(may_be_empty(p) for r in rules for p in r.patterns) else "wide"
+
+
 def matches(text: Column, rules: tuple[Rule, ...], guard: str, threshold: float | None, disposition: str = "confirmed", tier: str | None = None) -> Column:
-    tier = tier or ("narrow" if len(rules) <= NARROW_RULES else "wide")
+    tier = tier or _tier(rules)
     return (narrow if tier == "narrow" else wide)(text, rules, guard, threshold, disposition)
 
 
@@ -140,6 +164,10 @@ class Guard:
     def detect(self, text: Column) -> Column:
         raise NotImplementedError
 
+    def scan(self) -> Scan | None:
+        """The same as ``finish`` of ``detect`` as a function of one text, where there is one."""
+        return None
+
     def finish(self, detections: Column) -> Column:
         return F.coalesce(detections, F.array().cast(EMPTY))
 
@@ -154,15 +182,40 @@ class Guard:
         )
 
 
+def best_disjoint(rows: list[tuple]) -> list[tuple]:
+    """The same choice as ``spans.best_disjoint`` over rows of one text."""
+    if len(rows) < 2:
+        return rows
+    starts, kept = [], []  # ordered and disjoint, so only neighbours can overlap
+    for r in sorted(rows, key=lambda r: (-r[5], r[10])):
+        i = bisect_left(starts, r[1])
+        if (not i or kept[i - 1][2] <= r[1]) and (i == len(starts) or r[2] <= starts[i]):
+            starts.insert(i, r[1]), kept.insert(i, r)
+    return kept
+
+
+def _scan_of(guard: Guard, rules: tuple[Rule, ...], threshold: float | None, disposition: str = "confirmed", disjoint: bool = False) -> Scan | None:
+    """None where the narrow tier is used."""
+    if (guard.tier or _tier(rules)) == "narrow":
+        return None
+    scanner = matching.Scanner(rules, guard.name, threshold, disposition, CONTEXT_WINDOW, spans.CONTEXT_CHARS)
+    return (lambda t: best_disjoint(scanner(t))) if disjoint else scanner
+
+
 @dataclass(frozen=True)
 class PiiGuard(Guard):
     name: str = "pii"
     entity_types: tuple[str, ...] = ()
     custom: tuple[Rule, ...] = ()
 
+    def _rules(self) -> tuple[Rule, ...]:
+        return select(pii.RULES, list(self.entity_types), self.config.threshold, self.custom)
+
     def detect(self, text: Column) -> Column:
-        rules = select(pii.RULES, list(self.entity_types), self.config.threshold, self.custom)
-        return matches(text, rules, self.name, self.config.threshold, tier=self.tier)
+        return matches(text, self._rules(), self.name, self.config.threshold, tier=self.tier)
+
+    def scan(self) -> Scan | None:
+        return _scan_of(self, self._rules(), self.config.threshold, disjoint=True)
 
     def finish(self, detections: Column) -> Column:
         return spans.best_disjoint(Guard.finish(self, detections))
@@ -177,10 +230,15 @@ class SecretGuard(Guard):
     categories: tuple[str, ...] = ()
     custom: tuple[Rule, ...] = ()
 
-    def detect(self, text: Column) -> Column:
+    def _rules(self) -> tuple[Rule, ...]:
         base = tuple(r for r in secrets.RULES if not self.categories or r.family in self.categories)
-        rules = select(base, list(self.secret_types), self.config.threshold, self.custom)
-        return matches(text, rules, self.name, self.config.threshold, tier=self.tier)
+        return select(base, list(self.secret_types), self.config.threshold, self.custom)
+
+    def detect(self, text: Column) -> Column:
+        return matches(text, self._rules(), self.name, self.config.threshold, tier=self.tier)
+
+    def scan(self) -> Scan | None:
+        return _scan_of(self, self._rules(), self.config.threshold)
 
 
 @dataclass(frozen=True)
@@ -190,9 +248,10 @@ class PromptGuard(Guard):
     config: GuardConfig = field(default_factory=lambda: GuardConfig(threshold=0.6, mode="block"))
     kind: str = "injection"
 
-    def detect(self, text: Column) -> Column:
+    def scan(self) -> Scan:
         rules, phrases, windows = (prompts.INJECTION_RULES, prompts.INJECTION_PHRASES, True) if self.kind == "injection" else (prompts.LEAKAGE_RULES, prompts.LEAKAGE_PHRASES, False)
         scanner = matching.Scanner(rules, self.name, None, "confirmed", CONTEXT_WINDOW, spans.CONTEXT_CHARS)
+        # What the guard needs is read here, so the guard itself does not travel.
         threshold, entity, name = self.config.threshold, rules[0].entity_type, self.name
 
         def scan(t: str) -> list[tuple]:
@@ -204,7 +263,10 @@ class PromptGuard(Guard):
                 return []
             return [(entity, 0, len(t), t[:200], "high" if best >= 0.8 else "medium", best, name, "regex", "confirmed", t[: len(t) + spans.CONTEXT_CHARS], 0)]
 
-        return _arrow_function(scan)(text)
+        return scan
+
+    def detect(self, text: Column) -> Column:
+        return _arrow_function(self.scan())(text)
 
 
 def injection_guard(**kw) -> PromptGuard:
@@ -225,6 +287,9 @@ class TestDataGuard(Guard):
     def detect(self, text: Column) -> Column:
         return matches(text, prompts.TESTDATA_RULES, self.name, None, "informational", self.tier)
 
+    def scan(self) -> Scan | None:
+        return _scan_of(self, prompts.TESTDATA_RULES, None, "informational", disjoint=True)
+
     def finish(self, detections: Column) -> Column:
         return spans.best_disjoint(Guard.finish(self, detections))
 

@@ -4,17 +4,11 @@ from __future__ import annotations
 
 import re
 
-from spanloom.catalog.model import CONTEXT_BOOST, Rule, python_regex, required_literal
+from spanloom.catalog.model import CONTEXT_BOOST, Rule, gates, python_regex
 from spanloom.functions.checksums import CHECKS, shannon_entropy
 
-_NAMES = re.compile(r"^\(\?:([A-Za-z0-9_|-]+)\)\\s\*")
 
-
-def gates(pattern: str, ignore_case: bool) -> tuple[str, ...]:
-    """Substrings one of which every match holds; none if the expression shows none."""
-    m = _NAMES.match(pattern)
-    found = tuple(m.group(1).split("|")) if m else tuple(filter(None, [required_literal(pattern)]))
-    return tuple(x.lower() for x in found) if ignore_case else found
+_DIGITS = re.compile("[0-9]+")
 
 
 class Scanner:
@@ -31,20 +25,29 @@ class Scanner:
         out = []
         for r in self.rules:
             for p in r.patterns:
-                out.append((r, python_regex(p, r.ignore_case), gates(p, r.ignore_case), CHECKS[r.validator] if r.validator else None, "\\d" in p and "|" not in p))
+                out.append((r, python_regex(p, r.ignore_case), *gates(p, r.ignore_case), CHECKS[r.validator] if r.validator else None))
         return out
 
     def __call__(self, text: str) -> list[tuple]:
         if self._compiled is None:
             self._compiled = self._compile()
         low = text.lower()
-        digits = any(c.isdigit() for c in text)
+        longest = max(map(len, _DIGITS.findall(text)), default=0)
         out: list[tuple] = []
-        for rule, regex, needed, check, numeric in self._compiled:
-            if numeric and not digits or needed and not any(g in (low if rule.ignore_case else text) for g in needed):
+        for rule, regex, needed, folded, digits, check in self._compiled:
+            if digits > longest:
                 continue
+            if needed:
+                where = low if folded else text
+                for g in needed:
+                    if g in where:
+                        break
+                else:
+                    continue
             for m in regex.finditer(text):
                 start, end = m.span()
+                if start == end:  # nothing is no finding
+                    continue
                 if check and not check(m.group()):
                     continue
                 if rule.min_entropy is not None and shannon_entropy(m.group(1) if regex.groups and m.group(1) is not None else m.group()) < rule.min_entropy:

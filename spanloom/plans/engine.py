@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import spans
-from spanloom.operators.guards import Guard, PiiGuard, SecretGuard, TestDataGuard, injection_guard, leakage_guard
+from spanloom.operators.guards import Guard, PiiGuard, SecretGuard, TestDataGuard, injection_guard, leakage_guard, scan_all
 from spanloom.plans import cascade, risk
 from spanloom.plans.policy import GuardPolicy, Policy, guard_settings, resolve_policy
 from spanloom.runtime import ship, spread
@@ -40,8 +40,13 @@ class ScanEngine:
     def detections_of(self, df: DataFrame, text: str = "text") -> DataFrame:
         """A column of detections for each active guard: a null text has none."""
         ship(df.sparkSession)
-        x = spread(df).withColumns({f"_{g.name}": g.detect(F.col(text)) for g in self._active()})
-        return x.withColumns({f"_{g.name}": g.finish(F.col(f"_{g.name}")) for g in self._active()})
+        scans = {g.name: s for g in self._active() if (s := g.scan()) is not None}
+        others = [g for g in self._active() if g.name not in scans]
+        x = spread(df)
+        if scans:  # one function for all of them
+            x = x.withColumn("_scans", scan_all(scans)(F.col(text))).select(*df.columns, *[F.col(f"_scans.{n}").alias(f"_{n}") for n in scans])
+        x = x.withColumns({f"_{g.name}": g.detect(F.col(text)) for g in others})
+        return x.withColumns({f"_{g.name}": g.finish(F.col(f"_{g.name}")) for g in others})
 
     def analyze(self, df: DataFrame, text: str = "text", out: str = "results") -> DataFrame:
         """``df`` with an array of guard results in the guards' order."""

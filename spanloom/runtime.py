@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import os
 import tempfile
 import zipfile
@@ -33,15 +35,19 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(base, f)
                     z.write(full, os.path.join("spanloom", os.path.relpath(full, root)))
     sc.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
     _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where all runs on one machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local["):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-ckpt-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -50,15 +56,31 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and tables that ``df`` reads, by the optimizer's statistics; None if they are not known. Nothing is run."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except Exception:  # noqa: BLE001  # sessions without a JVM of their own
+        return None
+    return sum(sizes) if all(n < 1 << 60 for n in sizes) else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-bound stages over few input splits.
 
-    A large input has more splits than the cluster has cores and passes unchanged, without a shuffle.
+    A large input has more splits than the cluster has cores and passes unchanged, without a shuffle, as does one of
+    unknown size. The splits are reckoned as the reader makes them.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores, size = spark.sparkContext.defaultParallelism, input_bytes(df)
+    if size is None:
+        return df
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    least = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    if math.ceil(size / min(most, max(least, size // cores))) >= cores:
         return df
     return df.repartition(cores * 2)
 

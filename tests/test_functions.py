@@ -38,6 +38,17 @@ def test_checks_of_odd_values(spark):
             assert not any(r.ok for r in df.select(check(F.col("v")).alias("ok")).collect()), name
 
 
+ODD = ["", " ", "abc", "X12A4567L", "ABCDEF-GHI1", "." * 16, "GB82É123", "abcd", "ABCDEFGHIJ", "-", "é" * 16, "AB", "12", "0" * 11, "9" * 13, "a" * 400, "1" * 400, "٣" * 11, "XYZ", "X-------L", "811328-9874", "\n", "GB", "12345678é", "RSSMRA85T10A562É", "00:1A:2B:3C:4D:5G", "1899", "99999-01-01"]
+
+
+def test_checks_never_raise_and_agree_on_odd_values(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(ODD)], "i int, v string")
+    got = df.select("i", *[F.coalesce(check(F.col("v")), F.lit(False)).alias(name) for name, check in checksums.COLUMN_CHECKS.items()]).orderBy("i").collect()
+    for v, row in zip(ODD, got):
+        for name, check in checksums.CHECKS.items():
+            assert check(v) is row[name], (name, v)
+
+
 def test_verhoeff_ignores_leading_zeros():
     assert checksums.verhoeff(2363) and checksums.nin("00000002363") == checksums.verhoeff(2363)
 

@@ -1,10 +1,14 @@
 """Cases of what the guards find, and that both tiers find the same."""
 
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.catalog import pii, prompts, secrets
-from spanloom.catalog.model import Rule, entity_types, java_regex, python_regex, required_literal, rules_of_type, select
+from spanloom.catalog.model import Rule, entity_types, gates, java_regex, python_regex, rules_of_type, select
 from spanloom.operators import guards, matching
 from spanloom.plans.engine import create_engine
 
@@ -55,10 +59,39 @@ def test_gates_lose_no_match(data):
     for rules in (pii.RULES, secrets.RULES, prompts.INJECTION_RULES, prompts.LEAKAGE_RULES, prompts.TESTDATA_RULES):
         for r in rules:
             for p in r.patterns:
-                regex, needed = python_regex(p, r.ignore_case), matching.gates(p, r.ignore_case)
+                regex, (needed, folded, digits) = python_regex(p, r.ignore_case), gates(p, r.ignore_case)
                 for t in texts:
-                    if needed and regex.search(t):
-                        assert any(g in (t.lower() if r.ignore_case else t) for g in needed), (r.entity_type, p, needed)
+                    if (needed or digits) and (m := regex.search(t)):
+                        assert not needed or any(g in (t.lower() if folded else t) for g in needed), (r.entity_type, p, needed)
+                        assert digits <= max(map(len, re.findall("[0-9]+", m.group())), default=0), (r.entity_type, p, digits)
+
+
+_ATOMS = st.sampled_from([r"\d", r"\d*", r"\d{2,3}", r"\t", r"\n?", "x", "yz", "key=", r"\b", r"[A-Z\d]", r"[A-Z\d]{2}", "(?:ab|cd)", "(?:secret|token)?", "(?:a1|b2)+", r"(x)\1", "(?=k)", r"\.", "[0-9]", "@", "(?i:Q)", r"(?:\d\d|\d{3})", "é"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_ATOMS, min_size=1, max_size=5), st.booleans(), st.text(alphabet="xyzk=secrtoABZ0123ab cd\t\n.@Qqé", max_size=40), st.randoms())
+def test_gates_lose_no_match_of_any_rule(atoms, ignore_case, around, rng):
+    """What the scanner finds with its gates is what the expression finds."""
+    pattern = "".join(atoms)
+    regex = python_regex(pattern, ignore_case)
+    # A text that has a good chance to match, in other text.
+    inside = "".join(rng.choice(["1", "12", "123", "\t", "x", "yz", "key=", "A", "A1", "ab", "secret", "a1", "xx", "k", ".", "@", "q", "é", ""]) for _ in range(8))
+    for text in (around, around + inside + around, inside, pattern):
+        want = [m.span() for m in regex.finditer(text) if m.group()]
+        got = matching.Scanner((Rule("R", (pattern,), "custom", 0.7, "low", ignore_case=ignore_case),), "g", None, "confirmed", 100, 150)(text)
+        assert [(r[1], r[2]) for r in got] == want
+
+
+@pytest.mark.parametrize(("pattern", "text"), [("user\\tsecretkey", "a user\tsecretkey b"), (r"\b[A-Z\d]{8}\b", "so ABCDEFGH it"), (r"x\d*yz", "an xyz")])
+@pytest.mark.parametrize("more", [0, 9])
+def test_custom_rules_in_both_tiers(spark, pattern, text, more):
+    """However many rules there are, each finds the same."""
+    rules = (Rule("MINE", (pattern,), "custom", 0.7, "low"), *(Rule(f"NO_{i}", (f"never{i}here",), "custom", 0.7, "low") for i in range(more)))
+    from spanloom.plans.engine import ScanEngine
+
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    assert [r.entity_type for r in ScanEngine((guards.PiiGuard(entity_types=("NONE",), custom=rules),)).detections(df, "id").collect()] == ["MINE"]
 
 
 def test_catalog():
@@ -69,7 +102,7 @@ def test_catalog():
     assert len(select(pii.RULES, [])) == 51 and {r.entity_type for r in select(pii.RULES, ["URL"])} == {"URL"}
     assert rules_of_type(pii.RULES, "US_SSN").score == 0.5 and rules_of_type(pii.RULES, "NONE") is None
     assert java_regex(r"\bx[&[]\b") == r"(?<!\w)x[\&\[](?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-    assert required_literal(r"new\s+instructions?\s*:") in ("instruction", "new")
+    assert gates(r"new\s+instructions?\s*:") == (("instruction",), False, 0) and gates(r"\bid\d{3}-?\d{4}") == ((), False, 4)
 
 
 def test_context_score_is_a_plain_sum(found):
