@@ -28,7 +28,7 @@ MODEL_SPAN = "struct<label:string,score:double,start_pos:int,end_pos:int>"
 
 def capitalised_words(texts: list[str]) -> list[list[tuple[str, float, int, int]]]:
     """A deterministic stand-in for a model: pairs of capitalised words are persons, the surer the longer they are."""
-    return [[("B-PERSON", min(0.99, 0.5 + 0.02 * len(m.group())), m.start(), m.end()) for m in re.finditer(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", t)] for t in texts]
+    return [[("B-PERSON", min(0.99, 0.5 + 0.02 * len(m.group())), m.start(), m.end()) for m in re.finditer(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", t, re.ASCII)] for t in texts]
 
 
 def model_spans(df: DataFrame, key: str, text: str, scorer: Scorer) -> DataFrame:

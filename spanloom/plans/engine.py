@@ -91,6 +91,10 @@ class ScanEngine:
         x = self.scan(df, text)
         return x.withColumn("risk", risk.assess(F.col("results"), self.policy.risk_thresholds, strip))
 
+    def level_tally(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """(level, n): how many texts have each level of risk."""
+        return self.policy_scan(df.select(text), text).groupBy(F.col("risk.level").alias("level")).agg(F.count("*").alias("n"))
+
     def redact_fields(self, df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         """Long form (key, field, text, redacted, level) of several text fields of a record, each scanned by itself."""
         long = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f")).select(key, "f.*")

@@ -12,10 +12,11 @@ from spanloom.catalog import pii, prompts, secrets
 from spanloom.catalog.model import Rule, java_regex, rules_of_type, select
 from spanloom.functions import checksums, similarity, spans
 from spanloom.operators import evaluation, guards
-from spanloom.plans import cascade, risk
-from spanloom.plans.engine import create_engine
-from spanloom.plans.policy import MODERATE, STRICT, RiskThresholds
+from spanloom.plans import cascade, planted, risk, sql
+from spanloom.plans.engine import ScanEngine, create_engine
+from spanloom.plans.policy import MODERATE, STRICT, Policy, RiskThresholds
 from spanloom.runtime import ship, spread, table
+from spanloom.sources import io
 from spanloom.streaming import scan as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,14 +33,10 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
 # --- spans of one expression -----------------------------------------------------------------------------------------
 
 
-def _re2(pattern: str, ignore_case: bool = False) -> str:
-    """The expression in the oracle's dialect, as a string literal."""
-    import re
-
-    from spanloom.catalog.model import _spaces
-
-    p = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", _spaces(pattern)).replace("\\/", "/")
-    return "'" + (("(?i)" if ignore_case else "") + p).replace("'", "''") + "'"
+_re2 = sql.expression
+#: A row of the requests is known by its id and when it came in: requests are delivered twice.
+_REQUESTS = "SELECT scan_id::VARCHAR || '|' || coalesce(ingested_at::VARCHAR, '') AS k, text AS body FROM scan_requests WHERE text IS NOT NULL"
+_ROWS_OF_REQUESTS = "(SELECT *, scan_id::VARCHAR || '|' || coalesce(ingested_at::VARCHAR, '') AS k FROM scan_requests)"
 
 
 def _span_sql(source: str, key: str, literal: str) -> str:
@@ -97,73 +94,33 @@ _DERIVED_SQL = "(SELECT c_custkey AS key, replace([" + ", ".join(f"'{p}'" for p
 # --- rules with checks, context and thresholds -----------------------------------------------------------------------
 
 
-def _rule_query(spark: SparkSession, d: str, source: str, key: str, rules: tuple[Rule, ...], threshold: float | None) -> DataFrame:
-    x = spread(table(spark, d, source).where("text is not null").select(key, "text")).select(key, F.inline(guards.narrow(F.col("text"), rules, "pii", threshold)))
-    return x.select(key, "entity_type", "start_pos", "end_pos", F.col("text").alias("match"), "confidence", "score")
-
-
-def _rule_sql(source: str, key: str, rule: Rule, check: str, threshold: float) -> str:
-    words = " OR ".join(f"contains(w, '{x}')" for x in rule.words)
-    high = guards.promoted(rule.confidence)
-    return f"""WITH {_span_sql(source, key, _re2(rule.patterns[0], rule.ignore_case))},
-        c AS (SELECT *, lower(substr(body, greatest(0, start_pos - 100) + 1, start_pos + length(t) + 100 - greatest(0, start_pos - 100))) AS w FROM e WHERE {check}),
-        s AS (SELECT *, ({words}) AS near FROM c)
-        SELECT k AS {key}, '{rule.entity_type}' AS entity_type, start_pos, CAST(start_pos + length(t) AS INTEGER) AS end_pos, t AS match,
-               CASE WHEN near THEN '{high}' ELSE '{rule.confidence}' END AS confidence,
-               CASE WHEN near THEN least(1.0::DOUBLE, {rule.score}::DOUBLE + 0.35::DOUBLE) ELSE {rule.score}::DOUBLE END AS score
-        FROM s WHERE CASE WHEN near THEN least(1.0::DOUBLE, {rule.score}::DOUBLE + 0.35::DOUBLE) ELSE {rule.score}::DOUBLE END >= {threshold}"""
-
-
-def _digits(s: str) -> str:
-    return f"regexp_replace({s}, '[^0-9]', '', 'g')"
-
-
-def _dot(d: str, weights, start: int = 1) -> str:
-    return "(" + " + ".join(f"CAST(substr({d}, {start + i}, 1) AS INTEGER) * {w}" for i, w in enumerate(weights)) + ")"
-
-
-def _ssn_sql(s: str) -> str:
-    d = _digits(s)
-    prefixes = " AND ".join(f"NOT starts_with({d}, '{p}')" for p in checksums.SSN_PREFIXES)
-    return f"(length({d}) = 9 AND len(list_distinct(string_split({d}, ''))) > 1 AND substr({d}, 4, 2) <> '00' AND substr({d}, 6, 4) <> '0000' AND substr({d}, 1, 1) <> '9' AND {prefixes})"
-
+def _rule_query(spark: SparkSession, d: str, rules: tuple[Rule, ...], threshold: float | None) -> DataFrame:
+    x = spread(table(spark, d, "scan_requests").where("text is not null").select("scan_id", "text")).select("scan_id", F.inline(guards.narrow(F.col("text"), rules, "pii", threshold)))
+    return x.select("scan_id", "entity_type", "start_pos", "end_pos", F.col("text").alias("match"), "confidence", "score")
 
-def _luhn_sql(d: str) -> str:
-    r = f"string_split(reverse({d}), '')"
-    return f"(length({d}) > 0 AND list_sum(list_transform({r}, lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) * 2 > 9 THEN CAST(c AS INTEGER) * 2 - 9 ELSE CAST(c AS INTEGER) * 2 END)) % 10 = 0)"
 
+_DETECTION_COLUMNS = "CAST(split_part(k, '|', 1) AS BIGINT) AS scan_id, entity_type, start_pos, end_pos, text AS match, confidence, score"
 
-def _nif_sql(s: str) -> str:
-    return f"(substr('{checksums.NIF_LETTERS}', CAST(CAST({_digits(s)} AS BIGINT) % 23 + 1 AS INTEGER), 1) = right({s}, 1))"
+for _name, _kind, _at in (
+    ("pii_ssn_detections", "US_SSN", 0.5), ("pii_email_detections", "EMAIL_ADDRESS", 0.5), ("pii_es_nif_detections", "ES_NIF", 0.5), ("pii_passport_detections", "US_PASSPORT", 0.3), ("pii_phone_detections", "PHONE_NUMBER", 0.3), ("pii_url_detections", "URL", 0.5),
+    ("pii_ip_detections", "IP_ADDRESS", 0.5), ("pii_date_detections", "DATE_TIME", 0.3), ("pii_iban_detections", "IBAN_CODE", 0.3), ("pii_card_detections", "CREDIT_CARD", 0.3), ("pii_nino_detections", "UK_NINO", 0.3),
+):
+    _rules = tuple(r for r in pii.RULES if r.entity_type == _kind)
+    _add(_name, partial(_rule_query, rules=_rules, threshold=_at), f"WITH {sql.scan(_REQUESTS, _rules, 'pii', _at)} SELECT {_DETECTION_COLUMNS} FROM s")
 
 
-for _name, _kind, _check, _at in (("pii_ssn_detections", "US_SSN", _ssn_sql("t"), 0.5), ("pii_email_detections", "EMAIL_ADDRESS", "TRUE", 0.5), ("pii_es_nif_detections", "ES_NIF", _nif_sql("t"), 0.5), ("pii_passport_detections", "US_PASSPORT", "TRUE", 0.3)):
-    _one = Rule(**{**_rule(_kind).__dict__, "patterns": _rule(_kind).patterns[:1]})
-    _add(_name, partial(_rule_query, source="scan_requests", key="scan_id", rules=(_one,), threshold=_at), _rule_sql("scan_requests", "scan_id", _one, _check, _at))
+_REPORT_RULES = select(pii.RULES, ["CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS"], 0.5)
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    """E-mail, IPv4 and card numbers (with Luhn and context) in the documents."""
-    rules = tuple(Rule(**{**r.__dict__, "patterns": r.patterns[:1]}) for r in select(pii.RULES, ["CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS"], 0.5))
-    x = spread(table(spark, d, "documents").where("text is not null").select("lang", "text")).select("lang", guards.narrow(F.col("text"), rules, "pii", 0.5).alias("found"))
+    """E-mail, IP and card numbers (with Luhn and context) in the documents, of overlapping ones the best."""
+    x = spread(table(spark, d, "documents").where("text is not null").select("lang", "text")).select("lang", guards.narrow(F.col("text"), _REPORT_RULES, "pii", 0.5).alias("found"))
     x = x.select("lang", F.inline(spans.best_disjoint(F.col("found"))))
     return x.groupBy("lang", "entity_type", "confidence").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
 
 
-def _report_sql() -> str:
-    """The oracle has no look-ahead: 13 digits that begin with 1 are left out behind the match. The three kinds do not overlap."""
-    card = _rule("CREDIT_CARD")
-    parts = []
-    for kind, pattern, check in (
-        ("EMAIL_ADDRESS", _rule("EMAIL_ADDRESS").patterns[0], "TRUE"), ("IP_ADDRESS", _rule("IP_ADDRESS").patterns[0], "TRUE"),
-        ("CREDIT_CARD", card.patterns[0].replace(r"(?!1\d{12}(?!\d))", ""), f"{_luhn_sql(_digits('t'))} AND NOT regexp_matches(t, '^1[0-9]{{12}}$')"),
-    ):
-        one = Rule(**{**_rule(kind).__dict__, "patterns": (pattern,)})
-        parts.append(f"SELECT doc_id, entity_type, confidence, score FROM ({_rule_sql('documents', 'doc_id', one, check, 0.5)})")
-    return f"SELECT lang, entity_type, confidence, count(*) AS n, max(score) AS max_score FROM ({' UNION ALL '.join(parts)}) JOIN documents USING (doc_id) GROUP BY lang, entity_type, confidence"
-
-
-_add("pii_report_by_lang", _report, _report_sql())
+_add("pii_report_by_lang", _report, f"""WITH {sql.scan("SELECT doc_id AS k, text AS body FROM documents WHERE text IS NOT NULL", _REPORT_RULES, "pii", 0.5)}, {sql.disjoint("s", "o")}
+    SELECT lang, entity_type, confidence, count(*) AS n, max(score) AS max_score FROM o JOIN documents ON doc_id = k GROUP BY lang, entity_type, confidence""")
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
@@ -202,50 +159,35 @@ def _check_query(spark: SparkSession, d: str, length: int, column: Callable[[Col
     return x.select("o_orderkey", "value", checksums.COLUMN_CHECKS[check](F.col("value")).alias("ok"))
 
 
-def _add_check(name: str, length: int, check: str, sql: str, column: Callable[[Column], Column] = lambda c: c, text: str = "{}") -> None:
+def _add_check(name: str, length: int, check: str, column: Callable[[Column], Column] = lambda c: c, text: str = "{}") -> None:
     derived = text.format(_derived_sql("o_orderkey", length))
-    _add(name, partial(_check_query, length=length, column=column, check=check), f"WITH v AS (SELECT o_orderkey, {derived} AS value FROM orders) SELECT o_orderkey, value, {sql} AS ok FROM v")
+    _add(name, partial(_check_query, length=length, column=column, check=check), f"WITH v AS (SELECT o_orderkey, {derived} AS value FROM orders) SELECT o_orderkey, value, {sql.check(check, 'value')} AS ok FROM v")
 
 
 def _letters(c: Column, alphabet: str, by: int) -> Column:
     return F.concat(c, F.lit(alphabet).substr((F.col("o_orderkey") % by + 1).cast("int"), F.lit(1)))
 
 
-_V = "value"
-_add_check("validate_luhn", 16, "luhn", _luhn_sql(_V))
-_add_check("validate_iban", 18, "iban", "(CAST(substr(value, 5) || '1314' || substr(value, 3, 2) AS HUGEINT) % 97 = 1)", lambda c: F.concat(F.lit("DE"), c), "'DE' || {}")
-_add_check("validate_aba", 9, "aba", f"({_dot(_V, checksums.WEIGHTS['aba'])} % 10 = 0)")
-_add_check("validate_npi", 10, "npi", f"(len(list_distinct(string_split(substr(value, 1, 9), ''))) > 1 AND {_luhn_sql("('80840' || value)")})")
-_add_check("validate_dea", 7, "dea", f"((2 * {_dot(_V, (1, 0, 1, 0, 1, 0), 3)} + {_dot(_V, (0, 1, 0, 1, 0, 1), 3)} - CAST(right(value, 1) AS INTEGER)) % 10 = 0)", lambda c: F.concat(F.lit("AB"), c), "'AB' || {}")
-_add_check("validate_ssn", 9, "ssn", _ssn_sql(_V))
-_add_check("validate_mac", 12, "mac", "(value NOT IN ('FFFFFFFFFFFF', '000000000000'))")
-_add_check("validate_nhs", 10, "nhs", f"({_dot(_V, checksums.WEIGHTS['nhs'])} % 11 = 0)")
-_add_check("validate_es_nif", 8, "nif", _nif_sql(_V), lambda c: _letters(c, checksums.NIF_LETTERS, 23), f"{{}} || substr('{checksums.NIF_LETTERS}', CAST(o_orderkey % 23 + 1 AS INTEGER), 1)")
-_add_check("validate_es_nie", 7, "nie", f"(substr('{checksums.NIF_LETTERS}', CAST(CAST('1' || substr(value, 2, 7) AS BIGINT) % 23 + 1 AS INTEGER), 1) = right(value, 1))",
-           lambda c: F.concat(F.lit("Y"), _letters(c, checksums.NIF_LETTERS, 23)), f"'Y' || {{}} || substr('{checksums.NIF_LETTERS}', CAST(o_orderkey % 23 + 1 AS INTEGER), 1)")
-_add_check("validate_it_vat", 11, "vat", "(value <> '00000000000' AND (" + " + ".join(f"CAST(substr(value, {i}, 1) AS INTEGER)" for i in (1, 3, 5, 7, 9, 11)) + " + " + " + ".join(f"(CASE WHEN CAST(substr(value, {i}, 1) AS INTEGER) * 2 > 9 THEN CAST(substr(value, {i}, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(value, {i}, 1) AS INTEGER) * 2 END)" for i in (2, 4, 6, 8, 10)) + ") % 10 = 0)")
-_add_check("validate_pesel", 11, "pesel", f"({_dot(_V, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3))} % 10 = CAST(right(value, 1) AS INTEGER))")
-_add_check("validate_hetu", 9, "hetu", f"(substr('{checksums.HETU_LETTERS}', CAST(CAST(substr(value, 1, 6) || substr(value, 8, 3) AS BIGINT) % 31 + 1 AS INTEGER), 1) = right(value, 1))",
-           lambda c: _letters(F.concat(c.substr(1, 6), F.lit("-"), c.substr(7, 3)), checksums.HETU_LETTERS, 31), f"substr({{0}}, 1, 6) || '-' || substr({{0}}, 7, 3) || substr('{checksums.HETU_LETTERS}', CAST(o_orderkey % 31 + 1 AS INTEGER), 1)")
-_add_check("validate_personnummer", 10, "personnummer", f"(CAST(substr(value, 3, 2) AS INTEGER) BETWEEN 1 AND 12 AND (CAST(substr(value, 5, 2) AS INTEGER) BETWEEN 1 AND 31 OR CAST(substr(value, 5, 2) AS INTEGER) BETWEEN 61 AND 91) AND {_luhn_sql(_V)})")
-_add_check("validate_de_tax", 11, "steuer", """(len(list_distinct(string_split(substr(value, 1, 10), ''))) > 1 AND
-    (11 - list_reduce([10] || list_transform(string_split(substr(value, 1, 10), ''), lambda c: CAST(c AS INTEGER)), lambda p, x: (CASE WHEN (x + p) % 10 = 0 THEN 10 ELSE (x + p) % 10 END) * 2 % 11)) % 10 = CAST(right(value, 1) AS INTEGER))""")
-_add_check("validate_abn", 11, "abn", f"(((CASE WHEN substr(value, 1, 1) = '0' THEN 9 ELSE CAST(substr(value, 1, 1) AS INTEGER) - 1 END) * 10 + {_dot(_V, (1, 3, 5, 7, 9, 11, 13, 15, 17, 19), 2)}) % 89 = 0)")
-_add_check("validate_acn", 9, "acn", f"((10 - {_dot(_V, (8, 7, 6, 5, 4, 3, 2, 1))} % 10) % 10 = CAST(right(value, 1) AS INTEGER))")
-_add_check("validate_tfn", 9, "tfn", f"({_dot(_V, checksums.WEIGHTS['tfn'])} % 11 = 0)")
-_add_check("validate_au_medicare", 10, "au_medicare", f"({_dot(_V, (1, 3, 7, 9, 1, 3, 7, 9))} % 10 = CAST(substr(value, 9, 1) AS INTEGER))")
-_add_check("validate_rrn", 13, "rrn", f"(CAST(substr(value, 8, 2) AS INTEGER) <= 95 AND (11 - {_dot(_V, (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5))} % 11) % 10 = CAST(right(value, 1) AS INTEGER))")
-_add_check("validate_tnin", 13, "tnin", f"((CASE WHEN {_dot(_V, range(13, 1, -1))} % 11 <= 1 THEN 1 - {_dot(_V, range(13, 1, -1))} % 11 ELSE 11 - {_dot(_V, range(13, 1, -1))} % 11 END) = CAST(right(value, 1) AS INTEGER))")
-
-
-def _verhoeff_sql(n: str) -> str:
-    d, p = ("[" + ", ".join(c for row in t for c in row) + "]" for t in (checksums.VERHOEFF_D, checksums.VERHOEFF_P))
-    digits = f"list_transform(string_split(reverse(CAST({n} AS VARCHAR)), ''), lambda c, i: {p}[((i - 1) % 8) * 10 + CAST(c AS INTEGER) + 1])"
-    return f"(list_reduce([0] || {digits}, lambda a, x: {d}[a * 10 + x + 1]) = 0)"
-
-
-_add_check("validate_aadhaar", 12, "aadhaar", f"(substr(value, 1, 1) >= '2' AND value <> reverse(value) AND {_verhoeff_sql('CAST(value AS BIGINT)')})")
-_add_check("validate_nin", 11, "nin", _verhoeff_sql("CAST(value AS BIGINT)"))
+def _letter_sql(alphabet: str) -> str:
+    return f"substr('{alphabet}', CAST(o_orderkey % {len(alphabet)} + 1 AS INTEGER), 1)"
+
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+for _name, _length in (("luhn", 16), ("aba", 9), ("npi", 10), ("ssn", 9), ("nhs", 10), ("pesel", 11), ("abn", 11), ("acn", 9), ("tfn", 9), ("au_medicare", 10), ("rrn", 13), ("tnin", 13), ("aadhaar", 12), ("nin", 11), ("personnummer", 10)):
+    _add_check(f"validate_{_name}", _length, _name)
+_add_check("validate_it_vat", 11, "vat")
+_add_check("validate_de_tax", 11, "steuer")
+_add_check("validate_iban", 18, "iban", lambda c: F.concat(F.lit("DE"), c), "'DE' || {}")
+_add_check("validate_dea", 7, "dea", lambda c: F.concat(F.lit("AB"), c), "'AB' || {}")
+_add_check("validate_es_nif", 8, "nif", lambda c: _letters(c, checksums.NIF_LETTERS, 23), "{} || " + _letter_sql(checksums.NIF_LETTERS))
+_add_check("validate_es_nie", 7, "nie", lambda c: F.concat(F.lit("Y"), _letters(c, checksums.NIF_LETTERS, 23)), "'Y' || {} || " + _letter_sql(checksums.NIF_LETTERS))
+_add_check("validate_hetu", 9, "hetu", lambda c: _letters(F.concat(c.substr(1, 6), F.lit("-"), c.substr(7, 3)), checksums.HETU_LETTERS, 31), "substr({0}, 1, 6) || '-' || substr({0}, 7, 3) || " + _letter_sql(checksums.HETU_LETTERS))
+_add_check("validate_it_fiscal", 7, "fiscal", lambda c: _letters(F.concat(F.lit("RSSmra"), c.substr(1, 2), F.lit("A"), c.substr(3, 2), F.lit("H"), c.substr(5, 3)), _AZ, 26), "'RSSmra' || substr({0}, 1, 2) || 'A' || substr({0}, 3, 2) || 'H' || substr({0}, 5, 3) || " + _letter_sql(_AZ))
+# Some of one digit only, some with a letter that is none of the sixteen, the others with separators.
+_add_check(
+    "validate_mac", 12, "mac", lambda c: F.when(F.col("o_orderkey") % 7 == 0, "FF:FF:FF:FF:FF:FF").when(F.col("o_orderkey") % 11 == 0, F.concat(c.substr(1, 11), F.lit("G"))).when(F.col("o_orderkey") % 13 == 0, c.substr(1, 11)).otherwise(F.concat_ws(":", *[c.substr(i, 2) for i in range(1, 12, 2)])),
+    "CASE WHEN o_orderkey % 7 = 0 THEN 'FF:FF:FF:FF:FF:FF' WHEN o_orderkey % 11 = 0 THEN left({0}, 11) || 'G' WHEN o_orderkey % 13 = 0 THEN left({0}, 11) ELSE concat_ws(':', " + ", ".join(f"substr({{0}}, {i}, 2)" for i in range(1, 12, 2)) + ") END",
+)
 
 
 def _entropy(spark: SparkSession, d: str) -> DataFrame:
@@ -270,19 +212,19 @@ def _counts(spark: SparkSession, d: str, rules: tuple[Rule, ...], by: list[str],
     return x.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def _count_sql(rules: tuple[Rule, ...], by: str, source: str = "scan_requests") -> str:
-    parts = " UNION ALL ".join(f"SELECT '{r.entity_type if by == 'entity_type' else r.family}' AS {by}, coalesce(sum(len(regexp_extract_all(text, {_re2(p, r.ignore_case)}))), 0) AS n FROM {source} WHERE text IS NOT NULL" for r in rules for p in r.patterns)
-    return f"SELECT {by}, CAST(sum(n) AS BIGINT) AS n FROM ({parts}) GROUP BY {by} HAVING sum(n) > 0"
+_DERIVED_ROWS = f"SELECT key AS k, text AS body FROM {_DERIVED_SQL}"
+
+
+def _count_sql(rules: tuple[Rule, ...], by: str, source: str = _REQUESTS) -> str:
+    category = "CASE entity_type " + " ".join(f"WHEN '{r.entity_type}' THEN '{r.family}'" for r in rules) + " END"
+    return f"WITH {sql.scan(source, rules, 'g', None)} SELECT {category if by == 'category' else by} AS {by}, count(*) AS n FROM s GROUP BY 1"
 
 
-_PLAIN = tuple(r for r in secrets.RULES if r.min_entropy is None and not any("(?<" in p for p in r.patterns))
-_add("secret_by_type", partial(_counts, rules=_PLAIN, by=["entity_type"], guard="secret"), _count_sql(_PLAIN, "entity_type"))
-_add("secret_by_category", partial(_counts, rules=_PLAIN, by=["category"], guard="secret"), _count_sql(_PLAIN, "category"))
-_add("secret_all_rules", partial(_counts, rules=secrets.RULES, by=["entity_type"], guard="secret"))
-_add("injection_patterns", partial(_counts, rules=prompts.INJECTION_RULES, by=["entity_type"], guard="injection", derived=True), _count_sql(prompts.INJECTION_RULES, "entity_type", _DERIVED_SQL))
-_add("leakage_patterns", partial(_counts, rules=prompts.LEAKAGE_RULES, by=["entity_type"], guard="leakage", derived=True), _count_sql(prompts.LEAKAGE_RULES, "entity_type", _DERIVED_SQL))
-_TEST = tuple(r for r in prompts.TESTDATA_RULES if not r.validator)
-_add("testdata_by_type", partial(_counts, rules=_TEST, by=["entity_type"], guard="testdata", derived=True), _count_sql(_TEST, "entity_type", _DERIVED_SQL))
+_add("secret_by_type", partial(_counts, rules=secrets.RULES, by=["entity_type"], guard="secret"), _count_sql(secrets.RULES, "entity_type"))
+_add("secret_by_category", partial(_counts, rules=secrets.RULES, by=["category"], guard="secret"), _count_sql(secrets.RULES, "category"))
+_add("injection_patterns", partial(_counts, rules=prompts.INJECTION_RULES, by=["entity_type"], guard="injection", derived=True), _count_sql(prompts.INJECTION_RULES, "entity_type", _DERIVED_ROWS))
+_add("leakage_patterns", partial(_counts, rules=prompts.LEAKAGE_RULES, by=["entity_type"], guard="leakage", derived=True), _count_sql(prompts.LEAKAGE_RULES, "entity_type", _DERIVED_ROWS))
+_add("testdata_by_type", partial(_counts, rules=prompts.TESTDATA_RULES, by=["entity_type"], guard="testdata", derived=True), _count_sql(prompts.TESTDATA_RULES, "entity_type", _DERIVED_ROWS))
 
 
 def _entropy_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +279,8 @@ def _heuristics(spark: SparkSession, d: str) -> DataFrame:
     return e.detections(texts, "key").groupBy("guard_name", "entity_type", "confidence").agg(F.count("*").alias("n"))
 
 
-_add("prompt_guards", _heuristics)
+_BOTH = f"SELECT k, body FROM ({_REQUESTS}) UNION ALL SELECT 'c' || key, text FROM {_DERIVED_SQL}"
+_add("prompt_guards", _heuristics, f"WITH {sql.prompt_guard(_BOTH, 'injection', 0.6, 'i')}, {sql.prompt_guard(_BOTH, 'leakage', 0.6, 'l')} SELECT guard_name, entity_type, confidence, count(*) AS n FROM (SELECT * FROM i UNION ALL SELECT * FROM l) GROUP BY ALL")
 
 
 # --- engine ----------------------------------------------------------------------------------------------------------
@@ -348,8 +291,21 @@ def _engine(spark: SparkSession, d: str, policy: str) -> DataFrame:
     return x.select("scan_id", "passed", "redacted", F.col("risk.level").alias("level"), F.col("risk.score").alias("score"), F.size("risk.issues").alias("n_issues"), F.size("risk.test_data_flags").alias("n_test_flags"))
 
 
-_add("policy_scan_moderate", partial(_engine, policy="moderate"))
-_add("policy_scan_strict", partial(_engine, policy="strict"))
+def _engine_sql(p: Policy, source: str = _REQUESTS) -> str:
+    """CTEs that end with d (g, k, body, ...): what the policy's guards find."""
+    at = {g: c.threshold for g, c in p.guards.items()}
+    return "WITH " + sql.engine(source, select(pii.RULES, None, at["pii"]), at["pii"], select(secrets.RULES, None, at["secret"]), at["secret"], at["injection"])
+
+
+def _policy_sql(p: Policy) -> str:
+    return f"""{_engine_sql(p)}, {sql.redacted("(SELECT * FROM d WHERE disposition <> 'informational')", _REQUESTS, "z")},
+        a AS (SELECT k, bool_and(g = 4) AS passed, max(score) FILTER (NOT starts_with(entity_type, 'TEST_DATA_')) AS score, count(DISTINCT guard_name || entity_type) FILTER (NOT starts_with(entity_type, 'TEST_DATA_')) AS n_issues, count(*) FILTER (starts_with(entity_type, 'TEST_DATA_')) AS n_flags FROM d GROUP BY k)
+        SELECT scan_id, coalesce(passed, true) AS passed, redacted, {sql.levels("coalesce(score, 0)", p.risk_thresholds)} AS level, coalesce(score, 0.0::DOUBLE) AS score, CAST(coalesce(n_issues, 0) AS INTEGER) AS n_issues, CAST(coalesce(n_flags, 0) AS INTEGER) AS n_test_flags
+        FROM {_ROWS_OF_REQUESTS} r LEFT JOIN a USING (k) LEFT JOIN z USING (k)"""
+
+
+_add("policy_scan_moderate", partial(_engine, policy="moderate"), _policy_sql(MODERATE))
+_add("policy_scan_strict", partial(_engine, policy="strict"), _policy_sql(STRICT))
 
 
 def _engine_types(spark: SparkSession, d: str) -> DataFrame:
@@ -357,7 +313,54 @@ def _engine_types(spark: SparkSession, d: str) -> DataFrame:
     return e.detections(table(spark, d, "scan_requests"), "scan_id").groupBy("guard_name", "entity_type", "confidence").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
 
 
-_add("engine_detections", _engine_types)
+_add("engine_detections", _engine_types, f"{_engine_sql(MODERATE)} SELECT guard_name, entity_type, confidence, count(*) AS n, max(score) AS max_score FROM d GROUP BY ALL")
+
+
+def _guard_results(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict of each guard that found something."""
+    x = create_engine("moderate").analyze(table(spark, d, "scan_requests").where("text is not null").select("scan_id", "text"))
+    return x.select("scan_id", F.inline("results")).where(F.size("detections") > 0).select("scan_id", "guard_name", "passed", "reason", "score", F.size("detections").alias("n"), "redacted_text")
+
+
+_MODES = {g: p.mode for g, p in MODERATE.guards.items()}
+_add("guard_results_of_engine", _guard_results, f"""{_engine_sql(MODERATE)}, {sql.redacted("(SELECT g::VARCHAR || '#' || k AS k, body, entity_type, start_pos, end_pos FROM d)", f"SELECT g.g::VARCHAR || '#' || k AS k, body FROM ({_REQUESTS}) CROSS JOIN (SELECT DISTINCT g FROM d) g", "z")},
+    o AS (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY CASE WHEN g IN (0, 4) THEN start_pos ELSE 0 END, ord) AS no FROM d), f AS (SELECT g, k, guard_name, entity_type, min(no) AS no FROM o GROUP BY ALL),
+    r AS (SELECT g, k, string_agg(entity_type, ', ' ORDER BY no) AS types FROM f GROUP BY g, k), e AS (SELECT g, k, guard_name, count(*) AS n, max(score) AS score FROM d GROUP BY ALL)
+    SELECT CAST(split_part(e.k, '|', 1) AS BIGINT) AS scan_id, guard_name, g = 4 AS passed, CASE WHEN g = 4 THEN 'Test data detected: ' ELSE 'Detected: ' END || types AS reason, score, CAST(n AS INTEGER) AS n,
+           CASE WHEN guard_name IN ({", ".join(repr(g) for g, m in _MODES.items() if m == "redact")}) THEN redacted END AS redacted_text
+    FROM e JOIN r USING (g, k) JOIN z ON z.k = e.g::VARCHAR || '#' || e.k""")
+
+
+def _policy_issues(spark: SparkSession, d: str) -> DataFrame:
+    x = create_engine("moderate").policy_scan(table(spark, d, "scan_requests").where("text is not null").select("scan_id", "text"))
+    return x.select("scan_id", F.posexplode("risk.issues").alias("no", "i")).select("scan_id", "no", "i.*")
+
+
+_add("policy_issues", _policy_issues, f"""{_engine_sql(MODERATE)}, t AS (SELECT * FROM d WHERE starts_with(entity_type, 'TEST_DATA_')),
+    x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY g, CASE WHEN g = 0 THEN start_pos ELSE 0 END, ord) AS no, EXISTS (SELECT 1 FROM t WHERE t.k = d.k AND t.start_pos < d.end_pos AND t.end_pos > d.start_pos) AS fake FROM d WHERE NOT starts_with(entity_type, 'TEST_DATA_')),
+    u AS (SELECT k, guard_name, entity_type, max(score) AS score, count(*) AS n, bool_or(fake) AS fake, first(text ORDER BY no) AS text, min(no) AS no FROM x GROUP BY k, guard_name, entity_type),
+    v AS (SELECT *, {sql.levels("score", MODERATE.risk_thresholds)} AS severity FROM u)
+    SELECT CAST(split_part(k, '|', 1) AS BIGINT) AS scan_id, CAST(row_number() OVER (PARTITION BY k ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, n DESC, no) - 1 AS INTEGER) AS no,
+           guard_name AS category, entity_type, severity, CAST(n AS INTEGER) AS count, fake AS is_test_data, left(text, 50) AS sample FROM v""")
+
+
+def _policy_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    x = create_engine("moderate").policy_scan(table(spark, d, "scan_requests").where("text is not null").select("scan_id", "text"))
+    x = x.select(F.explode("risk.guards").alias("guard_name", "v")).select("guard_name", "v.*")
+    return x.groupBy("guard_name", "level").agg(F.count("*").alias("texts"), F.sum("detection_count").alias("detections"), F.max("score").alias("max_score"))
+
+
+_add("policy_guard_breakdown", _policy_breakdown, f"""{_engine_sql(MODERATE)}, n AS (SELECT unnest(['pii', 'secret', 'injection', 'leakage']) AS guard_name),
+    x AS (SELECT guard_name, k, coalesce(max(d.score), 0.0::DOUBLE) AS score, count(*) FILTER (d.entity_type IS NOT NULL AND NOT starts_with(d.entity_type, 'TEST_DATA_')) AS n FROM ({_REQUESTS}) t CROSS JOIN n LEFT JOIN d USING (k, guard_name) GROUP BY guard_name, k)
+    SELECT guard_name, {sql.levels("score", MODERATE.risk_thresholds)} AS level, count(*) AS texts, CAST(sum(n) AS BIGINT) AS detections, max(score) AS max_score FROM x GROUP BY ALL""")
+
+
+def _tally(spark: SparkSession, d: str) -> DataFrame:
+    return create_engine("moderate").level_tally(table(spark, d, "scan_requests"))
+
+
+_add("policy_level_tally", _tally, f"""{_engine_sql(MODERATE)}, a AS (SELECT k, max(score) FILTER (NOT starts_with(entity_type, 'TEST_DATA_')) AS score FROM d GROUP BY k)
+    SELECT {sql.levels("coalesce(score, 0)", MODERATE.risk_thresholds)} AS level, count(*) AS n FROM {_ROWS_OF_REQUESTS} LEFT JOIN a USING (k) GROUP BY 1""")
 
 
 def _type_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -365,7 +368,7 @@ def _type_filter(spark: SparkSession, d: str) -> DataFrame:
     return e.detections(table(spark, d, "scan_requests"), "scan_id").groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-_add("entity_type_filter", _type_filter)
+_add("entity_type_filter", _type_filter, f"WITH {sql.scan(_REQUESTS, select(pii.RULES, ['EMAIL_ADDRESS', 'US_SSN', 'UK_NINO'], 0.5), 'pii', 0.5)}, {sql.disjoint('s', 'o')} SELECT entity_type, count(*) AS n FROM o GROUP BY 1")
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
@@ -373,7 +376,10 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     return e.redact_fields(table(spark, d, "documents"), "doc_id", ["subject", "from_addr"])
 
 
-_add("redact_record_fields", _fields)
+_FIELD_ROWS = "SELECT doc_id::VARCHAR || '|' || field AS k, body FROM (SELECT doc_id, 'subject' AS field, subject AS body FROM documents UNION ALL SELECT doc_id, 'from_addr', from_addr FROM documents)"
+_FIELDS = f"{_FIELD_ROWS} WHERE body IS NOT NULL"
+_add("redact_record_fields", _fields, f"""{_engine_sql(MODERATE, _FIELDS)}, {sql.redacted("(SELECT * FROM d WHERE disposition <> 'informational')", _FIELDS, "z")}, a AS (SELECT k, max(score) FILTER (NOT starts_with(entity_type, 'TEST_DATA_')) AS score FROM d GROUP BY k)
+    SELECT CAST(split_part(k, '|', 1) AS BIGINT) AS doc_id, split_part(k, '|', 2) AS field, body AS text, redacted, {sql.levels("coalesce(score, 0)", MODERATE.risk_thresholds)} AS level FROM ({_FIELD_ROWS}) LEFT JOIN a USING (k) LEFT JOIN z USING (k)""")
 
 
 def _deep(spark: SparkSession, d: str) -> DataFrame:
@@ -383,15 +389,40 @@ def _deep(spark: SparkSession, d: str) -> DataFrame:
     return x.select("scan_id", "result.passed", "result.reason", "result.score")
 
 
-_add("deep_scan", _deep)
+# The guards at their own thresholds; then pairs of words, surer the longer they are; then the reviewer, who takes all as persons.
+_NAMES = Rule("PERSON", (r"\b[A-Z][a-z]+ [A-Z][a-z]+\b",), "model", 0.5, "medium")
+_add("deep_scan", _deep, f"""WITH {sql.engine(_REQUESTS, select(pii.RULES, None, 0.5), 0.5, select(secrets.RULES, None, 0.5), 0.5, 0.6)}, {sql.scan(_REQUESTS, (_NAMES,), "m", None, name="m")},
+    n AS (SELECT *, least(0.99::DOUBLE, 0.5::DOUBLE + 0.02::DOUBLE * length(text)) AS p FROM m WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.k = m.k AND d.start_pos < m.end_pos AND d.end_pos > m.start_pos)),
+    x AS (SELECT k, g, CASE WHEN g IN (0, 4) THEN start_pos ELSE ord END AS no, entity_type, 'regex' AS source, score FROM d
+          UNION ALL SELECT k, CASE WHEN p >= 0.75 THEN 5 ELSE 6 END, start_pos, 'PERSON', CASE WHEN p >= 0.75 THEN 'bert' ELSE 'llm' END, CASE WHEN p >= 0.75 THEN p ELSE 0.92 END FROM n),
+    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY g, no) AS i FROM x), u AS (SELECT k, source, min(i) AS i FROM o GROUP BY ALL), v AS (SELECT k, entity_type, min(i) AS i FROM o GROUP BY ALL),
+    r AS (SELECT k, 'Detected via ' || us || ': ' || vs AS reason FROM (SELECT k, string_agg(source, ', ' ORDER BY i) AS us FROM u GROUP BY k) JOIN (SELECT k, string_agg(entity_type, ', ' ORDER BY i) AS vs FROM v GROUP BY k) USING (k)), s AS (SELECT k, max(score) AS score FROM o GROUP BY k)
+    SELECT CAST(split_part(t.k, '|', 1) AS BIGINT) AS scan_id, r.k IS NULL AS passed, coalesce(reason, 'No issues detected') AS reason, coalesce(score, 0.0::DOUBLE) AS score FROM ({_REQUESTS}) t LEFT JOIN r USING (k) LEFT JOIN s USING (k)""")
+
+
+def _custom_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of one's own, more than are handled as columns, with escapes and optional digits in their expressions."""
+    g = guards.PiiGuard(config=guards.GuardConfig(threshold=None), entity_types=("NONE",), custom=_CUSTOM)
+    return ScanEngine((g,)).detections(table(spark, d, "scan_requests"), "scan_id").select("scan_id", "entity_type", "start_pos", "end_pos", F.col("text").alias("match"))
+
+
+_CUSTOM = tuple(
+    Rule(f"CUSTOM_{i}", (p,), "custom", 0.7, "low", ignore_case=c)
+    for i, (p, c) in enumerate(((r"\bT-\d{6}\b", False), (r"[:=]\s*\n\s+\w+", False), (r"\b[A-Z\d]{8}\b", False), (r"id\d*[-_/]\w+", True), (r"\t+\w+", False), (r"(?:order|ticket|case)s?\s+(?:no\.?\s*)?\d+", True), (r"\(\d{3}\)", False)))
+)
+_add("custom_rule_wide", _custom_wide, f"WITH {sql.scan(_REQUESTS, _CUSTOM, 'pii', None)}, {sql.disjoint('s', 'o')} SELECT CAST(split_part(k, '|', 1) AS BIGINT) AS scan_id, entity_type, start_pos, end_pos, text AS match FROM o")
+
+# --- a planted text for each rule ------------------------------------------------------------------------------------
+
+for _family, _rules, _samples in planted.FAMILIES:
+    _add(f"planted_{_family.replace('-', '_')}", partial(planted.detections, rules=_rules, samples=_samples), planted.detections_sql(_rules, _samples))
 
 # --- results of an earlier scanner -----------------------------------------------------------------------------------
 
 _SPAN_COLUMNS = ["scan_id", "guard_name", "entity_type", "start_pos", "end_pos"]
 
 
-def _levels_sql(score: str, t: RiskThresholds) -> str:
-    return f"CASE WHEN {score} >= {t.critical} THEN 'critical' WHEN {score} >= {t.high} THEN 'high' WHEN {score} >= {t.medium} THEN 'medium' WHEN {score} >= {t.low} THEN 'low' ELSE 'none' END"
+_levels_sql = sql.levels
 
 
 def _risk_level(spark: SparkSession, d: str, t: RiskThresholds) -> DataFrame:
@@ -404,13 +435,13 @@ for _p in (STRICT, MODERATE):
 
 
 def _risk_issues(spark: SparkSession, d: str) -> DataFrame:
-    x = risk.issue_rows(table(spark, d, "detections").where("text is not null"), "scan_id", MODERATE.risk_thresholds)
+    x = risk.issue_rows(table(spark, d, "detections"), "scan_id", MODERATE.risk_thresholds)
     return x.select("scan_id", "guard_name", "entity_type", risk.category_of(F.col("guard_name")).alias("category"), "severity", "score", "count", "sample")
 
 
 _add("risk_issues", _risk_issues, f"""SELECT scan_id, guard_name, entity_type, CASE WHEN guard_name IN ('pii','secret','injection','leakage','testdata') THEN guard_name ELSE 'pii' END AS category,
-    {_levels_sql("max(score)", MODERATE.risk_thresholds)} AS severity, max(score) AS score, count(*) AS count, substr(first(text ORDER BY ord, text), 1, 50) AS sample
-    FROM detections WHERE text IS NOT NULL AND NOT starts_with(entity_type, 'TEST_DATA_') GROUP BY scan_id, guard_name, entity_type""")
+    {_levels_sql("max(score)", MODERATE.risk_thresholds)} AS severity, max(score) AS score, count(*) AS count, substr(list(text ORDER BY ord, text NULLS FIRST)[1], 1, 50) AS sample
+    FROM detections WHERE NOT starts_with(entity_type, 'TEST_DATA_') GROUP BY scan_id, guard_name, entity_type""")
 
 
 def _guard_breakdown(spark: SparkSession, d: str) -> DataFrame:
@@ -425,13 +456,14 @@ _add("risk_guard_breakdown", _guard_breakdown, f"""SELECT guard_name, {_levels_s
 
 
 def _reason(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "guard_results").where("detections is not null")
-    types = F.array_distinct(F.transform("detections", lambda q: q["entity_type"]))
-    return x.select("scan_id", "guard_name", F.when(F.size("detections") == 0, "No issues detected").otherwise(F.concat(F.lit("Detected: "), F.array_join(F.array_sort(types), ", "))).alias("reason"), (F.size("detections") == 0).alias("passed"), risk.best_score(F.col("detections")).alias("score"))
+    g = guards.Guard(config=guards.GuardConfig(mode="block"))
+    x = table(spark, d, "guard_results")
+    return x.select("scan_id", x["guard_name"].alias("guard"), g.result(F.lit(""), F.coalesce("detections", F.array().cast(x.schema["detections"].dataType))).alias("r")).select("scan_id", "guard", "r.passed", "r.reason", "r.score")
 
 
-_add("guard_result_reason", _reason, """SELECT scan_id, guard_name, CASE WHEN len(detections) = 0 THEN 'No issues detected' ELSE 'Detected: ' || array_to_string(list_sort(list_distinct(list_transform(detections, lambda q: q.entity_type))), ', ') END AS reason,
-    len(detections) = 0 AS passed, coalesce(list_max(list_transform(detections, lambda q: q.score)), 0.0::DOUBLE) AS score FROM guard_results WHERE detections IS NOT NULL""")
+_add("guard_result_reason", _reason, """SELECT scan_id, guard_name AS guard, coalesce(len(detections), 0) = 0 AS passed, CASE WHEN coalesce(len(detections), 0) = 0 THEN 'No issues detected' ELSE 'Detected: ' || array_to_string(
+        list_reduce(list_transform(detections, lambda q: [q.entity_type]), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_concat(a, x) END), ', ') END AS reason,
+    coalesce(list_max(list_transform(detections, lambda q: q.score)), 0.0::DOUBLE) AS score FROM guard_results""")
 
 
 def _pass_fail(spark: SparkSession, d: str) -> DataFrame:
@@ -442,11 +474,11 @@ _add("scan_pass_fail", _pass_fail, "SELECT scan_id, bool_and(passed) AS passed,
 
 
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "detections").where("guard_name is not null and source is not null")
+    x = table(spark, d, "detections").na.fill("none", ["guard_name", "source"])
     return x.rollup("guard_name", "source").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
 
 
-_add("risk_by_guard_source", _rollup, "SELECT guard_name, source, count(*) AS n, max(score) AS max_score FROM detections WHERE guard_name IS NOT NULL AND source IS NOT NULL GROUP BY ROLLUP (guard_name, source)")
+_add("risk_by_guard_source", _rollup, "SELECT guard_name, source, count(*) AS n, max(score) AS max_score FROM (SELECT coalesce(guard_name, 'none') AS guard_name, coalesce(source, 'none') AS source, score FROM detections) GROUP BY ROLLUP (guard_name, source)")
 
 
 def _anti(spark: SparkSession, d: str) -> DataFrame:
@@ -475,12 +507,12 @@ _add("cascade_dispositions", lambda s, d: cascade.summary(table(s, d, "detection
 
 
 def _diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "detections").where("guard_name is not null and disposition is not null and confidence is not null")
+    x = table(spark, d, "detections")
     return x.groupBy(cascade.severity(F.col("guard_name"), F.col("disposition"), F.col("confidence")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 _add("diagnostic_severity", _diagnostics, """SELECT CASE WHEN disposition = 'escalate' THEN 'info' WHEN disposition = 'dismissed' THEN 'hint' WHEN guard_name IN ('secret', 'injection') THEN 'error' WHEN confidence = 'high' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n
-    FROM detections WHERE guard_name IS NOT NULL AND disposition IS NOT NULL AND confidence IS NOT NULL GROUP BY 1""")
+    FROM detections GROUP BY 1""")
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -498,7 +530,14 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return x.join(t, "scan_id").select("detection_id", cascade.sentence_window(F.col("text"), F.col("start_pos"), F.col("end_pos")).alias("context"))
 
 
-_add("sentence_context", _sentences)
+# The ends of sentences as places; a sentence begins where one ends, and with the text.
+_add("sentence_context", _sentences, r"""WITH x AS (SELECT DISTINCT scan_id, detection_id, start_pos, end_pos FROM detections WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL),
+    t AS (SELECT scan_id, list(text ORDER BY ingested_at DESC NULLS LAST)[1] AS text FROM scan_requests WHERE text IS NOT NULL GROUP BY scan_id),
+    m AS (SELECT *, regexp_extract_all(text, '[.!?]+""" + sql.expression(r"\s+")[1:-1] + r"""') AS ms, string_split_regex(text, '[.!?]+""" + sql.expression(r"\s+")[1:-1] + r"""') AS ps FROM x JOIN t USING (scan_id)),
+    s AS (SELECT *, [0] || list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(ps[1:i], lambda q: length(q))) + list_sum(list_transform(ms[1:i], lambda q: length(q))) AS BIGINT)) AS ends FROM m),
+    p AS (SELECT *, len(list_filter(ends, lambda e: e <= start_pos)) - 1 AS a, len(list_filter(ends, lambda e: e < greatest(end_pos, start_pos + 1))) - 1 AS z FROM s),
+    q AS (SELECT *, ends[greatest(a - 3, 0) + 1] AS b, coalesce(ends[z + 3 + 2], length(text)) AS e FROM p)
+    SELECT detection_id, trim(substr(text, CAST(b AS INTEGER) + 1, CAST(e - b AS INTEGER)), ' ') AS context FROM q""")
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
@@ -548,7 +587,7 @@ _add("ner_label_counts", lambda s, d: evaluation.label_counts(table(s, d, "ner_e
 
 def _size_guard(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "scan_requests").where("text is not null")
-    return x.groupBy("route").agg(F.count("*").alias("n"), F.count(F.when(F.octet_length("text") <= 1024, 1)).alias("within"), F.max(F.length("text")).cast("bigint").alias("longest"))
+    return x.groupBy("route").agg(F.count("*").alias("n"), F.count(F.when(io.within(F.col("text"), 1024), 1)).alias("within"), F.max(F.length("text")).cast("bigint").alias("longest"))
 
 
 _add("request_size_guard", _size_guard, "SELECT route, count(*) AS n, count(*) FILTER (strlen(text) <= 1024) AS within, CAST(max(length(text)) AS BIGINT) AS longest FROM scan_requests WHERE text IS NOT NULL GROUP BY route")
