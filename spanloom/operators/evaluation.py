@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,11 @@ def align(start: int, end: int, offsets: list[tuple[int, int]]) -> list[int]:
     return [i for i, (a, b) in enumerate(offsets) if a < end and b > start]
 
 
+def aligned(start: Column, end: Column, tokens: Column) -> Column:
+    """The same as a column: indexes of the tokens (structs of start_pos and end_pos) that overlap a span."""
+    return F.filter(F.transform(tokens, lambda t, i: F.when((t["start_pos"] < end) & (t["end_pos"] > start), i)), lambda i: i.isNotNull())
+
+
 def split_by_hash(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """``df`` with a column ``split``: the same rows in the same split on any cluster, by a hash of the key."""
     u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / F.lit(1_000_000.0)

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from queue import Empty, Queue
+from threading import Thread
+from uuid import uuid4
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import spans
 
 THRESHOLD = 0.75
+REVIEW_SECONDS = 10.0
 SENTENCES, CONFIRMED_SHOWN = 3, 10
 #: (label, score, start, end) of each span of each text; labels may carry B- and I- prefixes.
 Scorer = Callable[[list[str]], list[list[tuple[str, float, int, int]]]]
@@ -31,6 +35,21 @@ def capitalised_words(texts: list[str]) -> list[list[tuple[str, float, int, int]
     return [[("B-PERSON", min(0.99, 0.5 + 0.02 * len(m.group())), m.start(), m.end()) for m in re.finditer(r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", t, re.ASCII)] for t in texts]
 
 
+_LOADED: dict[str, Scorer] = {}
+
+
+class LoadedOnce:
+    """A scorer whose model is loaded on first use, once in each worker, by a function that travels in its place."""
+
+    def __init__(self, load: Callable[[], Scorer]) -> None:
+        self.load, self.name = load, uuid4().hex
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[str, float, int, int]]]:
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.load()
+        return _LOADED[self.name](texts)
+
+
 def model_spans(df: DataFrame, key: str, text: str, scorer: Scorer) -> DataFrame:
     """``df`` with a column ``_spans``; a null or empty text is not sent to the model and has none."""
 
@@ -93,8 +112,31 @@ def reviewed(d: Column, answer: Column, failed: Column) -> Column:
     return F.when(failed, d).otherwise(kept)
 
 
-def with_retry(call: Callable[[str], str], errors: tuple[type[Exception], ...] = (ConnectionError, TimeoutError)) -> Reviewer:
-    """A reviewer from a function for one prompt: one retry on network errors, any other error fails the call."""
+def with_retry(call: Callable[[str], str], errors: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), timeout: float | None = REVIEW_SECONDS) -> Reviewer:
+    """A reviewer from a function for one prompt: one retry on network errors, any other error fails the call.
+
+    A call that takes longer than ``timeout`` seconds counts as a network error; None waits for ever.
+    """
+
+    def asked(p: str) -> str:
+        if timeout is None:
+            return call(p)
+        answer: Queue = Queue()
+
+        def run() -> None:
+            try:
+                answer.put((call(p), None))
+            except Exception as e:  # noqa: BLE001
+                answer.put((None, e))
+
+        Thread(target=run, daemon=True).start()  # a call that hangs is left behind and does not hold up the worker's end
+        try:
+            got, error = answer.get(timeout=timeout)
+        except Empty:
+            raise TimeoutError from None
+        if error is not None:
+            raise error
+        return got
 
     def review(prompts: list[str]) -> list[str | None]:
         out: list[str | None] = []
@@ -102,7 +144,7 @@ def with_retry(call: Callable[[str], str], errors: tuple[type[Exception], ...] =
             answer = None
             for attempt in (0, 1):
                 try:
-                    answer = call(p)
+                    answer = asked(p)
                     break
                 except errors:
                     if attempt:
@@ -163,6 +205,22 @@ def deep_scan(first: DataFrame, key: str, text: str, scorer: Scorer | None, revi
     return x.select(key, text, cascade_result(F.col("detections")).alias("result"))
 
 
+def without_dismissed(long: DataFrame, dismissed: DataFrame, key: str) -> DataFrame:
+    """Detections but those that a reader has dismissed: ``dismissed`` has the key, start_pos, end_pos and entity_type."""
+    marks = ("start_pos", "end_pos", "entity_type")
+    d = dismissed.select(F.col(key).alias("_k"), *[F.col(m).alias(f"_{m}") for m in marks]).distinct()
+    on = long[key] == d["_k"]
+    for m in marks:
+        on = on & long[m].eqNullSafe(d[f"_{m}"])
+    return long.join(d, on, "left_anti")
+
+
+def lines(long: DataFrame, key: str, shown: int = 40) -> DataFrame:
+    """(key, line): a line to read for each detection, of its type, place, confidence, source and the begin of its text."""
+    text = F.when(F.length("text") > shown, F.concat(F.left("text", F.lit(shown)), F.lit("…"))).otherwise(F.coalesce("text", F.lit("")))
+    return long.select(key, F.concat_ws(" ", "entity_type", F.concat(F.lit("at "), F.col("start_pos"), F.lit("-"), F.col("end_pos")), F.concat(F.lit("("), F.concat_ws(", ", "confidence", "source", "disposition"), F.lit(")")), text).alias("line"))
+
+
 def summary(long: DataFrame) -> DataFrame:
     """Counts of detections by source and disposition."""
     return long.groupBy("source", "disposition").agg(F.count("*").alias("n"))

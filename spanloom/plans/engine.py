@@ -68,11 +68,12 @@ class ScanEngine:
         every = F.filter(F.flatten(F.transform(results, lambda r: r["detections"])), lambda d: d["disposition"] != "informational")
         return F.when(F.size(every) > 0, spans.redact(text, every)).otherwise(text)
 
-    def detections(self, df: DataFrame, key: str, text: str = "text") -> DataFrame:
-        """Long form: key, then the fields of a detection; ``ord`` counts within guard and text."""
+    def detections(self, df: DataFrame, key: str, text: str = "text", fields: list[str] | None = None) -> DataFrame:
+        """Long form: key, then the fields of a detection, all or those wanted; ``ord`` counts within guard and text."""
         x = self.detections_of(df.select(key, text), text)
         every = F.concat(*[F.col(f"_{g.name}") for g in self._active()])
-        return x.select(key, F.inline(every))
+        out = x.select(key, F.inline(every))
+        return out if fields is None else out.select(key, *fields)
 
     def redact(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with its text redacted."""

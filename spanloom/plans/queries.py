@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanloom.catalog import pii, prompts, secrets
 from spanloom.catalog.model import Rule, java_regex, rules_of_type, select
 from spanloom.functions import checksums, similarity, spans
-from spanloom.operators import evaluation, guards
+from spanloom.operators import evaluation, guards, intervals
 from spanloom.plans import cascade, planted, risk, sql
 from spanloom.plans.engine import ScanEngine, create_engine
 from spanloom.plans.policy import MODERATE, STRICT, Policy, RiskThresholds
@@ -482,11 +482,9 @@ _add("risk_by_guard_source", _rollup, "SELECT guard_name, source, count(*) AS n,
 
 
 def _anti(spark: SparkSession, d: str) -> DataFrame:
-    """Model spans that overlap no span of the rules: an equi-join on the request with a range, as a left anti join."""
+    """Model spans that overlap no span of the rules."""
     x = table(spark, d, "detections").where("start_pos is not null and end_pos is not null").select("detection_id", "scan_id", "source", "start_pos", "end_pos", "entity_type").distinct()
-    m, r = x.where("source = 'bert'").alias("m"), x.where("source = 'regex'").alias("r")
-    on = (F.col("m.scan_id") == F.col("r.scan_id")) & (F.col("m.start_pos") < F.col("r.end_pos")) & (F.col("m.end_pos") > F.col("r.start_pos"))
-    return m.join(r, on, "left_anti").select("detection_id", "scan_id", "entity_type")
+    return intervals.without_overlap(x.where("source = 'bert'"), x.where("source = 'regex'"), "scan_id", "detection_id").select("detection_id", "scan_id", "entity_type")
 
 
 _add("cascade_anti_join", _anti, """WITH x AS (SELECT DISTINCT detection_id, scan_id, source, start_pos, end_pos, entity_type FROM detections WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL)
@@ -495,9 +493,8 @@ _add("cascade_anti_join", _anti, """WITH x AS (SELECT DISTINCT detection_id, sca
 
 def _overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "detections").where("start_pos is not null and end_pos is not null").select("detection_id", "scan_id", "start_pos", "end_pos").distinct()
-    a, b = x.alias("a"), x.alias("b")
-    on = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.detection_id") < F.col("b.detection_id")) & (F.col("a.start_pos") < F.col("b.end_pos")) & (F.col("a.end_pos") > F.col("b.start_pos"))
-    return a.join(b, on).select(F.col("a.detection_id").alias("first_id"), F.col("b.detection_id").alias("second_id"))
+    pairs = intervals.overlapping(x, x, "scan_id", F.col("a_detection_id") < F.col("b_detection_id"))
+    return pairs.select(F.col("a_detection_id").alias("first_id"), F.col("b_detection_id").alias("second_id"))
 
 
 _add("span_overlap_pairs", _overlap_pairs, """WITH x AS (SELECT DISTINCT detection_id, scan_id, start_pos, end_pos FROM detections WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL)
@@ -585,6 +582,31 @@ _add("ner_label_counts", lambda s, d: evaluation.label_counts(table(s, d, "ner_e
     SELECT split_name, label, count(*) AS n FROM t LEFT JOIN ner_labels USING (tag_id) GROUP BY split_name, label""")
 
 
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Which words of its text each detection covers; words are given by their places."""
+    x = table(spark, d, "detections").where("start_pos is not null and end_pos is not null").select("scan_id", "detection_id", "start_pos", "end_pos").distinct()
+    t = table(spark, d, "scan_requests").where("text is not null").groupBy("scan_id").agg(F.max_by("text", "ingested_at").alias("text")).select("scan_id", spans.find_all(F.col("text"), "[A-Za-z0-9]+").alias("words"))
+    return x.join(t, "scan_id").select("detection_id", F.array_join(evaluation.aligned(F.col("start_pos"), F.col("end_pos"), F.col("words")), ",").alias("words"))
+
+
+_add("span_token_alignment", _aligned, """WITH x AS (SELECT DISTINCT scan_id, detection_id, start_pos, end_pos FROM detections WHERE start_pos IS NOT NULL AND end_pos IS NOT NULL),
+    t AS (SELECT scan_id, list(text ORDER BY ingested_at DESC NULLS LAST)[1] AS text FROM scan_requests WHERE text IS NOT NULL AND scan_id IN (SELECT scan_id FROM x) GROUP BY scan_id),
+    m AS (SELECT scan_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS ms, string_split_regex(text, '[A-Za-z0-9]+') AS ps FROM t),
+    w AS (SELECT scan_id, i, CAST(list_sum(list_transform(ps[1:i], lambda q: length(q))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda q: length(q))), 0) AS BIGINT) AS s, length(ms[i]) AS n FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m)),
+    c AS (SELECT detection_id, start_pos, end_pos, string_agg((i - 1)::VARCHAR, ',' ORDER BY i) FILTER (s < end_pos AND s + n > start_pos) AS words FROM x JOIN t USING (scan_id) LEFT JOIN w USING (scan_id) GROUP BY ALL)
+    SELECT detection_id, coalesce(words, '') AS words FROM c""")
+
+
+def _undismissed(spark: SparkSession, d: str) -> DataFrame:
+    """Findings that a reader has not waved through: those of low confidence in the earlier results are taken as waved through."""
+    x = table(spark, d, "detections").where("scan_id is not null")
+    return cascade.without_dismissed(x, x.where("confidence = 'low'"), "scan_id").groupBy("guard_name", "confidence").agg(F.count("*").alias("n"))
+
+
+_add("findings_not_dismissed", _undismissed, """SELECT guard_name, confidence, count(*) AS n FROM detections d WHERE scan_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM detections l WHERE l.confidence = 'low' AND l.scan_id = d.scan_id
+    AND l.start_pos IS NOT DISTINCT FROM d.start_pos AND l.end_pos IS NOT DISTINCT FROM d.end_pos AND l.entity_type IS NOT DISTINCT FROM d.entity_type) GROUP BY ALL""")
+
+
 def _size_guard(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "scan_requests").where("text is not null")
     return x.groupBy("route").agg(F.count("*").alias("n"), F.count(F.when(io.within(F.col("text"), 1024), 1)).alias("within"), F.max(F.length("text")).cast("bigint").alias("longest"))

@@ -25,40 +25,46 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 class Snapshot:
-    """A folder with the latest result of each document, replaced batch by batch.
+    """A folder with the latest result of each document.
 
-    A batch writes a new version and then moves the pointer, so a repeated batch after a failure changes nothing twice.
-    Rows whose ``deleted`` column is true remove their document.
+    A batch adds a version of its own rows and then moves the pointer, so it costs what the batch is worth, and a repeated
+    batch after a failure changes nothing twice. Readers take the last row of each document over all versions; after
+    COMPACT of them they are written as one. Rows whose ``deleted`` column is true remove their document.
     """
 
+    COMPACT = 16
+
     def __init__(self, path: str, key: str, order: str, deleted: str | None = None) -> None:
         self.path, self.key, self.order, self.deleted = path, key, order, deleted
 
     def _pointer(self, spark: SparkSession) -> dict:
         rows = spark.read.text(f"{self.path}/current").collect() if self._exists(spark, f"{self.path}/current") else []
-        return json.loads(rows[0].value) if rows else {"batch": -1, "version": None}
+        return json.loads(rows[0].value) if rows else {"batch": -1, "versions": []}
 
     @staticmethod
     def _exists(spark: SparkSession, path: str) -> bool:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _merged(self, spark: SparkSession, versions: list[str]) -> DataFrame:
+        new = latest(spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{v}" for v in versions]), self.key, self.order)
+        return new.where(~F.coalesce(F.col(self.deleted), F.lit(False))) if self.deleted else new
+
     def read(self, spark: SparkSession) -> DataFrame | None:
-        version = self._pointer(spark)["version"]
-        return spark.read.parquet(f"{self.path}/{version}") if version else None
+        versions = self._pointer(spark)["versions"]
+        return self._merged(spark, versions) if versions else None
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = self._pointer(spark)
         if now["batch"] >= batch_id:
             return
-        old = self.read(spark)
-        new = latest(batch if old is None else old.unionByName(batch, allowMissingColumns=True), self.key, self.order)
-        if self.deleted:
-            new = new.where(~F.coalesce(F.col(self.deleted), F.lit(False)))
-        version = f"v{batch_id}"
-        new.write.mode("overwrite").parquet(f"{self.path}/{version}")
-        spark.createDataFrame([(json.dumps({"batch": batch_id, "version": version}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        versions = [*now["versions"], f"v{batch_id}"]
+        latest(batch, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/{versions[-1]}")
+        if len(versions) > self.COMPACT:
+            self._merged(spark, versions).write.mode("overwrite").parquet(f"{self.path}/c{batch_id}")
+            versions = [f"c{batch_id}"]
+        spark.createDataFrame([(json.dumps({"batch": batch_id, "versions": versions}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
 
 
 def keep_latest(stream: DataFrame, snapshot: Snapshot, checkpoint: str, every: str = "500 milliseconds", once: bool = False) -> StreamingQuery:

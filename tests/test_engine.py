@@ -1,12 +1,16 @@
 """Engine, policies, risk, cascade, streams, sources."""
 
 import json
+import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import evaluation
-from spanloom.plans import cascade, policy, risk
+from spanloom import runtime
+from spanloom.operators import evaluation, intervals
+from spanloom.plans import cascade, policy, queries, risk
 from spanloom.plans.engine import create_engine
 from spanloom.plans.policy import GuardPolicy, Policy, RiskThresholds
 from spanloom.sources import io
@@ -95,6 +99,89 @@ def test_cascade(spark):
     assert cascade.Provider().reviewer() is None
 
 
+def test_calls_that_hang_and_models_loaded_once(spark, tmp_path):
+    calls = []
+
+    def slow(p):
+        calls.append(p)
+        time.sleep(5)
+
+    began = time.time()
+    assert cascade.with_retry(slow, timeout=0.1)(["x"]) == [None] and len(calls) == 2 and time.time() - began < 3
+    mark = str(tmp_path / "loads")
+
+    def load():
+        with open(mark, "a") as f:
+            f.write("x")
+        return cascade.capitalised_words
+
+    df = spark.createDataFrame([(i, "Maximiliane Wonderland") for i in range(200)], "id int, text string").repartition(1)
+    e = create_engine()
+    scorer = cascade.LoadedOnce(load)
+    for _ in (0, 1):
+        assert all(not r.result.passed for r in e.deep_scan(df, "id", scorer).collect())
+    assert 1 <= len(open(mark).read()) <= 4  # workers, not batches or rows
+
+
+def test_dismissed_and_readable_findings(spark):
+    rows = [(1, 0, 4, "A", "text", "high", "regex", "confirmed"), (1, 0, 4, "B", "x" * 60, "low", "bert", "escalate"), (2, None, None, "A", None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, start_pos int, end_pos int, entity_type string, text string, confidence string, source string, disposition string")
+    assert {(r.id, r.entity_type) for r in cascade.without_dismissed(df, df.where("entity_type = 'B' or id = 2"), "id").collect()} == {(1, "A")}
+    got = [r.line for r in cascade.lines(df, "id").collect()]
+    assert got[0] == "A at 0-4 (high, regex, confirmed) text" and got[1].endswith("x…") and got[2].startswith("A ")
+    d = create_engine().detections(spark.createDataFrame([(1, "ssn 219-09-9998")], "id int, text string"), "id", fields=["entity_type", "score"])
+    assert d.columns == ["id", "entity_type", "score"] and d.first().entity_type == "US_SSN"
+    assert {r.level: r.n for r in create_engine("moderate").level_tally(spark.createDataFrame([("ssn 219-09-9998",), (None,), ("",)], "text string")).collect()}["none"] == 2
+
+
+def test_intervals_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "STRETCH", 5)
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "b", None]), s := rng.randrange(40), s + rng.choice([0, 1, 3, 12]), rng.random() < 0.5) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, k string, start_pos int, end_pos int, left boolean")
+    hit = lambda x, y: x[1] is not None and x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3]
+    got = [(r.a_id, r.b_id) for r in intervals.overlapping(df, df, "k", F.col("a_id") < F.col("b_id")).collect()]
+    assert sorted(got) == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and hit(x, y))
+    alone = {r.id for r in intervals.without_overlap(df.where("left"), df.where("not left"), "k", "id").collect()}
+    assert alone == {x[0] for x in rows if x[4] and not any(hit(x, y) for y in rows if not y[4])}
+
+
+def test_snapshot_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming.Snapshot, "COMPACT", 3)
+    snap = streaming.Snapshot(str(tmp_path), "id", "at", "deleted")
+    assert snap.read(spark) is None
+    for b in range(8):
+        snap.upsert(spark.createDataFrame([(b % 3, b, b == 7, f"v{b}")], "id int, at int, deleted boolean, value string"), b)
+    assert {r.id: r.value for r in snap.read(spark).collect()} == {0: "v6", 2: "v5"} and len(snap._pointer(spark)["versions"]) <= 4
+
+
+def test_spread_reckons_splits_without_running(spark, data, tmp_path):
+    df = spark.read.parquet(f"{data}/scan_requests.parquet").select("scan_id", "text")
+    assert runtime.input_bytes(df) == os.path.getsize(f"{data}/scan_requests.parquet") or runtime.input_bytes(df) > 0
+    plan = runtime.spread(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k"), spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        again = spark.read.parquet(f"{data}/scan_requests.parquet").select("scan_id", "text")
+        assert "Repartition" not in runtime.spread(again)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes"), spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("name", ["policy_scan_moderate", "deep_scan", "policy_issues", "planted_pii_eu", "planted_secret_cloud", "custom_rule_wide", "prompt_guards", "cascade_anti_join", "validate_it_fiscal", "validate_mac"])
+def test_queries_agree_with_their_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for f in os.listdir(data):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{data}/{f}'")
+    got, want = queries.queries()[name](spark, data), con.sql(queries.oracle_sql()[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    rows = lambda xs: sorted(str(tuple(x)) for x in xs)
+    a, b = rows(got.select(*names).collect()), rows(want.project(", ".join(f'"{n}"' for n in names)).fetchall())
+    assert a == b and a
+
+
 def test_one_retry_on_network_errors():
     calls = []
 
