@@ -23,6 +23,7 @@ INJECTION = (
     r"bypass\s+(?:your\s+)?(?:safety|security|content|ethical)\s+(?:filters?|guidelines?|restrictions?|rules?)",
     r"(?:from\s+now\s+on|starting\s+now|henceforth)\s*,?\s*(?:you\s+(?:will|shall|must|should))",
 )
+# Phrases that such attempts are like.
 INJECTION_PHRASES = (
     "ignore previous instructions", "disregard all prior instructions", "forget your instructions", "override system prompt", "you are now a",
     "new instructions", "jailbreak", "DAN mode", "do anything now", "bypass safety filters", "ignore content policy", "pretend you are",
@@ -30,6 +31,7 @@ INJECTION_PHRASES = (
     "developer mode", "sudo mode", "admin override", "unlock hidden features", "disable safety mode", "ignore ethical guidelines",
     "forget all rules", "you have no restrictions",
 )
+# Expressions that tell an attempt to learn instructions.
 LEAKAGE = (
     r"(?:reveal|show|display|print|output|repeat|echo)\s+(?:the\s+)?(?:system\s+)?(?:prompt|instructions?)",
     r"(?:what|tell\s+me|share)\s+(?:is\s+|are\s+)?(?:the\s+|your\s+)?(?:system\s+)?(?:prompt|instructions?|initial\s+message)",
@@ -39,6 +41,7 @@ LEAKAGE = (
     r"(?:everything|all)\s+(?:before|above|prior\s+to)\s+(?:this|my\s+message)",
     r"repeat\s+(?:everything|all|the\s+text)\s+(?:above|before|I\s+said)",
 )
+# Phrases that such attempts are like.
 LEAKAGE_PHRASES = (
     "reveal system prompt", "show me your instructions", "what is your system prompt", "display initial message", "repeat everything above",
     "copy text before my message", "what are your instructions", "print your prompt", "output your system message", "beginning of conversation",

@@ -21,8 +21,28 @@ HETU_LETTERS = "0123456789ABCDEFHJKLMNPRSTUVWXY"
 FISCAL_ODD = {c: v for c, v in zip("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23], strict=True)}
 SSN_PREFIXES = ("000", "666", "123456789", "98765432", "078051120")
 WEIGHTS = {"aba": (3, 7, 1, 3, 7, 1, 3, 7, 1), "nhs": (10, 9, 8, 7, 6, 5, 4, 3, 2, 1), "tfn": (1, 4, 3, 7, 5, 8, 6, 9, 10)}
-VERHOEFF_D = ("0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210")
-VERHOEFF_P = ("0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258")
+VERHOEFF_D = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 2, 3, 4, 0, 6, 7, 8, 9, 5),
+    (2, 3, 4, 0, 1, 7, 8, 9, 5, 6),
+    (3, 4, 0, 1, 2, 8, 9, 5, 6, 7),
+    (4, 0, 1, 2, 3, 9, 5, 6, 7, 8),
+    (5, 9, 8, 7, 6, 0, 4, 3, 2, 1),
+    (6, 5, 9, 8, 7, 1, 0, 4, 3, 2),
+    (7, 6, 5, 9, 8, 2, 1, 0, 4, 3),
+    (8, 7, 6, 5, 9, 3, 2, 1, 0, 4),
+    (9, 8, 7, 6, 5, 4, 3, 2, 1, 0),
+)
+VERHOEFF_P = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 5, 7, 6, 2, 8, 3, 0, 9, 4),
+    (5, 8, 0, 3, 7, 9, 6, 1, 4, 2),
+    (8, 9, 1, 6, 0, 4, 3, 5, 2, 7),
+    (9, 4, 5, 3, 1, 2, 6, 8, 7, 0),
+    (4, 2, 8, 6, 5, 7, 3, 9, 0, 1),
+    (2, 7, 9, 3, 8, 0, 6, 4, 1, 5),
+    (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
+)
 
 
 # --- plain functions -------------------------------------------------------------------------------------------------
@@ -140,7 +160,7 @@ def verhoeff(n: int) -> bool:
     """Of a number, so leading zeros do not count."""
     c = 0
     for i, x in enumerate(reversed(str(n))):
-        c = int(VERHOEFF_D[c][int(VERHOEFF_P[i % 8][int(x)])])
+        c = VERHOEFF_D[c][VERHOEFF_P[i % 8][int(x)]]
     return c == 0
 
 
@@ -328,7 +348,7 @@ def au_medicare_col(s: Column) -> Column:
 
 def verhoeff_col(n: Column) -> Column:
     """Of a bigint column."""
-    d, p = (F.array(*[F.lit(int(c)) for row in t for c in row]) for t in (VERHOEFF_D, VERHOEFF_P))
+    d, p = (F.array(*[F.lit(c) for row in t for c in row]) for t in (VERHOEFF_D, VERHOEFF_P))
     digits = F.transform(F.split(F.reverse(n.cast("string")), ""), lambda c, i: F.get(p, i % 8 * 10 + c.try_cast("int")))
     return F.aggregate(digits, F.lit(0), lambda a, x: F.get(d, a * 10 + x)) == 0
 

@@ -39,7 +39,7 @@ def _folded(x: str) -> str:
 
 
 def verhoeff(n: str) -> str:
-    d, p = ("[" + ", ".join(c for row in t for c in row) + "]" for t in (checksums.VERHOEFF_D, checksums.VERHOEFF_P))
+    d, p = ("[" + ", ".join(str(c) for row in t for c in row) + "]" for t in (checksums.VERHOEFF_D, checksums.VERHOEFF_P))
     each = f"list_transform(string_split(reverse(CAST({n} AS VARCHAR)), ''), lambda c, i: {p}[((i - 1) % 8) * 10 + CAST(c AS INTEGER) + 1])"
     return f"(list_reduce([0] || {each}, lambda a, x: {d}[a * 10 + x + 1]) = 0)"
 

@@ -5,12 +5,13 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom import runtime
 from spanloom.operators import evaluation, intervals
-from spanloom.plans import cascade, policy, queries, risk
+from spanloom.plans import cascade, ner, policy, queries, risk
 from spanloom.plans.engine import create_engine
 from spanloom.plans.policy import GuardPolicy, Policy, RiskThresholds
 from spanloom.sources import io
@@ -123,6 +124,50 @@ def test_calls_that_hang_and_models_loaded_once(spark, tmp_path):
     assert 1 <= len(open(mark).read()) <= 4  # workers, not batches or rows
 
 
+def test_token_model_reads_whole_texts(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+
+    class Graph:  # inside, so that it travels to workers
+        """Stands for a graph: capitalised words are persons, the first of a name begins it; the calls' widths are kept."""
+
+        def __init__(self, vocabulary):
+            self.upper, self.begin = {i for w, i in vocabulary.items() if w[:1].isupper()}, {vocabulary["Bob"], vocabulary["Eve"]}
+            self.widths = []
+
+        def get_inputs(self):
+            return [type("I", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, feed):
+            ids = feed["input_ids"]
+            assert set(feed) == {"input_ids", "attention_mask"}
+            self.widths.append(ids.shape[1])
+            out = np.zeros((*ids.shape, 3))
+            out[..., 0] = 2.0
+            out[np.isin(ids, list(self.upper))] = [0, 0, 4.0]
+            out[np.isin(ids, list(self.begin))] = [0, 4.0, 0]
+            return [out]
+
+    words = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "Bob", "Eve", "Smith", "met", "and", "."]
+    vocabulary = {w: i for i, w in enumerate(words)}
+
+    def tokenizer():
+        t = tokenizers.Tokenizer(tokenizers.models.WordLevel(vocabulary, unk_token="[UNK]"))
+        t.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+        return t
+
+    text = "Bob Smith met Eve . " * 40
+    graph = Graph(vocabulary)
+    model = ner.TokenModel(graph, tokenizer(), ["O", "B-PERSON", "I-PERSON"], window=16, shared=4)
+    got, none, two = model([text, "", "Bob Eve Smith"])
+    assert [text[a:b] for _, _, a, b in got] == ["Bob Smith", "Eve"] * 40 and none == [] and max(graph.widths) == 16
+    assert [(k, a, b) for k, _, a, b in two] == [("PERSON", 0, 3), ("PERSON", 4, 13)] and all(0.8 < s < 1 for _, s, _, _ in got)
+    with pytest.raises(ValueError):
+        ner.TokenModel(graph, tokenizer(), ["O"], window=4, shared=3)
+    scorer = cascade.LoadedOnce(lambda: ner.TokenModel(Graph(vocabulary), tokenizer(), ["O", "B-PERSON", "I-PERSON"]))
+    r = create_engine().deep_scan(spark.createDataFrame([(1, "so Bob Smith met .")], "id int, text string"), "id", scorer).first().result
+    assert [(d.text, d.entity_type, d.source) for d in r.detections] == [("Bob Smith", "PERSON", "bert")]
+
+
 def test_dismissed_and_readable_findings(spark):
     rows = [(1, 0, 4, "A", "text", "high", "regex", "confirmed"), (1, 0, 4, "B", "x" * 60, "low", "bert", "escalate"), (2, None, None, "A", None, None, None, None)]
     df = spark.createDataFrame(rows, "id int, start_pos int, end_pos int, entity_type string, text string, confidence string, source string, disposition string")
