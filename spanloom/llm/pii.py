@@ -58,15 +58,16 @@ _ADDRESSES = (
     re.compile(rf"(?<![\w.])(?:(?:Am|An der|Zum|Zur|Im|In der|Auf der|Unter den) )?[{_UP}][{_LOW}{_UP}-]{{0,80}}(?:[ -]?(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|Straße|Str\.|Weg|Platz|Allee|markt|steig|hof))\.? \d{{1,4}} ?[a-z]?(?!\w)"),
     re.compile(rf"(?<![\w.])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Pza\.?|Paseo|Pº|Camino|Carrera|Ronda|Travesía|Rambla|Carretera|Vía|Glorieta)(?: (?:de la|de los|de las|del|de))? ?(?:{_WHOLE} ?){{1,4}},? ?(?:n[.ºo°]+ ?|núm\. ?)?\d{{1,4}}(?:,? ?\d{{1,2}}[ºª](?: ?[A-Z])?)?"),
 )
-# Cheap signs without which the expressions above cannot match a line.
+# Signs without which the expressions above cannot match a line; none reaches beyond it.
 _DIGIT = re.compile(r"\d")
 _MANY_DIGITS = re.compile(r"\d(?:[ ().\-/]{0,4}\d){6}")
 _ID_LIKE = re.compile(r"\d(?:[ .-]?[A-Z0-9]){5}|[A-Z0-9]{8}")
+_ENDINGS = "aße sse tr. weg Weg atz lee ing fer amm see rkt eig hof".split()
 _ADDRESS_SIGNS = (
-    re.compile(rf" {_STREET}\b"),
-    re.compile(r"(?i)rue|avenue|av\.|boulevard|bd|chemin|place|impasse|all[ée]e|cours|quai|route|square|passage|sentier|faubourg"),
-    re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee|markt|steig|hof|Stra(?:ß|ss)e|Str\.|Weg|Platz|Allee)\.? \d"),
-    re.compile(r"Calle|C/|Av|Plaza|Pza|P[aº]|Camino|Carre|Ronda|Travesía|Rambla|Vía|Glorieta"),
+    re.compile(rf"\d[A-Za-z]?,? (?:[NSEW]\.? |(?:North|South|East|West|Old|New)\.? )?(?:[DdLO]['’])?[{_UP}]"),
+    re.compile(r"\d(?: ?(?:bis|ter|quater))?,? (?i:rue|av|bo|bd|ch|pl|im|al|co|qu|ro|sq|pa|se|fa)"),
+    re.compile(" (?:" + "|".join(f"(?<={'|'.join(re.escape(e) + dot for e in _ENDINGS)})" for dot in (" ", r"\. ")) + r")\d"),
+    re.compile(r"(?:Calle|C/|Av|Plaza|Pza|P[aº]|Camino|Carre|Ronda|Travesía|Rambla|Vía|Glorieta)[^\n]*\d"),
 )
 # A word with a capital, read once from its beginning, and a capital not far behind it.
 _TWO_NAMES = re.compile(rf"(?<![{_UP}{_LOW}.'’-])(?=[{_LOW}.'’-]*+[{_UP}])[{_UP}{_LOW}.'’-]*+,? (?:[a-z]++ (?:[a-z]++ )?)?(?:[DdLO]['’])?[{_UP}]")
@@ -89,8 +90,18 @@ def _side(c: str) -> int:
     return 0 if not c else 1 if c.isspace() else 2 if c in "\"'`" else 3 if c in "<([{" else 4 if c in ":;=,." else 5 if c in "/@\\" else 6 if c.isalnum() or c == "_" else 7 if c in ">)]}" else 8
 
 
+class _Kinds(dict):
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = out = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        return out
+
+
+_KINDS, _LONG_UPPER, _LONG_LOWER = _Kinds(), re.compile("A{2,}"), re.compile("a{2,}")
+
+
 def _shape(s: str) -> str:
-    return re.sub(r"A{2,}", "A+", re.sub(r"a{2,}", "a+", "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in s)))[:40]
+    return _LONG_UPPER.sub("A+", _LONG_LOWER.sub("a+", s.translate(_KINDS)))[:40]
 
 
 def _checks(kind: int, pattern: int, s: str) -> int:
@@ -115,30 +126,51 @@ def _checks(kind: int, pattern: int, s: str) -> int:
     return -1
 
 
-def candidates(line: str, names: frozenset[str]) -> list[tuple[int, int, int, int]]:
+#: Signs without which a generator finds nothing on a line, and the generators' bits.
+_EMAILS, _PHONES, _NUMBERS_OF_ID, _PLACES, _PERSONS = 1, 2, 4, 8, 128
+_SIGNS = (
+    (_EMAILS, re.compile(r"@|%40|[(\[{]\s?(?:at|AT|arroba)| at ")), (_PHONES, _MANY_DIGITS), (_NUMBERS_OF_ID, _ID_LIKE), *((_PLACES << k, sign) for k, sign in enumerate(_ADDRESS_SIGNS)), (_PERSONS, _TWO_NAMES),
+)
+EVERY = sum(bit for bit, _ in _SIGNS)
+
+
+def flagged_lines(text: str) -> list[tuple[int, str, int]]:
+    """(place, line, bits of the generators whose sign it has) of the lines that have any; the text is read once for each sign."""
+    bits: dict[int, int] = defaultdict(int)
+    for bit, sign in _SIGNS:
+        at = 0
+        while m := sign.search(text, at):
+            bits[text.rfind("\n", at, m.start()) + 1 or at] |= bit
+            at = text.find("\n", m.start()) + 1
+            if not at:
+                break
+    return [(at, text[at : None if (end := text.find("\n", at)) < 0 else end], b) for at, b in sorted(bits.items())]
+
+
+def candidates(line: str, names: frozenset[str], wanted: int = EVERY) -> list[tuple[int, int, int, int]]:
     """(start, end, type, pattern) of the spans that may be personal information."""
     out: list[tuple[int, int, int, int]] = []
-    done = 0
-    for m in _SIGN.finditer(line):
-        start = m.start()
-        while start > done and line[start - 1] in _LOCAL_LETTER:
-            start -= 1
-        if done <= start < m.start() and (d := _DOMAIN.match(line, m.end())):
-            done = d.end()
-            out.append((start, done, 0, 0))
-    if _DIGIT.search(line):
-        if _MANY_DIGITS.search(line):
-            for m in _PHONE.finditer(line):
-                n = len(_DIGIT.findall(m.group()))
-                if 7 <= n <= 16:
-                    out.append((m.start(), m.end(), 1, 0))
-        if _ID_LIKE.search(line):
-            for k, p in enumerate(_IDS):
-                out += [(m.start(), m.end(), 2, k) for m in p.finditer(line)]
-        for k, (p, sign) in enumerate(zip(_ADDRESSES, _ADDRESS_SIGNS)):
-            if sign.search(line):
-                out += [(m.start(), m.start() + len(m.group().rstrip()), 3, k) for m in p.finditer(line)]
-    if not _TWO_NAMES.search(line):
+    if wanted & _EMAILS:
+        done = 0
+        for m in _SIGN.finditer(line):
+            start = m.start()
+            while start > done and line[start - 1] in _LOCAL_LETTER:
+                start -= 1
+            if done <= start < m.start() and (d := _DOMAIN.match(line, m.end())):
+                done = d.end()
+                out.append((start, done, 0, 0))
+    if wanted & _PHONES:
+        for m in _PHONE.finditer(line):
+            n = len(_DIGIT.findall(m.group()))
+            if 7 <= n <= 16:
+                out.append((m.start(), m.end(), 1, 0))
+    if wanted & _NUMBERS_OF_ID:
+        for k, p in enumerate(_IDS):
+            out += [(m.start(), m.end(), 2, k) for m in p.finditer(line)]
+    for k, p in enumerate(_ADDRESSES):
+        if wanted & _PLACES << k:
+            out += [(m.start(), m.start() + len(m.group().rstrip()), 3, k) for m in p.finditer(line)]
+    if not wanted & _PERSONS:
         return out
     for m in _RUN.finditer(line):
         tokens = m.group().split(" ")
@@ -208,10 +240,10 @@ def features(span: tuple[int, int, int, int], around: Around, names: frozenset[s
         around.comment, len(right) > 0 and right[0] == ":", start <= around.begin, other, same - around.copies[span],
         _LOGIN_PART.split(local)[0] in _LOGINS, around.in_url(start), line[max(0, last_before - 1) : last_before] == ":", start, sum(t[:1].isupper() for t in tokens) / max(1, len(tokens)), line[end : end + 1] == ":" or line[end : end + 2] == ":/",
     ]
-    last = folded[-1] if folded else ""
+    last, shape = folded[-1] if folded else "", _shape(s)
     texts = [
-        words[-1] if words else (left[-1] if left else "^"), " ".join(words[-2:]), "".join(left[-2:])[-20:].lower(), (_NUMBERS.sub("0", right[0].lower()) if right else "$"), _shape(s), folded[0][:40] if folded and kind > 2 else "", last[-4:] if kind > 2 else last[-8:],
-        around.first, " ".join(words[-1:]) + "|" + _shape(s)[:16],
+        words[-1] if words else (left[-1] if left else "^"), " ".join(words[-2:]), "".join(left[-2:])[-20:].lower(), (_NUMBERS.sub("0", right[0].lower()) if right else "$"), shape, folded[0][:40] if folded and kind > 2 else "", last[-4:] if kind > 2 else last[-8:],
+        around.first, " ".join(words[-1:]) + "|" + shape[:16],
     ]
     return [float(n) for n in numbers], [f"{kind}|{t}" for t in texts]
 
@@ -219,19 +251,11 @@ def features(span: tuple[int, int, int, int], around: Around, names: frozenset[s
 TEXTS = 9
 
 
-def lines_of(text: str) -> list[tuple[int, str]]:
-    out, at = [], 0
-    for x in text.split("\n"):
-        out.append((at, x))
-        at += len(x) + 1
-    return out
-
-
 def proposals(text: str, names: frozenset[str]) -> list[tuple[int, int, int, list[float], list[str]]]:
     """(start, end, type, numbers, texts) over the original text."""
     clean, out = Clean(text), []
-    for at, line in lines_of(clean.text):
-        spans = candidates(line, names)
+    for at, line, wanted in flagged_lines(clean.text):
+        spans = candidates(line, names, wanted)
         around = Around(line, spans) if spans else None
         for c in spans:
             numbers, texts = features(c, around, names)
