@@ -33,6 +33,8 @@ SKETCH_BITS, MARK_BITS = 20, 24
 RARE, RARE_TIMES, HOT, HOT_TIMES = 64, 2, 4096, 32
 #: Hot segments are matched by stretches of this many places, so one of them is many keys.
 STRETCH = 16
+#: Names of classes that a task remembers, so that it hands on copies once.
+SEEN = 500_000
 #: Classes in candidate pairs whose tokens are looked up by a broadcast list of their names; more are joined by shuffle.
 LOOKUP_CLASSES = 1_000_000
 
@@ -198,7 +200,13 @@ def _training_substrings(rows: DataFrame, cutter, marks) -> DataFrame:
 
     def cut(batches):
         c, bits = cutter.value, marks.value
+        seen: set[int] = set()
         for batch in batches:
+            # Of copies in one task one is enough.
+            new = [i for i, name in enumerate(batch.column("cls").to_pylist()) if name not in seen and not seen.add(name)]
+            if len(seen) > SEEN:
+                seen.clear()
+            batch = batch.take(pa.array(new, pa.int32()))
             h, n, at = _flat(batch)
             if not len(h):
                 continue
@@ -254,11 +262,12 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
 
     Records with null tokens or splits, and of fewer than ``min_tokens``, have no class. Equal token lists are one class;
     links of a class to itself are not listed. Repeated rows are members each. Splits other than ``train`` are evaluation.
+    Other columns are kept but for those named as one of the result's own.
     A similarity for which short records have fewer than K+1 tokens is a ValueError.
     """
     spark = df.sparkSession
     ship(spark)
-    rest = [c for c in df.columns if c not in (key, split, tokens)]
+    rest = [c for c in df.columns if c not in (key, split, tokens) and c.lower() not in ("key", "split", "cls", "n")]
     x = df.select(df[key].alias("key"), df[split].alias("split"), normal_tokens(df[tokens]).alias("words"), *[df[c].alias(f"_{c}") for c in rest])
     x = x.where(f"words is not null and split is not null and size(words) >= {int(min_tokens)}")
     # A class is named by two hashes of the whole list; tokens themselves are not shuffled until pairs are known.
@@ -267,10 +276,11 @@ def near_same(df: DataFrame, key: str = "example_id", split: str = "split_name",
     rows = x.select("cls", "words", (F.col("split") == train).alias("is_train"))
     cutter = spark.sparkContext.broadcast(Cutter(_sketch(rows), similarity, min_tokens))  # 2 ** SKETCH_BITS numbers
     hashed = rows.select("cls", "is_train", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    # Copies give the same segments and substrings, which are joined once; equal ones meet before they are shuffled.
+    # Copies of evaluation records give the same segments, which are kept once; copies of training records are handed on at
+    # most once by each task, so they are not shuffled a second time to be found.
     e = materialize(_evaluation_segments(hashed.where("not is_train").select("cls", "hashes"), cutter).distinct())
     marks = spark.sparkContext.broadcast(_marks(e))  # 2 ** MARK_BITS bits
-    t = _training_substrings(hashed.where("is_train").select("cls", "hashes"), cutter, marks).distinct()
+    t = _training_substrings(hashed.where("is_train").select("cls", "hashes"), cutter, marks)
     e, t = (y.select("key", *[F.col(c).alias(f"{c}_{s}") for c in y.columns if c not in ("key", "no")], *[c for c in y.columns if c == "no"]) for y, s in ((e, "e"), (t, "t")))
     need = F.ceil(F.lit(similarity) * F.greatest("n_e", "n_t") - F.lit(1e-9))
     shift, longer = F.col("pos_t") - F.col("pos_e"), F.col("n_t") - F.col("n_e")

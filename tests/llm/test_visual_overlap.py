@@ -174,5 +174,7 @@ def test_pairs_against_brute_force(spark, monkeypatch, words, rare, hot):
         assert n == len({of[b if a == key else a][0] for a, b in want if key in (a, b)})
     report = overlap.report(members, links).collect()
     assert sum(r.records for r in report) == members.where("split <> 'train'").count()
+    clash = overlap.near_same(df.withColumns({"cls": F.lit(1), "n": F.lit("x"), "Key": F.lit(None), "side": F.lit(2)}))
+    assert {tuple(sorted((r.key_e, r.key_t))) for r in overlap.pairs_of(*clash).collect()} == want and overlap.classes(*clash).count() > 0
     empty = overlap.near_same(df.where(F.lit(False)))
     assert overlap.pairs_of(*empty).count() == 0
