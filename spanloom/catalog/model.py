@@ -171,6 +171,27 @@ def gates(pattern: str, ignore_case: bool = False) -> tuple[tuple[str, ...], boo
         return (), False, 0
 
 
+def solid(pattern: str, ignore_case: bool = False) -> int:
+    """The least length of a match if it can hold nothing but ASCII letters and digits, else 0."""
+
+    def plain(parsed) -> bool:
+        for op, value in parsed:
+            if op is _ops.LITERAL and value < 128 and chr(value).isalnum() or op in (_ops.AT, _ops.ASSERT, _ops.ASSERT_NOT):
+                continue
+            if op is _ops.IN and all(o is _ops.CATEGORY and v is _ops.CATEGORY_DIGIT or o is _ops.LITERAL and v < 128 and chr(v).isalnum() or o is _ops.RANGE and (48 <= v[0] and v[1] <= 57 or 65 <= v[0] and v[1] <= 90 or 97 <= v[0] and v[1] <= 122) for o, v in value):
+                continue
+            if op is _ops.SUBPATTERN and plain(value[3]) or op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and plain(value[2]) or op is _ops.BRANCH and all(map(plain, value[1])):
+                continue
+            return False
+        return True
+
+    try:
+        parsed = _parser.parse(pattern, re.ASCII | (re.IGNORECASE if ignore_case else 0))
+        return parsed.getwidth()[0] if plain(parsed) else 0
+    except Exception:  # noqa: BLE001
+        return 0
+
+
 def may_be_empty(pattern: str) -> bool:
     """Whether an expression may match nothing; taken for yes if the parser does not tell."""
     try:

@@ -21,8 +21,8 @@ from spanloom.functions import checksums, similarity, spans
 from spanloom.operators import matching
 
 CONTEXT_WINDOW = 100
-#: Rules up to which the expressions are used.
-NARROW_RULES = 4
+#: Expressions of rules up to which columns are used: each one is another search of the text, and a scan gates its own.
+NARROW_EXPRESSIONS = 2
 EMPTY = f"array<{spans.DETECTION}>"
 RESULT = f"struct<passed:boolean,reason:string,guard_name:string,score:double,detections:array<{spans.DETECTION}>,redacted_text:string>"
 
@@ -139,7 +139,7 @@ def wide(text: Column, rules: tuple[Rule, ...], guard: str, threshold: float | N
 
 def _tier(rules: tuple[Rule, ...]) -> str:
     """Both tiers find the same; expressions that may match nothing cannot be columns."""
-    return "narrow" if len(rules) <= NARROW_RULES and not any(may_be_empty(p) for r in rules for p in r.patterns) else "wide"
+    return "narrow" if sum(len(r.patterns) for r in rules) <= NARROW_EXPRESSIONS and not any(may_be_empty(p) for r in rules for p in r.patterns) else "wide"
 
 
 def matches(text: Column, rules: tuple[Rule, ...], guard: str, threshold: float | None, disposition: str = "confirmed", tier: str | None = None) -> Column:
@@ -258,7 +258,7 @@ class PromptGuard(Guard):
             hits = scanner(t)
             if hits or threshold is None:
                 return hits
-            best = similarity.best_rating(t, phrases, windows)
+            best = similarity.best_rating(t, phrases, windows, threshold)
             if best < threshold:
                 return []
             return [(entity, 0, len(t), t[:200], "high" if best >= 0.8 else "medium", best, name, "regex", "confirmed", t[: len(t) + spans.CONTEXT_CHARS], 0)]

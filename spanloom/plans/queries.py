@@ -114,8 +114,8 @@ _REPORT_RULES = select(pii.RULES, ["CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS"]
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
     """E-mail, IP and card numbers (with Luhn and context) in the documents, of overlapping ones the best."""
-    x = spread(table(spark, d, "documents").where("text is not null").select("lang", "text")).select("lang", guards.narrow(F.col("text"), _REPORT_RULES, "pii", 0.5).alias("found"))
-    x = x.select("lang", F.inline(spans.best_disjoint(F.col("found"))))
+    e = ScanEngine((guards.PiiGuard(entity_types=("CREDIT_CARD", "EMAIL_ADDRESS", "IP_ADDRESS")),))
+    x = e.detections_of(table(spark, d, "documents").where("text is not null").select("lang", "text")).select("lang", F.inline("_pii"))
     return x.groupBy("lang", "entity_type", "confidence").agg(F.count("*").alias("n"), F.max("score").alias("max_score"))
 
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.catalog import pii, prompts, secrets
-from spanloom.catalog.model import Rule, entity_types, gates, java_regex, python_regex, rules_of_type, select
+from spanloom.catalog.model import Rule, entity_types, gates, java_regex, python_regex, rules_of_type, select, solid
 from spanloom.operators import guards, matching
 from spanloom.plans.engine import create_engine
 
@@ -64,6 +64,7 @@ def test_gates_lose_no_match(data):
                     if (needed or digits) and (m := regex.search(t)):
                         assert not needed or any(g in (t.lower() if folded else t) for g in needed), (r.entity_type, p, needed)
                         assert digits <= max(map(len, re.findall("[0-9]+", m.group())), default=0), (r.entity_type, p, digits)
+                        assert not solid(p, r.ignore_case) or re.fullmatch("[A-Za-z0-9]{%d,}" % solid(p, r.ignore_case), m.group()), (r.entity_type, p)
 
 
 _ATOMS = st.sampled_from([r"\d", r"\d*", r"\d{2,3}", r"\t", r"\n?", "x", "yz", "key=", r"\b", r"[A-Z\d]", r"[A-Z\d]{2}", "(?:ab|cd)", "(?:secret|token)?", "(?:a1|b2)+", r"(x)\1", "(?=k)", r"\.", "[0-9]", "@", "(?i:Q)", r"(?:\d\d|\d{3})", "é"])
