@@ -82,6 +82,7 @@ _ENTRY = re.compile(r"^(?P<in>[ \t]+)[\"']?(?P<name>[\w.-]+)[\"']?[ \t]*:[ \t]*[
 # The shortest literals are those of a value of six characters with its name.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{11,}={0,2}(?![A-Za-z0-9+/=])")
 _BASE64_LINES = re.compile(r"(?:^[ \t]*[A-Za-z0-9+/]{40,76}[ \t]*\r?\n)+[ \t]*[A-Za-z0-9+/]{4,76}={0,2}[ \t]*\r?$", re.M)
+_DATA_BEFORE, _HASH_BEFORE = re.compile(r"data:[\w.+-]+/[\w.+-]+;base64,$"), re.compile(r"sha(?:256|384|512)[-:]$")
 _HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:0x)?((?:[0-9a-fA-F]{2}){8,})(?![0-9A-Za-z+/_-])")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}[^\s\"'<>`]*?%[0-9A-Fa-f]{2}(?:[^\s\"'<>`%]*%[0-9A-Fa-f]{2})*")
 #: "%25" is a percent sign in each layer but the last.
@@ -182,7 +183,7 @@ def _printable(raw: bytes) -> str | None:
 
 
 def _base64(s: str) -> bytes | None:
-    s = re.sub(r"\s+", "", s).rstrip("=")
+    s = "".join(s.split()).rstrip("=")
     if len(s) % 4 == 1:
         return None
     try:
@@ -218,13 +219,18 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         for m in _TOKEN.finditer(text):
             if not _PLACEHOLDER.search(m.group()) and entropy(m.group()) > 2.5:
                 out.append((m.start(), m.end(), m.lastgroup))
-    lines, at = [], 0
-    if len(low) == len(text) and any(w in low for w in _LINE_SIGNS):
-        for line in low.split("\n"):
-            if any(w in line for w in _LINE_SIGNS):
-                lines.append((at, at + len(line)))
-            at += len(line) + 1
-    elif len(low) != len(text):  # a letter whose lower case is longer: places by the text itself
+    lines: list[tuple[int, int]] = []
+    if len(low) == len(text):
+        found: set[int] = set()
+        for w in _LINE_SIGNS:  # the text is read once for each sign, and a line that has it is left behind at once
+            at = low.find(w)
+            while at >= 0:
+                found.add(low.rfind("\n", 0, at) + 1)
+                at = low.find("\n", at)
+                at = low.find(w, at) if at >= 0 else -1
+        lines = [(x, len(text) if (end := text.find("\n", x)) < 0 else end) for x in sorted(found)]
+    else:  # a letter whose lower case is longer: places by the text itself
+        at = 0
         for line in text.split("\n"):
             if any(w in line.lower() for w in _LINE_SIGNS):
                 lines.append((at, at + len(line)))
@@ -347,7 +353,7 @@ def _decoded(text: str) -> list[tuple[int, int, str]]:
                 rescan(m.start(), m.end(), _printable(raw))
     for m in _BASE64.finditer(text) if runs else ():
         before = text[max(0, m.start() - 40) : m.start()]
-        if re.search(r"data:[\w.+-]+/[\w.+-]+;base64,$", before) or re.search(r"sha(?:256|384|512)[-:]$", before):
+        if before[-1:] == "," and _DATA_BEFORE.search(before) or before[-1:] in ("-", ":") and _HASH_BEFORE.search(before):
             continue
         raw = _base64(m.group())
         if raw is None:
