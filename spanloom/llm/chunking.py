@@ -109,15 +109,17 @@ def coverage(df: DataFrame, models: DataFrame, key: str = "scan_id", text: str =
     ``overlaps``: neighbours share the model's overlap and none lies inside another; ``same_text``: the pieces without
     their overlaps are the text. Rows of one key, model and text count once.
     """
-    x = df.select(F.struct(df[key].alias("k"), df[model].alias("m"), df[text].alias("t")).alias("row"), df[model].alias("model"), df[text].alias("t")).where("t is not null").distinct()
+    # A row is named by its text's digest, so pieces do not carry the text that they are of.
+    row = F.struct(df[key].alias("k"), df[model].alias("m"), F.length(df[text]).cast("bigint").alias("n"), F.sha2(df[text], 256).alias("h"))
+    x = df.where(df[text].isNotNull()).select(row.alias("row"), df[model].alias("model"), df[text].alias("t")).dropDuplicates(["row"])
     cut = split_oversized(x, models, "row", "t", "model")
     known = models.select(F.col("model_id").alias("m_id"), "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("share"), "is_default")
     cut = cut.join(small_side(known, MAX_MODELS), (F.col("row.m") == F.col("m_id")) | (F.col("row.m").isNull() & F.col("is_default")))
-    # The pieces of a text are few and in one row after this; texts are named by their content.
+    # The pieces of a text are in one row after this, which is as large as the text.
     g = cut.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("ps"), F.first("max_chars").alias("size"), F.first("share").alias("share"))
     own = F.transform("ps", lambda p, i: F.when(i == 0, p["piece"]).otherwise(p["piece"].substr(F.col("share").cast("int") + 1, F.length(p["piece"]))))
     after = F.zip_with(F.slice("ps", F.lit(1), F.size("ps") - 1), F.slice("ps", F.lit(2), F.size("ps") - 1), lambda a, b: (b["start_pos"] == a["end_pos"] - F.col("share")) & (b["end_pos"] > a["end_pos"]) & (b["start_pos"] > a["start_pos"]))
     return g.select(
-        F.col("row.k").alias(key), F.length("row.t").cast("bigint").alias("n_chars"), (F.size("ps") > 1).alias("is_cut"), F.forall("ps", lambda p: F.length(p["piece"]) <= F.col("size")).alias("fits"),
-        ((F.get("ps", F.lit(0))["start_pos"] == 0) & (F.element_at("ps", -1)["end_pos"] == F.length("row.t"))).alias("covers"), F.forall(after, lambda ok: ok).alias("overlaps"), (F.array_join(own, "") == F.col("row.t")).alias("same_text"),
+        F.col("row.k").alias(key), F.col("row.n").alias("n_chars"), (F.size("ps") > 1).alias("is_cut"), F.forall("ps", lambda p: F.length(p["piece"]) <= F.col("size")).alias("fits"),
+        ((F.get("ps", F.lit(0))["start_pos"] == 0) & (F.element_at("ps", -1)["end_pos"] == F.col("row.n"))).alias("covers"), F.forall(after, lambda ok: ok).alias("overlaps"), (F.sha2(F.array_join(own, ""), 256) == F.col("row.h")).alias("same_text"),
     ).distinct()
