@@ -50,21 +50,26 @@ def category_of(guard: Column) -> Column:
 
 def issues(detections: Column, t: RiskThresholds) -> Column:
     """Real findings by guard and type: worst severity first, then more findings, then the first seen."""
-    found, fake = real(detections), invented(detections)
-    keys = F.array_distinct(F.transform(found, lambda d: F.struct(d["guard_name"].alias("g"), d["entity_type"].alias("e"))))
-
-    def issue(k: Column, i: Column) -> Column:
-        own = F.filter(found, lambda d: (d["guard_name"] == k["g"]) & (d["entity_type"] == k["e"]))
-        severity = level_of(best_score(own), t)
-        return F.struct(
-            rank_of(severity).alias("r"), (-F.size(own)).alias("n"), i.alias("i"),
-            F.struct(
-                category_of(k["g"]).alias("category"), k["e"].alias("entity_type"), severity.alias("severity"), F.size(own).alias("count"),
-                F.exists(own, lambda d: F.exists(fake, lambda f: spans.overlaps(d, f))).alias("is_test_data"), F.substring(F.get(own, F.lit(0))["text"], 1, SAMPLE_CHARS).alias("sample"),
-            ).alias("issue"),
-        )
-
-    return F.transform(F.array_sort(F.transform(keys, issue)), lambda x: x["issue"])
+
+    def grouped(found: Column, fake: Column) -> Column:
+        def issue(k: Column, i: Column, own: Column) -> Column:
+            def ranked(severity: Column) -> Column:
+                return F.struct(
+                    rank_of(severity).alias("r"), (-F.size(own)).alias("n"), i.alias("i"),
+                    F.struct(
+                        category_of(k["g"]).alias("category"), k["e"].alias("entity_type"), severity.alias("severity"), F.size(own).alias("count"),
+                        F.exists(own, lambda d: F.exists(fake, lambda f: spans.overlaps(d, f))).alias("is_test_data"), F.substring(F.get(own, F.lit(0))["text"], 1, SAMPLE_CHARS).alias("sample"),
+                    ).alias("issue"),
+                )
+
+            return spans.let(level_of(best_score(own), t), ranked)
+
+        keys = F.array_distinct(F.transform(found, lambda d: F.struct(d["guard_name"].alias("g"), d["entity_type"].alias("e"))))
+        each = F.transform(keys, lambda k, i: spans.let(F.filter(found, lambda d: (d["guard_name"] == k["g"]) & (d["entity_type"] == k["e"])), lambda own: issue(k, i, own)))
+        return F.transform(F.array_sort(each), lambda x: x["issue"])
+
+    # Each list is made once, however often it is looked at.
+    return spans.let(detections, lambda d: spans.let(real(d), lambda found: spans.let(invented(d), lambda fake: grouped(found, fake))))
 
 
 def breakdown(results: Column, t: RiskThresholds) -> Column:
